@@ -214,3 +214,22 @@ def environment_path(name: str) -> str:
 def clear_folder(path: str) -> None:
     if os.path.isdir(path):
         shutil.rmtree(path)
+
+
+def join_words(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): a block's kept words, each followed by one space, and where each lies."""
+    a, b = (words.starts, words.ends) if keep is None else (words.starts[keep], words.ends[keep])
+    lengths = b - a
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    index = np.repeat(a - starts, lengths + 1)
+    index += np.arange(len(index))
+    index[ends] = 0
+    out = words.data[index] if len(index) else words.data[:0].copy()
+    out[ends] = 32
+    return out, starts, ends
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, without reading it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontaminate, secrets, sharding, simhash, warc
+from . import bpe, dac, decontaminate, secrets, sharding, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,7 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_warc_archives, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
+    return {f.__name__: f for f in (op2_sharding, op3_substring_dedup, op4_warc_archives, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

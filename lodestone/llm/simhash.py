@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, blocks, row_of, ship, stored, text_bytes, within_rows
+from .common import LOWER, Words, blocks, join_words, row_of, ship, stored, text_bytes, within_rows
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Buckets of up to so many fingerprints are compared all at once; larger ones grow clusters.
@@ -34,15 +34,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     out = np.zeros(rows, np.uint64)
     if not n:
         return out
-    # Words of the block with one space after each.
-    lengths = words.ends - words.starts
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    index = np.repeat(words.starts - starts, lengths + 1)
-    index += np.arange(len(index))
-    index[ends] = 0
-    joined = words.data[index]
-    joined[ends] = 32
+    joined, starts, ends = join_words(words)
     raw = joined.tobytes()
     counts = words.counts()
     full = within_rows(words.first, shingle)
