@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontaminate, secrets, sharding, simhash, substrings, warc
+from . import bpe, dac, decontaminate, rules, secrets, sharding, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -51,8 +55,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_substring_dedup, op4_warc_archives, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_substring_dedup, op4_warc_archives, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": rules.SQL}
