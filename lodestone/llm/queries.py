@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontaminate, rules, secrets, sharding, simhash, substrings, warc
+from . import bpe, classifier, dac, decontaminate, rules, secrets, sharding, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_substring_dedup, op4_warc_archives, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_substring_dedup, op4_warc_archives, op5_quality_classifier, op6_secret_scans, op7_decontamination, op8_simhash, op9_token_files, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,7 +92,7 @@ def standard_rules() -> dict[str, Column]:
         "few_words": n < 50,
         "repeated_windows": F.col("n_repeat_words") * 100 > n * 50,
         "symbols": F.col("n_symbols") * 10 > n,
-        "duplicate_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * 30,
+        "duplicate_lines": F.col("n_dup_lines") * 2 > F.col("n_lines"),
         "short_words": F.col("word_chars") < n * 2,
         "long_words": F.col("word_chars") > n * 15,
         "capitals": capitals * 2 > F.col("word_chars"),
@@ -176,7 +176,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 100 > n_lines * 30 OR word_chars < n_words * 2 OR word_chars > n_words * 15
+  NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 2 > n_lines OR word_chars < n_words * 2 OR word_chars > n_words * 15
     OR length(regexp_replace(body, '[^A-Z]', '', 'g')) * 2 > word_chars OR length(regexp_replace(body, '[^0-9]', '', 'g')) * 2 > word_chars
     OR len(list_distinct(list_intersect(list_transform(words, lambda x: lower(x)), [{_STOPS}]))) < 2) AS kept
 FROM b
