@@ -23,11 +23,17 @@ from .rules import STOP_WORDS
 #: Expected rows of the training sample; the bound on what is fitted.
 TRAIN_ROWS = 16_000
 DIMENSIONS = 1 << 18
+#: Scores from which a row is rejected, and posteriors of its heuristics alone.
+THRESHOLD, CERTAIN = 0.3, 0.99
 #: Common English insults, dealt into two overlapping labellers' lists.
 INSULTS = "asshole bastard bitch clown coward cretin creep degenerate disgusting dumb dumbass fool freak garbage idiot ignorant imbecile jerk loser lowlife moron moronic parasite pathetic pig repulsive scum scumbag shit stupid swine trash ugly useless vermin vile worthless wretch".split()
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 REJECT, ACCEPT, ABSTAIN = 1, 0, 2
+#: The prior share of accepted rows on which a heuristic labeller votes to reject.
+FALSE_ALARMS = 0.002
+#: The accuracy that annotators are credited with; it is not estimated.
+ANNOTATOR = 0.99
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
@@ -119,6 +125,8 @@ def toxic_votes(block: Block) -> list[np.ndarray]:
 
 #: Task to its labellers.
 TASKS = {"junk": junk_votes, "toxic": toxic_votes}
+#: The kind of each labeller: noise, repetition and shouting; insults.
+KINDS = {"junk": (0, 0, 1, 1, 2, 2), "toxic": (0, 0, 0)}
 
 
 def codes(votes: list[np.ndarray]) -> np.ndarray:
@@ -133,35 +141,48 @@ def decode(code: np.ndarray, labellers: int) -> np.ndarray:
     return np.stack([code // 3**i % 3 for i in range(labellers - 1, -1, -1)], axis=1)
 
 
-def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(votes: np.ndarray, count: np.ndarray, kinds: tuple[int, ...], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of rejection for each vote pattern (rows of ``votes``), and P(vote | class) by labeller, class and vote.
 
-    A heuristic's abstention is an outcome of its own: a list of words that finds nothing says something. The
-    last labeller is the annotator, whose abstention is only a missing vote. Pseudo-counts hold that labellers are
-    better than chance, which keeps the classes from trading places.
+    Class 0 is accepted. Text is rejected for different reasons, so each kind of heuristic (``kinds`` has the number
+    of each one's kind) has a rejected class of its own, and one more class holds what no heuristic sees. A
+    heuristic's abstention is an outcome of its own; the last labeller is the annotator, whose abstention is only a missing
+    vote. Pseudo-counts hold that heuristics raise few false alarms.
     """
-    labellers = votes.shape[1]
-    prior = np.array([[20.0, 0.5, 20.0], [4.0, 5.0, 4.0]])
-    heuristics = votes[:, :-1]
-    rejects = (heuristics == REJECT).any(axis=1)
-    posterior = np.where(votes[:, -1] == REJECT, 0.98, np.where(votes[:, -1] == ACCEPT, 0.02, np.where(rejects, 0.6, 0.02)))
-    table = np.zeros((labellers, 2, 3))
+    labellers, classes = votes.shape[1], 3 + max(kinds)
+    fired = votes[:, :-1] == REJECT
+    gold = votes[:, -1]
+    weight = np.full((len(votes), classes), 0.02)
+    weight[:, 0] = np.where(gold == REJECT, 0.001, np.where(fired.any(axis=1), 0.1, 1.0))
+    for i, kind in enumerate(kinds):
+        weight[fired[:, i], 1 + kind] += 1
+    weight[(gold == REJECT) & ~fired.any(axis=1), -1] += 1
+    weight[gold == ACCEPT, 1:] *= 0.02
+    weight /= weight.sum(axis=1, keepdims=True)
+    table = np.zeros((labellers, classes, 3))
+    prior = np.full((labellers, classes, 3), 1.0)
     for _ in range(rounds):
         for i in range(labellers):
-            for c, weight in enumerate((count * (1 - posterior), count * posterior)):
-                table[i, c] = np.bincount(votes[:, i], weight, 3) + prior[c]
-        table[-1, :, ABSTAIN] = 0
+            for c in range(classes):
+                table[i, c] = np.bincount(votes[:, i], count * weight[:, c], 3) + prior[i, c]
         table /= table.sum(axis=2, keepdims=True)
-        table[-1, :, ABSTAIN] = 1  # missing
-        share = (count @ posterior + 1) / (count.sum() + 20)
-        logs = np.log(table)
-        reject = np.log(share) + sum(logs[i, 1, votes[:, i]] for i in range(labellers))
-        accept = np.log(1 - share) + sum(logs[i, 0, votes[:, i]] for i in range(labellers))
-        new = 1 / (1 + np.exp(np.clip(accept - reject, -500, 500)))
-        if np.abs(new - posterior).max(initial=0) < 1e-9:
+        table[-1] = [1 - ANNOTATOR, ANNOTATOR, 1]  # an abstention is only missing
+        table[-1, 0] = [ANNOTATOR, 1 - ANNOTATOR, 1]
+        # Accepted rows raise few false alarms: a prior with the weight of all rows.
+        alarms = (count @ weight[:, 0] * table[:-1, 0, REJECT] + FALSE_ALARMS * count.sum()) / (count @ weight[:, 0] + count.sum() + 1)
+        table[:-1, 0] *= ((1 - alarms) / (1 - table[:-1, 0, REJECT]))[:, None]
+        table[:-1, 0, REJECT] = alarms
+        # What no heuristic sees looks accepted to all of them.
+        table[:-1, -1] = table[:-1, 0]
+        table[:-1, -1, REJECT] = np.minimum(table[:-1, 0, REJECT], FALSE_ALARMS / 10)
+        share = count @ weight + 1
+        logs = np.log(share / share.sum()) + sum(np.log(table[i][:, votes[:, i]]).T for i in range(labellers))
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - weight).max(initial=0) < 1e-9:
             break
-        posterior = new
-    return posterior, table
+        weight = new
+    return 1 - weight[:, 0], table
 
 
 #: Statistics that are features, and how many bins make one.
@@ -181,7 +202,7 @@ def hashed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return place[order], np.cumsum(np.bincount(row, minlength=block.rows))
 
 
-def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-4, least: int = 8) -> np.ndarray:
+def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 400, decay: float = 1e-4, least: int = 8) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer, by accelerated full gradients.
 
     Features of fewer than ``least`` rows stay at zero. The others are scaled by their rarity while training,
@@ -223,12 +244,27 @@ def score(places: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarr
 
 @dataclass
 class Model:
+    """Scorer weights, labeller accuracies, and (codes, posteriors) of the patterns that no annotator voted on."""
+
     weights: dict[str, np.ndarray]
     accuracies: dict[str, np.ndarray]
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        places, ends = hashed(read_block(data, offsets))
-        return {task: score(places, ends, w) for task, w in self.weights.items()}
+    posteriors: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Scores by task, and the rows to keep."""
+        block = read_block(data, offsets)
+        places, ends = hashed(block)
+        scores, keep = {}, np.ones(block.rows, bool)
+        for task, votes in TASKS.items():
+            scores[task] = score(places, ends, self.weights[task])
+            known, posterior = self.posteriors[task]
+            code = codes(votes(block))
+            sure = np.zeros(block.rows, bool)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                sure = (known[at] == code) & (posterior[at] >= CERTAIN)
+            keep &= (scores[task] < THRESHOLD) & ~sure
+        return scores, keep
 
 
 def _gold(labels: DataFrame | None, spark) -> DataFrame:
@@ -273,14 +309,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     gold = _gold(labels, spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = _voted(rows, gold, False).groupBy(*names).agg(F.count("*").alias("n")).collect()  # bounded by the number of patterns
-    empty = read_block(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     posteriors, accuracies = {}, {}
-    for task, votes in TASKS.items():
+    for task, kinds in KINDS.items():
         sums: dict[int, int] = {}
         for r in counts:
             sums[r[task]] = sums.get(r[task], 0) + r["n"]
         code = np.array(sorted(sums), np.int64)
-        posterior, accuracies[task] = expectation_maximisation(decode(code, len(votes(empty)) + 1), np.array([sums[c] for c in code.tolist()], np.float64))
+        posterior, accuracies[task] = expectation_maximisation(decode(code, len(kinds) + 1), np.array([sums[c] for c in code.tolist()], np.float64), kinds)
         posteriors[task] = dict(zip(code.tolist(), posterior.tolist(), strict=True))
     whole = 1 << 30
     part = lambda n, total: F.lit(min(whole, int(whole * n / max(1, total))))
@@ -293,11 +328,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     places = np.frombuffer(b"".join(bytes(r["places"]) for r in sample), np.int32).astype(np.int64)
     ends = np.cumsum([len(r["places"]) // 4 for r in sample]).astype(np.int64)
     weights = {t: train(places, ends, np.array([posteriors[t][r[t]] for r in sample])) for t in names}
-    return Model(weights, accuracies)
+    silent = {t: sorted((c // 3, q) for c, q in known.items() if c % 3 == ABSTAIN) for t, known in posteriors.items()}
+    return Model(weights, accuracies, {t: (np.array([c for c, _ in x], np.int64), np.array([q for _, q in x])) for t, x in silent.items()})
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row: key, p_junk, p_toxic and kept (both below one half).
+    """One row per row: key, p_junk, p_toxic and kept.
+
+    A row is rejected where a scorer reaches ``THRESHOLD``, or where its heuristics alone are ``CERTAIN``.
 
     Null and empty texts have no features but the bins of zeros. Rows are independent; repeated
     ones get equal scores. Other columns are ignored. The model is fitted on ``docs`` itself where none is given.
@@ -311,8 +349,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, model: Model | No
         held = shared.value
         for batch in batches:
             for a, b in blocks(batch, 1):
-                p = held.scores(*text_bytes(batch.column(1).slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p["junk"]), pa.array(p["toxic"]), pa.array((p["junk"] < 0.5) & (p["toxic"] < 0.5))], names=["key", "p_junk", "p_toxic", "kept"])
+                p, keep = held.judge(*text_bytes(batch.column(1).slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p["junk"]), pa.array(p["toxic"]), pa.array(keep)], names=["key", "p_junk", "p_toxic", "kept"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, p_junk double, p_toxic double, kept boolean").withColumnRenamed("key", key)
 
@@ -329,7 +367,6 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: Model | N
         for batch in batches:
             for a, b in blocks(batch, column):
                 part = batch.slice(a, b - a)
-                p = held.scores(*text_bytes(part.column(column)))
-                yield part.filter(pa.array((p["junk"] < 0.5) & (p["toxic"] < 0.5)))
+                yield part.filter(pa.array(held.judge(*text_bytes(part.column(column)))[1]))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
