@@ -101,12 +101,14 @@ def standard_rules() -> dict[str, Column]:
     }
 
 
-def calibrate(rows: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
+def calibrate(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names in order of rejections per second on a sample of at most ``sample_rows`` rows (ties: by name).
 
-    The sample only orders the work. Its rows are the first that Spark finds; none is dropped from the result.
+    ``docs`` has a column text. The sample only orders the work: it is taken from the first partitions that have so
+    many rows, rather than from every partition, and none is dropped from the result.
     """
-    sample = rows.limit(sample_rows).cache()
+    taken = docs.select("text").limit(sample_rows).collect()  # a bounded number of rows; Spark stops at the first partitions
+    sample = features(docs.sparkSession.createDataFrame(taken, "text string")).cache()
     try:
         n = sample.count()
 
@@ -144,8 +146,9 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None, order: list[s
     judged like any other; other columns are ignored. ``order`` fixes the cascade and skips the sample.
     """
     rules = standard_rules() if rules is None else rules
-    rows = features(docs.select(F.col(key).alias(key), F.col(text).alias("text")))
-    order = calibrate(rows, rules) if order is None else order
+    texts = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    order = calibrate(texts, rules) if order is None else order
+    rows = features(texts)
     failed = F.expr(BASE)
     return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & cascade(rules, order).isNull()).alias("kept"))
 
