@@ -321,8 +321,9 @@ def codec(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "te
 
 
 def append_codes(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
-    """Every row with n_tokens and token_ids beside its own columns (which may not have those names)."""
+    """Every row with n_tokens and token_ids beside its own columns; columns of those names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop("n_tokens", "token_ids")
     path, column = environment_path(tokenizer), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 #: ASCII white space that ends a word in most contracts.
@@ -181,11 +182,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of ``n`` words in a row, at every position (the last ``n - 1`` positions have none)."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
+    # Multipliers without arithmetic relations: else windows with some words exchanged would collide.
+    factors = mix((np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(_ODD)) | np.uint64(1)
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
-        out += words[i : i + len(out)] * np.uint64((2 * i + 1) * 0xD1342543DE82EF95 % (1 << 64))
-        out = mix(out) if i in (n // 2, n - 1) else out
-    return out
+        out += words[i : i + len(out)] * factors[i]
+    return mix(out)
 
 
 def within_rows(first: np.ndarray, n: int) -> np.ndarray:
@@ -230,6 +232,7 @@ def join_words(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray
     return out, starts, ends
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a table's size, without reading it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Spark's own estimate of a table's size; where it has none (no files below, or joins), the bytes of the texts."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 50 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

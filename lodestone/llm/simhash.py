@@ -232,16 +232,18 @@ def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The row with the smallest key of each component, all columns.
 
-    Repeated rows of that key leave one (rows with equal keys and different texts are compared by text hash). Rows
-    with a null key stay as they are, having no name to be kept or dropped by.
+    Repeated rows of that key leave one (rows with equal keys and different texts: that with the smallest text hash).
+    Rows with a null key stay as they are, having no name to be kept or dropped by.
     """
+    head, again, first, hashed = (f"__lodestone_{x}" for x in ("head", "again", "first", "hash"))
     named = cluster(docs, text, key)
-    heads = stored(named.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("head")).distinct())
-    marked = docs.join(heads, F.col(key) == F.col("head"), "left").filter(F.col(key).isNull() | F.col("head").isNotNull()).drop("head")
-    repeated = docs.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n"), F.min(F.xxhash64(text)).alias("first")).filter("n > 1 AND again IS NOT NULL")
+    heads = stored(named.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(head)).distinct())
+    marked = docs.join(heads, F.col(key) == F.col(head), "left").filter(F.col(key).isNull() | F.col(head).isNotNull()).drop(head)
+    counted = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(again)).agg(F.count("*").alias(hashed), F.min(F.xxhash64(text)).alias(first))
+    repeated = stored(counted.filter(F.col(hashed) > 1).drop(hashed))
     if repeated.isEmpty():
         return marked
-    tied = marked.join(repeated.drop("n"), F.col(key) == F.col("again"), "left")
-    single = tied.filter("again IS NULL").select(*docs.columns)
-    several = tied.filter(F.xxhash64(text) == F.col("first")).select(*docs.columns).dropDuplicates([key])
+    tied = marked.join(repeated, F.col(key) == F.col(again), "left")
+    single = tied.filter(F.col(again).isNull()).select(*docs.columns)
+    several = tied.filter(F.xxhash64(text) == F.col(first)).select(*docs.columns).dropDuplicates([key])
     return single.unionByName(several)

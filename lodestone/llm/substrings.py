@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
     """
     spark = docs.sparkSession
     ship(spark)
-    n = max(8, -(-input_bytes(docs) // BLOCK_SIZE))
+    n = max(8, -(-input_bytes(docs, text) // BLOCK_SIZE))
     parts = 2 * n
     rank = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     rows = docs.select(F.pmod(F.xxhash64(rank), F.lit(n)).cast("int").alias("block"), rank.alias("rank"), F.col(text).alias("text"), F.col(key).cast("long").alias("key"))

@@ -245,7 +245,7 @@ def read(spark, where: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").load(where).select(*columns)
+    files = spark.read.format("binaryFile").load(where).filter("length > 0").select(*columns)  # no rows leave an empty file
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
