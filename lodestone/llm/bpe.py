@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, environment_path, ship, span_hashes, text_bytes
 
-TABLE_WORDS = 1_200_000
-PLACES = 1 << 21
+TABLE_WORDS = 300_000
+PLACES = 1 << 20
 _L, _N, _O, _S, _UNKNOWN = 0, 1, 2, 3, 255
 
 

@@ -21,8 +21,10 @@ from .common import LOWER, Words, blocks, row_of, ship, text_bytes
 from .rules import STOP_WORDS
 
 #: Expected rows of the training sample; the bound on what is fitted.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 12_000
 DIMENSIONS = 1 << 18
+#: Rows that a feature is in, at least, to get a weight.
+LEAST_ROWS = 8
 #: Scores from which a row is rejected, and posteriors of its heuristics alone.
 THRESHOLD, CERTAIN = 0.3, 0.99
 #: Common English insults, dealt into two overlapping labellers' lists.
@@ -202,7 +204,7 @@ def hashed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return place[order], np.cumsum(np.bincount(row, minlength=block.rows))
 
 
-def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 400, decay: float = 1e-4, least: int = 8) -> np.ndarray:
+def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 400, decay: float = 1e-4, least: int = LEAST_ROWS) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer, by accelerated full gradients.
 
     Features of fewer than ``least`` rows stay at zero. The others are scaled by their rarity while training,
@@ -325,9 +327,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     chosen = rows.join(picked, F.col("key") == F.col("picked"), "left").filter(some | F.col("picked").isNotNull()).select("key", "text")
     sample = _voted(chosen, gold, True).distinct().collect()  # about 1.5 * train_rows rows
     sample.sort(key=lambda r: (bytes(r["places"]), *(r[t] for t in names)))
-    places = np.frombuffer(b"".join(bytes(r["places"]) for r in sample), np.int32).astype(np.int64)
-    ends = np.cumsum([len(r["places"]) // 4 for r in sample]).astype(np.int64)
-    weights = {t: train(places, ends, np.array([posteriors[t][r[t]] for r in sample])) for t in names}
+    targets = {t: np.array([posteriors[t][r[t]] for r in sample]) for t in names}
+    sizes = np.array([len(r["places"]) // 4 for r in sample], np.int64)
+    places = np.frombuffer(b"".join(r["places"] for r in sample), np.int32)
+    del sample
+    # Features of a few rows are not trained on; they go before anything is widened.
+    used = np.bincount(places, minlength=DIMENSIONS)[places] >= LEAST_ROWS
+    sizes = np.add.reduceat(np.append(used, False), np.cumsum(sizes) - sizes, dtype=np.int64) if len(sizes) else sizes
+    places, ends = places[used].astype(np.int64), np.cumsum(sizes)
+    del used
+    weights = {t: train(places, ends, targets[t]) for t in names}
     silent = {t: sorted((c // 3, q) for c, q in known.items() if c % 3 == ABSTAIN) for t, known in posteriors.items()}
     return Model(weights, accuracies, {t: (np.array([c for c, _ in x], np.int64), np.array([q for _, q in x])) for t, x in silent.items()})
 

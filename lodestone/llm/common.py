@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: ASCII white space that ends a word in most contracts.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -86,6 +86,7 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
         end = min(n, max(at + 1, end))
         yield at, end
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
