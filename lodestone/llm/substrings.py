@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, gram_hashes, input_bytes, join_words, mix, row_of, ship, text_bytes, within_rows
 
 WINDOW, ANCHOR = 13, 5
-#: Stored bytes of a block.
-BLOCK_SIZE = 16 << 20
+#: Stored bytes of a bucket, which one task reads, and blocks in it, which are held one at a time.
+BUCKET_SIZE, BLOCKS = 16 << 20, 4
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _LAST = (1 << 63) - 1
 _tables: list[str] = []
@@ -249,12 +249,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
     """
     spark = docs.sparkSession
     ship(spark)
-    n = max(8, -(-input_bytes(docs, text) // BLOCK_SIZE))
-    parts = 2 * n
+    buckets = max(8, -(-input_bytes(docs, text) // BUCKET_SIZE))
+    n = BLOCKS * buckets  # several small blocks a bucket even out what a task reads
+    parts = 2 * buckets
     rank = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     rows = docs.select(F.pmod(F.xxhash64(rank), F.lit(n)).cast("int").alias("block"), rank.alias("rank"), F.col(text).alias("text"), F.col(key).cast("long").alias("key"))
     name = f"lodestone_blocks_{uuid.uuid4().hex}"
-    rows.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    rows.repartition(buckets, "block").write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     _tables.append(name)
     table = spark.table(name)
     anchors = table.select("block", "rank", "text").mapInArrow(_anchor_batches(window, parts), _REQUEST)
