@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, chunking, context, conversation, graph, relational, retrieval
+from ..operators import access, artifacts, chunking, context, conversation, graph, relational, retrieval, structure
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -499,3 +499,116 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token to the number of its rows; each row's tokens are made distinct in place, before any shuffle."""
     tokens = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n_docs")).filter("n_docs > 5")
+
+
+# --- structure and compiled facts ------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_RULES = [("shout", r"^[A-Z ]+!!", 1), ("short", r"^\S+( \S+){0,3}\.?$", 2)]
+
+
+@query(rf"""SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^[A-Z ]+!!') THEN 'shout' ELSE 'short' END AS rule, CASE WHEN regexp_matches(line, '^[A-Z ]+!!') THEN 1 ELSE 2 END AS level
+FROM ({_LINES}) WHERE regexp_matches(line, '^[A-Z ]+!!') OR regexp_matches(line, '^\S+( \S+){{0,3}}\.?$')""")
+def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.headings(_lines(spark, sf_dir), _RULES).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "rule", "level")
+
+
+@query(rf"""SELECT h.doc_id, line_no AS start, coalesce(lead(line_no) OVER (PARTITION BY h.doc_id ORDER BY line_no), n)::BIGINT AS until
+FROM ({_LINES}) h JOIN (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents) d ON h.doc_id = d.doc_id WHERE regexp_matches(line, '^\S+( \S+){{0,3}}\.?$')""")
+def heading_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as line ranges: each heading up to the next one, or to the end of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    marks = structure.headings(docs.filter(F.trim("line") != ""), _RULES[1:]).withColumn("start", F.col("line_no").cast("long"))
+    return structure.spans(marks, "doc_id", "start", F.col("n")).select("doc_id", "start", "until")
+
+
+@query()
+def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.pipe_rows(table(spark, sf_dir, "documents")).withColumn("size", F.length("record"))
+    return structure.pack(rows, "doc_id", "line_no", "size", 1000)
+
+
+_NEAR = "bool_or(contains(line, 'License')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+
+
+@query(f"SELECT doc_id, line_no, length(line) AS n FROM ({_LINES}) QUALIFY {_NEAR}")
+def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = structure.with_neighbours(_lines(spark, sf_dir), "doc_id", F.contains("line", F.lit("License")))
+    return near.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n"))
+
+
+@query(f"SELECT line, count(DISTINCT doc_id) AS n_rows FROM (SELECT doc_id, trim(line) AS line FROM ({_LINES})) GROUP BY line HAVING count(DISTINCT doc_id) >= 5")
+def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.furniture(_lines(spark, sf_dir), "doc_id", 5)
+
+
+@query(f"""SELECT doc_id, count(*) AS n_lines FROM ({_LINES}) WHERE trim(line) NOT IN (SELECT line FROM (SELECT doc_id, trim(line) AS line FROM ({_LINES})) GROUP BY line HAVING count(DISTINCT doc_id) >= 5) GROUP BY doc_id""")
+def furniture_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return structure.without_furniture(lines, structure.furniture(lines, "doc_id", 5)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"""SELECT doc_id, line_no, score FROM (SELECT doc_id, line_no, (len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')), ['the', 'version', 'license'])) + CASE WHEN contains(lower(line), 'version 2') THEN 2.5 ELSE 0 END)::DOUBLE AS score
+FROM ({_LINES}) WHERE regexp_matches(line, '[0-9]')) ORDER BY score DESC, doc_id, line_no LIMIT 8""")
+def count_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.count_evidence(_lines(spark, sf_dir), ["the", "version", "license"], ["version 2"])
+    return retrieval.top(found, 8, F.desc("score"), F.col("doc_id"), F.col("line_no")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "score")
+
+
+@query("""SELECT doc_id, line_no, round(0.75 * k / 3 + 0.25 * k / greatest(d, 1) + 0.05 * k, 6) AS score FROM (
+  SELECT doc_id, line_no, len(list_distinct(t)) AS d, len(list_intersect(list_distinct(t), ['the', 'of', 'and'])) AS k FROM (
+    SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+') AS t FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) WHERE contains(line, '|'))) WHERE k > 0""")
+def structured_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.contains("line", F.lit("|")))
+    tokens = T.tokens(F.col("line"))
+    scored = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(structure.row_score(tokens, ["the", "of", "and"]), 6).alias("score"))
+    return scored.filter("score > 0")
+
+
+_PROFILES = {"licence": ("licensed", "apache", "license"), "contact": ("@", "phone", "+1"), "table": ("|",)}
+
+
+@query("""SELECT doc_id, CASE WHEN greatest(c, l, t) < 2 THEN NULL WHEN c >= l AND c >= t THEN 'contact' WHEN l >= t THEN 'licence' ELSE 'table' END AS profile, greatest(c, l, t)::BIGINT AS score FROM (
+  SELECT doc_id, 2 * (contains(x, '@')::INT + contains(x, 'phone')::INT + contains(x, '+1')::INT) AS c, 2 * (contains(x, 'licensed')::INT + contains(x, 'apache')::INT + contains(x, 'license')::INT) AS l, 2 * contains(x, '|')::INT AS t
+  FROM (SELECT doc_id, lower(text) AS x FROM documents))""")
+def profile_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("p", structure.profile(F.col("text"), _PROFILES))
+    return rows.select("doc_id", "p.profile", "p.score")
+
+
+_ARTIFACTS = r"""SELECT sha1('identifier:' || doc_id || ':' || i) AS artifact_id, doc_id, i AS canonical_text, CASE WHEN length(i) >= 6 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence
+FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}', ' ', 'g'), '\b\d{3,8}\b'))) AS i FROM documents)"""
+
+
+@query(_ARTIFACTS)
+def artifact_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.compile_identifiers(table(spark, sf_dir, "documents")).drop("artifact_type")
+
+
+@query(f"SELECT artifact_id, doc_id, canonical_text FROM ({_ARTIFACTS}) WHERE contains(canonical_text, '12') AND confidence >= 0.5 ORDER BY confidence DESC, artifact_id LIMIT 25")
+def artifact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.search(artifacts.compile_identifiers(table(spark, sf_dir, "documents")), ["12"], 0.5, 25).select("artifact_id", "doc_id", "canonical_text")
+
+
+@query("""SELECT id, content, origin FROM (SELECT *, row_number() OVER (PARTITION BY lower(content) ORDER BY r, id) AS n FROM (
+  SELECT conv_id * 1000 + turn AS id, text AS content, 0 AS r, 'local' AS origin FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id * 1000 + turn, text, 1, 'remote' FROM conversations WHERE role = 'assistant')) WHERE n = 1""")
+def memory_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return artifacts.merge_memories(turns.filter("role = 'user'").drop("role"), turns.filter("role = 'assistant'").drop("role"))
+
+
+@query("""SELECT c_custkey, coalesce(last_total, n, NULL)::DOUBLE AS shown FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')::DOUBLE AS n0,
+  (SELECT arg_max(o_totalprice, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS last_total FROM customer), LATERAL (SELECT CASE WHEN n0 > 0 THEN n0 END AS n)""")
+def indexed_count_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest open order's total, else the number of finished ones, else null: one pass over the child table."""
+    o = table(spark, sf_dir, "orders")
+    is_open, done = F.col("o_orderstatus") == "O", F.count_if(F.col("o_orderstatus") == "F")
+    latest = F.max_by(F.col("o_totalprice"), F.when(is_open, F.struct("o_orderdate", "o_orderkey")))
+    sums = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(latest.alias("latest"), F.max(F.when(is_open, 1)).alias("any_open"), done.alias("done"))
+    shown = F.when(F.col("any_open") == 1, F.col("latest")).when(F.col("done") > 0, F.col("done").cast("double"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(sums, "c_custkey", "left").select("c_custkey", shown.alias("shown"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import access, chunking, context, conversation, graph, relational, retrieval
+from lodestone.operators import access, artifacts, chunking, context, conversation, graph, relational, retrieval, structure
 from lodestone.sources import files
 from lodestone.streaming import monitor
 
@@ -185,3 +185,18 @@ def test_server_sent_events():
     events = monitor.answer_events("two\nlines", ["1"])
     assert [e for e, _ in events] == ["metadata", "token", "citations", "done"]
     assert "event: token\ndata: two\ndata: lines\n\n" in monitor.server_sent(events)
+
+
+def test_packing_is_greedy(spark):
+    sizes = [4, 4, 4, 11, 3, 7, 1]
+    rows = frame(spark, [("t", i, n) for i, n in enumerate(sizes)], "k string, at long, size long")
+    got = [(r["first"], r["last"], r["total"]) for r in structure.pack(rows, "k", "at", "size", 10).orderBy("block").collect()]
+    assert got == [(0, 1, 8), (2, 2, 4), (3, 3, 11), (4, 5, 10), (6, 6, 1)]
+
+
+def test_answer_cleanup_and_gate(spark):
+    one = frame(spark, [("<think>x\ny</think>Answer [1].\n\n\n\nSources:\nEnd",)], "t string")
+    assert one.select(artifacts.clean_answer(F.col("t")).alias("t")).first()["t"] == "Answer [1].\n\nEnd"
+    facts = artifacts.compile_identifiers(frame(spark, [(1, "no 12345678 on 12/11/2024 or 777")], "doc_id long, text string"))
+    assert {r["canonical_text"] for r in facts.collect()} == {"12345678", "777"}
+    assert artifacts.sufficient(artifacts.search(facts, ["1234"], 0.5, 5), 0.9) and not artifacts.sufficient(artifacts.search(facts, ["777"], 0.5, 5), 0.9)
