@@ -21,7 +21,7 @@ from .common import LOWER, Words, blocks, row_of, ship, text_bytes
 from .rules import STOP_WORDS
 
 #: Expected rows of the training sample; the bound on what is fitted.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 DIMENSIONS = 1 << 18
 #: Rows that a feature is in, at least, to get a weight.
 LEAST_ROWS = 8
@@ -204,32 +204,43 @@ def hashed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return place[order], np.cumsum(np.bincount(row, minlength=block.rows))
 
 
-def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 400, decay: float = 1e-4, least: int = LEAST_ROWS) -> np.ndarray:
+def useful(places: np.ndarray, rows: int) -> np.ndarray:
+    """Which features tell rows apart: those of ``LEAST_ROWS`` rows or more and a fifth of all at most, and all statistics."""
+    seen = np.bincount(places, minlength=DIMENSIONS)
+    out = (seen >= LEAST_ROWS) & (seen <= max(rows // 5, LEAST_ROWS))
+    out[BIN_PLACES] = seen[BIN_PLACES] >= LEAST_ROWS
+    return out
+
+
+def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer, by accelerated full gradients.
 
-    Features of fewer than ``least`` rows stay at zero. The others are scaled by their rarity while training,
-    so that a telling word of a few rows counts beside words that most rows have.
+    Features are scaled by their rarity while training, so that a telling word of a few rows counts beside
+    words that many rows have.
     """
     out = np.zeros(DIMENSIONS + 1)
+    full = np.diff(ends, prepend=0) > 0
+    ends, target = ends[full], target[full]
     n = len(ends)
     if not n:
         return out
-    row = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes
     seen = np.bincount(places, minlength=DIMENSIONS)
-    used = seen[places] >= least
-    row, names = row[used], places[used]
-    features, names = np.unique(names, return_inverse=True)
+    features, names = np.unique(places, return_inverse=True)
     scale = np.minimum(1 / np.sqrt(seen[features] / n), 8.0)
     scale[np.isin(features, BIN_PLACES)] *= 3  # statistics of the whole text, dense and few
     x = scale[names]
-    # A bound on the curvature: the largest row sum times the largest column mean, by one power step.
-    bound = 0.25 * (np.bincount(names, x * np.bincount(row, x, n)[row], len(features)).max(initial=1.0) / n + 1)
+    # A bound on the curvature: the largest column sum of the rows' own sums.
+    row_sums = np.add.reduceat(x, begins)
+    bound = 0.25 * (np.bincount(names, x * np.repeat(row_sums, sizes), len(features)).max(initial=1.0) / n + 1)
     rate = 1 / (bound + decay)
     w = v = np.zeros(len(features))
     bias = v_bias = float(np.log(np.clip(target.mean(), 1e-4, 1 - 1e-4) / np.clip(1 - target.mean(), 1e-4, 1)))
     for k in range(1, rounds + 1):
-        error = (1 / (1 + np.exp(-np.clip(np.bincount(row, v[names] * x, n) + v_bias, -50, 50))) - target) / n
-        w_next = v - rate * (np.bincount(names, error[row] * x, len(features)) + decay * v)
+        logits = np.add.reduceat(v[names] * x, begins) + v_bias
+        error = (1 / (1 + np.exp(-np.clip(logits, -50, 50))) - target) / n
+        w_next = v - rate * (np.bincount(names, np.repeat(error, sizes) * x, len(features)) + decay * v)
         bias_next = v_bias - rate * error.sum()
         push = (k - 1) / (k + 2)
         v, v_bias = w_next + push * (w_next - w), bias_next + push * (bias_next - bias)
@@ -331,9 +342,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     sizes = np.array([len(r["places"]) // 4 for r in sample], np.int64)
     places = np.frombuffer(b"".join(r["places"] for r in sample), np.int32)
     del sample
-    # Features of a few rows are not trained on; they go before anything is widened.
-    used = np.bincount(places, minlength=DIMENSIONS)[places] >= LEAST_ROWS
-    sizes = np.add.reduceat(np.append(used, False), np.cumsum(sizes) - sizes, dtype=np.int64) if len(sizes) else sizes
+    # Features of a few rows, and words of very many, are not trained on; they go before anything is widened.
+    used = useful(places, len(sizes))[places]
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[used], minlength=len(sizes))
     places, ends = places[used].astype(np.int64), np.cumsum(sizes)
     del used
     weights = {t: train(places, ends, targets[t]) for t in names}
