@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, dac, decontaminate, rules, secrets, sharding, simhash, substrings, warc
+from . import bpe, classifier, dac, decontaminate, rules, secrets, sharding, simhash, sql, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": rules.SQL}
+    return {"op1_quality_rules": rules.SQL, "op3_substring_dedup": sql.OP3, "op4_warc_archives": sql.OP4, "op7_decontamination": sql.OP7}

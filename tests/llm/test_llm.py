@@ -451,3 +451,17 @@ def test_pipeline(spark, data, tokenizer):
                 assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == tokenizer.encode(r["text"]).ids
     whole = corpus_pipeline.run(spark, data)
     assert sorted(r["doc_id"] for r in whole.select("doc_id").collect()) == sorted(after)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    got = queries.queries()[name](spark, data)
+    assert sorted(got.columns) == sorted(names)
+    assert multiset(got.select(*names).collect()) == multiset(found.fetchall())
