@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows on which costs and selectivities are measured.
 SAMPLE_ROWS = 400
+#: Texts of fewer bytes are in the sample, which therefore fits any driver.
+SAMPLE_BYTES = 1 << 16
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -107,7 +109,8 @@ def calibrate(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMP
     ``docs`` has a column text. The sample only orders the work: it is taken from the first partitions that have so
     many rows, rather than from every partition, and none is dropped from the result.
     """
-    taken = docs.select("text").limit(sample_rows).collect()  # a bounded number of rows; Spark stops at the first partitions
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < SAMPLE_BYTES
+    taken = docs.select("text").filter(short).limit(sample_rows).collect()  # bounded; Spark stops at the first partitions
     sample = features(docs.sparkSession.createDataFrame(taken, "text string")).cache()
     try:
         n = sample.count()
