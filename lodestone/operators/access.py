@@ -90,3 +90,17 @@ def descendants(nodes: DataFrame, root: str, code: str = "code", parent: str = "
             break
         found = found.unionByName(level)
     return found
+
+
+def granted(subjects: DataFrame, grants: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """(subject columns, resource, how): grants that name a subject by any of several keys.
+
+    ``grants`` has kind, value and resource; ``keys`` maps a kind to the subject's column. An either-or join is a
+    union of one equality join a kind, so each can be hashed or broadcast.
+    """
+    parts = None
+    for kind, column in keys.items():
+        mine = grants.filter(F.col("kind") == kind).select(F.col("value").alias("_value"), "resource")
+        part = subjects.join(mine, F.col(column).cast("string") == F.col("_value")).drop("_value").withColumn("how", F.lit(kind))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts

@@ -60,3 +60,16 @@ def pipe_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     cells = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     rows = lines.withColumn("cells", cells).filter(F.size("cells") >= least)
     return rows.select(key, F.col("line_no").cast("long").alias("line_no"), F.size("cells").cast("long").alias("n_cells"), F.concat(F.lit("TABLE_ROW "), F.array_join("cells", " | ")).alias("record"))
+
+
+def missing_lines(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", chunk: str = "chunk") -> DataFrame:
+    """(key, n_lines, n_missing): lines of a row that, in lower case, are in none of its chunks' joined texts.
+
+    Chunks are rebuilt in order without their overlaps, so a line cut by a boundary is still found.
+    """
+    at = F.struct("chunk_index", "start", "end", F.col(chunk).alias("body"))
+    step = lambda acc, c: F.struct(F.concat(acc["text"], F.substr(c["body"], (acc["end"] - c["start"] + 1).cast("int"))).alias("text"), c["end"].alias("end"))
+    whole = chunks.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(at)), F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end")), step)["text"].alias("whole"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    joined = docs.select(key, lines.alias("lines")).join(whole, key, "left").withColumn("whole", F.lower(F.coalesce("whole", F.lit(""))))
+    return joined.select(key, F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: ~F.contains(F.col("whole"), F.lower(x)))).cast("long").alias("n_missing"))

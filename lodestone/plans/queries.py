@@ -612,3 +612,32 @@ def indexed_count_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(latest.alias("latest"), F.max(F.when(is_open, 1)).alias("any_open"), done.alias("done"))
     shown = F.when(F.col("any_open") == 1, F.col("latest")).when(F.col("done") > 0, F.col("done").cast("double"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(sums, "c_custkey", "left").select("c_custkey", shown.alias("shown"))
+
+
+@query("""SELECT c_custkey, resource, how FROM (
+  SELECT c_custkey, 'kb' || s_nationkey AS resource, 'user' AS how FROM customer JOIN supplier ON c_custkey = s_suppkey
+  UNION ALL SELECT c_custkey, 'kb' || n_regionkey, 'organization' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+  UNION ALL SELECT c_custkey, 'kb9', 'role' FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def kb_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge bases open to each customer by key, by nation or by segment."""
+    c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
+    name = lambda x: F.concat(F.lit("kb"), F.col(x).cast("string")).alias("resource")
+    grants = s.select(F.lit("user").alias("kind"), F.col("s_suppkey").cast("string").alias("value"), name("s_nationkey"))
+    grants = grants.unionByName(n.filter("n_regionkey = 1").select(F.lit("organization").alias("kind"), F.col("n_nationkey").cast("string").alias("value"), name("n_regionkey")))
+    grants = grants.unionByName(spark.range(1).select(F.lit("role").alias("kind"), F.lit("BUILDING").alias("value"), F.lit("kb9").alias("resource")))
+    subjects = c.select("c_custkey", "c_nationkey", "c_mktsegment")
+    return access.granted(subjects, grants, {"user": "c_custkey", "organization": "c_nationkey", "role": "c_mktsegment"}).select("c_custkey", "resource", "how")
+
+
+@query(rf"""SELECT identifier, doc_id, source FROM (SELECT identifier, unnest(ids) AS doc_id FROM (SELECT identifier, list_sort(list(doc_id)) AS ids FROM ({_IDS}) GROUP BY identifier HAVING count(*) >= 2)) JOIN documents USING (doc_id)""")
+def artifact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of two rows or more, joined back to each of their rows."""
+    found = _identifiers(spark, sf_dir)
+    shared = found.groupBy("identifier").agg(F.count("*").alias("n")).filter("n >= 2").select("identifier")
+    return found.join(shared, "identifier").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("identifier", "doc_id", "source")
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n_lines, 0::BIGINT AS n_missing FROM documents""")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return chunking.missing_lines(docs, chunking.split(docs))
