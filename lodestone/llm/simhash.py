@@ -238,12 +238,13 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     head, again, first, hashed = (f"__lodestone_{x}" for x in ("head", "again", "first", "hash"))
     named = cluster(docs, text, key)
     heads = stored(named.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(head)).distinct())
-    marked = docs.join(heads, F.col(key) == F.col(head), "left").filter(F.col(key).isNull() | F.col(head).isNotNull()).drop(head)
+    # A shuffled hash join at every size: the narrow side is hashed, and texts are dealt out once and not sorted.
+    marked = docs.join(heads.hint("shuffle_hash"), F.col(key) == F.col(head), "left").filter(F.col(key).isNull() | F.col(head).isNotNull()).drop(head)
     counted = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(again)).agg(F.count("*").alias(hashed), F.min(F.xxhash64(text)).alias(first))
     repeated = stored(counted.filter(F.col(hashed) > 1).drop(hashed))
     if repeated.isEmpty():
         return marked
-    tied = marked.join(repeated, F.col(key) == F.col(again), "left")
+    tied = marked.join(repeated.hint("shuffle_hash"), F.col(key) == F.col(again), "left")
     single = tied.filter(F.col(again).isNull()).select(*docs.columns)
     several = tied.filter(F.xxhash64(text) == F.col(first)).select(*docs.columns).dropDuplicates([key])
     return single.unionByName(several)
