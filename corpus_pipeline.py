@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash links stays, that with the smallest key."""
-    return simhash.one_of_each(docs)
+    """One document of each group of SimHash links stays, that with the smallest key (null keys last)."""
+    return simhash.one_of_each(docs, null_keys=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

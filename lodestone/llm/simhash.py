@@ -220,31 +220,57 @@ def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     component unless it has no other key. Repeated rows are each answered. Extra columns are ignored.
     """
     rows = stored(fingerprints(docs, text, key))
+    by_fp = _components_of(rows)
+    return rows.join(by_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components_of(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of ``rows`` (key, fp)."""
     distinct = stored(rows.groupBy("fp").agg(F.min("key").alias("node")))
-    roots = components(links(distinct, distinct.count()))
+    return name_components(distinct, components(links(distinct, distinct.count())))
+
+
+def name_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest ``node`` of the component that ``roots`` (node, root) puts each fp of ``distinct`` in."""
     least = distinct.join(roots.withColumnRenamed("node", "at"), F.col("fp") == F.col("at"), "left")
     named = least.select("fp", "node", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("node").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(names, "root").select("fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The row with the smallest key of each component, all columns.
+def row_ids(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """text and key, the latter a struct that names a row by key and text hash; null keys come last."""
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
+    return docs.select(name.alias("key"), F.col(text).alias("text"))
 
-    Repeated rows of that key leave one (rows with equal keys and different texts: that with the smallest text hash).
-    Rows with a null key stay as they are, having no name to be kept or dropped by.
-    """
-    head, again, first, hashed = (f"__lodestone_{x}" for x in ("head", "again", "first", "hash"))
-    named = cluster(docs, text, key)
-    heads = stored(named.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(head)).distinct())
+
+def only_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` that ``heads`` (head, of ``row_ids``) names, one a name; ``rows`` has the name of every row."""
+    none, named, hashed = (f"__lodestone_{x}" for x in ("none", "key", "hash"))
+    parts = [F.col("head.key").alias(named), F.col("head.hash").alias(hashed)]
+    same = F.col(key).eqNullSafe(F.col(named)) & (F.xxhash64(F.col(text)) == F.col(hashed))
     # A shuffled hash join at every size: the narrow side is hashed, and texts are dealt out once and not sorted.
-    marked = docs.join(heads.hint("shuffle_hash"), F.col(key) == F.col(head), "left").filter(F.col(key).isNull() | F.col(head).isNotNull()).drop(head)
-    counted = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(again)).agg(F.count("*").alias(hashed), F.min(F.xxhash64(text)).alias(first))
-    repeated = stored(counted.filter(F.col(hashed) > 1).drop(hashed))
+    marked = docs.join(heads.select(*parts).hint("shuffle_hash"), same, "left_semi")
+    counted = rows.groupBy(F.col("key").alias("head")).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = stored(counted.join(heads, "head", "left_semi").select(*parts, F.lit(True).alias(none)))
     if repeated.isEmpty():
         return marked
-    tied = marked.join(repeated.hint("shuffle_hash"), F.col(key) == F.col(again), "left")
-    single = tied.filter(F.col(again).isNull()).select(*docs.columns)
-    several = tied.filter(F.xxhash64(text) == F.col(first)).select(*docs.columns).dropDuplicates([key])
+    tied = marked.join(repeated.hint("shuffle_hash"), same, "left")
+    single = tied.filter(F.col(none).isNull()).select(*docs.columns)
+    several = tied.filter(F.col(none).isNotNull()).dropDuplicates([named, hashed]).select(*docs.columns)
     return single.unionByName(several)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", null_keys: bool = False) -> DataFrame:
+    """One row of each component, all columns: that with the smallest key, then the smallest text hash.
+
+    Rows are told apart by key and text, so equal keys with unlike texts are separate rows; of rows equal in both, one
+    stays. Rows with a null key stay as they are, unless ``null_keys``: then they are members like any other and come
+    after all named ones of their component.
+    """
+    rows = stored(fingerprints(row_ids(docs, text, key), "text", "key"))
+    heads = stored(_components_of(rows).select(F.col("component_id").alias("head")).distinct())
+    if null_keys:
+        return only_heads(docs, rows, heads, text, key)
+    named = only_heads(docs.filter(F.col(key).isNotNull()), rows, heads, text, key)
+    return named.unionByName(docs.filter(F.col(key).isNull()))

@@ -333,6 +333,20 @@ def test_one_of_each(awkward):
     assert set(named) == want
 
 
+def test_one_of_each_tells_rows_apart(spark):
+    """Repeated keys with unlike texts, a near copy of one of them, and null keys."""
+    a, b, c, d, e = (" ".join(f"{x}{i * i % 97}" for i in range(80)) for x in "abcde")
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, c), (None, b), (None, d), (None, d), *((7, f"{e} {i} " * 3 + c[i:]) for i in range(9))]
+    fps = [brute.fingerprint(t) for _, t in rows]
+    groups = brute.components(range(len(rows)), fps)
+    got = pairs(simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(5), null_keys=True))
+    assert len(got) == len(set(groups)) == len(set(got))
+    where = {r: g for r, g in zip(rows, groups)}
+    for row in got:
+        assert row[0] == min((k for (k, _), g in zip(rows, groups) if g == where[row] and k is not None), default=None)
+    assert {(1, a), (1, b), (2, c), (None, d)} <= set(got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 100)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
