@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last two
 return the columns of ``documents``.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, classifier, decontaminate, secrets, simhash
+from lodestone.llm import bpe, classifier, decontaminate, secrets, similar, simhash
 from lodestone.llm.common import shared_dir, stored
 
 
@@ -38,7 +38,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.append_codes(docs)
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", benchmark_free), ("secret scans", secret_free), ("BPE encoding", tokens)]
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that a five-word-shingle similarity of 0.8 or more connects stays: near copies beyond SimHash's four bits go."""
+    return similar.one_of_each(docs)
+
+
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", benchmark_free), ("secret scans", secret_free), ("BPE encoding", tokens), ("similar copies", dissimilar)]
 
 #: A trained scorer and connected components have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, classifier, common, dac, decontaminate, queries, rules, secrets, sharding, simhash, substrings, warc
+from lodestone.llm import bpe, classifier, common, dac, decontaminate, queries, rules, secrets, sharding, similar, simhash, substrings, warc
 
 from . import brute
 
@@ -347,6 +347,45 @@ def test_one_of_each_tells_rows_apart(spark):
     assert {(1, a), (1, b), (2, c), (None, d)} <= set(got)
 
 
+def test_similar_copies(spark, monkeypatch):
+    """Copies with 1 to 20 % of their five-word shingles changed go, unlike texts stay; the end equals brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 300)]
+        rows.append((len(rows), " ".join(base)))
+        for changed in (0, 1, 2, 3, 6, 12, 20):  # similarity 1, .97, .93, .9, .82, about .67 and .5
+            copy = list(base)
+            for at in rng.choice(59, changed, replace=False):
+                copy[at * 5 + 2] = f"new{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(None, rows[0][1]), (0, "other words"), (0, "Other  WORDS"), (3, None), (4, " "), (9000, "one two three four five"), (9001, "one two three four five six")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := brute.words(brute.lower(t))) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for limit in (similar.CLUSTER_BYTES, 5000):  # whole clusters, and large ones dealt out as pairs of chunks
+        monkeypatch.setattr(similar, "CLUSTER_BYTES", limit)
+        got = pairs(similar.one_of_each(frame))
+        where = dict(zip(rows, root))
+        assert sorted(where[r] for r in got) == sorted(set(root))
+        assert all(k == min(x for (x, _), r in zip(rows, root) if r == where[k, t] and x is not None) for k, t in got)
+
+
+def test_pipeline_drops_similar_copies(spark, data, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    copies = [(i, " ".join(words[:at] + ["changed"] + words[at + 1 :])) for i, at in enumerate((10, 60, 110, 160))]
+    copies += [(10, " ".join(words)), (11, " ".join("x" if i % 50 == 25 else w for i, w in enumerate(words)))]
+    last = dict(corpus_pipeline.STAGES)["similar copies"]
+    assert [k for k, _ in pairs(last(spark, spark.createDataFrame(copies, SCHEMA), data))] == [0]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 100)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
