@@ -90,6 +90,29 @@ def keyword_scores(docs: DataFrame, terms: Sequence[str], exact: Sequence[str] =
     return found.filter(all_terms | (F.size("matched") > 0)).withColumn("n_exact", F.size("matched").cast("long")).withColumn("score", share + 10.0 * F.size("matched")).drop("words")
 
 
+def whole_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", term_key: str = "item_id", text: str = "text", pattern: str = "[a-z0-9]+", head: int = 5) -> DataFrame:
+    """(term_key, key) for each row whose words hold all words of a term in a row.
+
+    A term's first words (at most ``head``, fewer where it is shorter) are joined with the rows' word sequences for
+    candidates; the whole term is then looked up in the candidate's words. Terms without words match nothing,
+    repeated terms count once and repeated rows each.
+    """
+    padded = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    words = T.tokens(F.col(text), pattern)
+    wanted = terms.select(F.col(term_key).alias("term_key"), words.alias("w")).filter(F.size("w") > 0)
+    wanted = wanted.select("term_key", padded(F.col("w")).alias("term"), F.array_join(F.slice("w", 1, head), " ").alias("gram"), F.least(F.size("w"), F.lit(head)).alias("n")).distinct()
+    rows = docs.select(F.col(key).alias("row_key"), F.xxhash64(text).alias("hash"), words.alias("w"))
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most ``head`` numbers
+    empty = F.array().cast("array<string>")
+    starts = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(empty)
+    grams = F.array_distinct(F.concat(empty, *map(starts, sizes)))
+    near = rows.select("row_key", "hash", F.explode(grams).alias("gram")).join(wanted, "gram").select("row_key", "hash", "term_key", "term").distinct()
+    near = near.withColumnsRenamed({"row_key": "near_key", "hash": "near_hash"})
+    same = F.col("row_key").eqNullSafe(F.col("near_key")) & (F.col("hash") == F.col("near_hash"))
+    found = rows.join(near, same).filter(F.contains(padded(F.col("w")), F.col("term")))
+    return found.select(F.col("term_key").alias(term_key), F.col("row_key").alias(key))
+
+
 def fuse(left: DataFrame, right: DataFrame, key: str, weights: tuple[float, float] = (1.0, 1.0), k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two (key, rank) lists: key, fused and source flags."""
     a, b = left.select(F.col(key), F.col("rank").alias("left_rank")), right.select(F.col(key), F.col("rank").alias("right_rank"))

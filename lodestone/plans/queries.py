@@ -147,6 +147,15 @@ def keyword_exact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(items, "gram").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+@query("""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents),
+q AS (SELECT DISTINCT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS term FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0)
+SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN d ON contains(d.words, q.term) GROUP BY item_id""")
+def keyword_whole_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all of an item's words in a row (``keyword_exact_terms`` has the first five only)."""
+    found = retrieval.whole_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 _LISTS = f"""a AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ({_SPARSE}) QUALIFY rank <= 60),
 b AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY n_exact DESC, round(score, 6) DESC, doc_id) AS rank FROM ({_KEYWORD}) QUALIFY rank <= 60),
 f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS fused,

@@ -2,6 +2,7 @@
 
 import datetime
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,11 @@ def test_answer_cleanup_and_gate(spark):
     facts = artifacts.compile_identifiers(frame(spark, [(1, "no 12345678 on 12/11/2024 or 777")], "doc_id long, text string"))
     assert {r["canonical_text"] for r in facts.collect()} == {"12345678", "777"}
     assert artifacts.sufficient(artifacts.search(facts, ["1234"], 0.5, 5), 0.9) and not artifacts.sufficient(artifacts.search(facts, ["777"], 0.5, 5), 0.9)
+
+
+def test_whole_terms(spark):
+    docs = spark.createDataFrame([(1, "One two, three four five SIX seven"), (2, "one two three four five other"), (3, "xone two"), (None, "one two"), (4, None), (5, "one two"), (5, "one two")], "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "one two three four five six"), (2, "one two"), (3, "--"), (4, None), (2, "one two"), (5, "six"), (6, "two three four five six seven eight")], "item_id long, text string")
+    got = Counter((r["item_id"], r["doc_id"]) for r in retrieval.whole_terms(docs, terms).collect())
+    assert got == Counter([(1, 1), (2, 1), (2, 2), (2, None), (2, 5), (2, 5), (5, 1)])
+    assert retrieval.whole_terms(docs, terms.filter("item_id = 3")).count() == 0
