@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, classifier, dac, decontaminate, rules, secrets, sharding, simhash, sql, substrings, warc
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
-    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = stored(parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+    substrings.forget(spark)
+    return digests
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

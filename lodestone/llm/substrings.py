@@ -1,19 +1,17 @@
 """Substring dedup by Relative Lempel-Ziv parsing of documents against indexed reference blocks.
 
-Documents are dealt into blocks by key and stored once, bucketed by block. Each block is a
-reference for all others through an exchanged index rather than by its text:
-
-1. Anchors. Every window of 13 words has an anchor, the least hash of its 5-word sequences; equal windows have
-   equal anchors. Blocks send their distinct anchors (about a fifth of their words) to hash parts, which
-   answer with those that occur in more than one document.
-2. Windows. Blocks send the 96-bit hashes of the windows under such anchors, each with its smallest key; the
-   parts answer with the smallest key of all blocks where that is a smaller document.
-3. Parsing. Each document is parsed greedily: where its next window occurs in a smaller document, the factor
-   grows as long as the following windows occur in that same document. A factor has 13 words or more.
-   The windows across a factor's boundary are looked up too, and begin factors of their own.
-
-A block sends a window once however often it occurs there, so a passage in a third of all documents
-costs one entry a block; there is no hot group. No text leaves its block after the first step.
+Documents are dealt into blocks and stored once, bucketed by block. Reference blocks are cut by content, not by document:
+
+1. Anchors. Every window of 13 words has an anchor, the least hash of its 5-word sequences; equal windows have equal
+   anchors. Blocks say which anchors they hold, and are told those that more than one document has.
+2. Segments. A run of windows with one such anchor, as words, goes to the reference block of its anchor, the only one that can
+   hold its windows. A block sends equal segments once. An anchor of many blocks has a reference block for each of its windows.
+3. Parsing. A reference block indexes its segments by window and parses each of them greedily against those of smaller
+   documents: the factor that begins at a window grows word by word in its source. Then the windows across the factor's
+   end are looked up, and the first that is found begins the next factor. Factors have 13 words or more.
+4. Spans. The factors go back to their documents' blocks, and the words that they cover are removed.
+
+Hashes only choose candidates: windows and factors are compared as words. No step sends a row for a pair of blocks.
 """
 
 from __future__ import annotations
@@ -23,250 +21,322 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, gram_hashes, input_bytes, join_words, mix, row_of, ship, text_bytes, within_rows
 
 WINDOW, ANCHOR = 13, 5
-#: Stored bytes of a bucket, which one task reads, and blocks in it, which are held one at a time.
-BUCKET_SIZE, BLOCKS = 16 << 20, 4
-_SECOND = np.uint64(0xA0761D6478BD642F)
+#: Stored bytes of a block, which a task holds at once, and the most buckets that blocks are stored in.
+BLOCK_SIZE, BUCKETS = 4 << 20, 50_000
+#: Windows of a segment at most.
+RUN = 64
+#: Batches that hold an anchor from which its windows are sent one by one.
+HOT = 16
 _LAST = (1 << 63) - 1
 _tables: list[str] = []
 
 
-def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all windows inside rows; their anchors; two hashes."""
-    hashes = words.hashes()
-    at = within_rows(words.first, window)
-    grams = gram_hashes(hashes, ANCHOR)
-    span = window - ANCHOR + 1
-    if len(grams) < span:
-        none = np.zeros(0, np.uint64)
-        return at[:0], none, none, none.astype(np.uint32)
+def _runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first window, number of windows, anchor) of runs of windows that follow each other with one anchor."""
+    at, size = within_rows(words.first, window), min(ANCHOR, window)
+    grams, span = gram_hashes(words.hashes(), size), window - size + 1
+    if len(grams) < span or not len(at):
+        return at[:0], at[:0], np.zeros(0, np.uint64)
     # Sliding minimum by doubling.
     least, width = grams, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     n = len(grams) - span + 1
-    least = np.minimum(least[:n], least[span - width : span - width + n])
-    first = gram_hashes(hashes, window)
-    second = gram_hashes(mix(hashes ^ _SECOND), window)
-    return at, least[at], first[at], (second[at] >> np.uint64(32)).astype(np.uint32)
+    anchors = np.minimum(least[:n], least[span - width : span - width + n])[at]
+    row = row_of(words.first)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+    begun = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    new |= (np.arange(len(at)) - begun) % RUN == 0
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.append(first, len(at))), anchors[first]
 
 
-def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    at, anchors, _, _ = _windows(words, window)
-    return row_of(words.first)[at] if len(at) else at, anchors
+def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (rank, key, text) with how often each is in its batch, so that one row repeated very often stays small."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).group_by(["rank", "key", "text"], use_threads=False).aggregate([([], "count_all")])
+        yield from table.rename_columns(["rank", "key", "text", "copies"]).select(["rank", "key", "text", "copies"]).to_batches()
 
 
-def _least(keys: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Distinct keys, the least rank of each, and whether it has more than one rank."""
-    order = np.lexsort((rank, *reversed(keys)))
-    keys, rank = tuple(k[order] for k in keys), rank[order]
-    new = np.ones(len(rank), bool)
-    if len(rank):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(rank)) - 1
-    return tuple(k[first] for k in keys), rank[first], rank[last] > rank[first] if len(first) else np.zeros(0, bool)
-
-
-def _requests(block: int, parts: int, keys: tuple[np.ndarray, ...], rank: np.ndarray, several: np.ndarray, with_rank: bool) -> pa.Table:
-    """A row for each part: the block's entries that belong there."""
-    part = (keys[0] >> np.uint64(40)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
-    ends = np.append(first[1:], len(part))[: len(first)]
-    columns = {"part": pa.array(part[first].astype(np.int32)), "block": pa.array(np.full(len(first), block, np.int32))}
-    values = {"h1": keys[0], "h2": keys[1] if len(keys) > 1 else np.zeros(0, np.uint32), "least": rank if with_rank else np.zeros(0, np.int64), "several": several.astype(np.uint8)}
-    for name, value in values.items():
-        value = value[order] if len(value) else value
-        columns[name] = pa.array([value[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())
-    return pa.table(columns)
-
-
-_REQUEST = "part int, block int, h1 binary, h2 binary, least binary, several binary"
-_ANSWER = "block int, h1 binary, h2 binary, least binary"
-
-
-def _array(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def _answers(entries: pa.Table) -> pa.Table:
-    """What a part answers: anchors of several documents, or windows that a smaller document has."""
-    sizes = [len(x) // 8 for x in entries["h1"].to_pylist()]
-    block = np.repeat(np.array(entries["block"].to_pylist(), np.int32), sizes)
-    h1, h2, least, several = (_array(entries[c], k) for c, k in (("h1", np.uint64), ("h2", np.uint32), ("least", np.int64), ("several", np.uint8)))
-    windows = bool(len(h2))
-    order = np.lexsort((h2, h1)) if windows else np.argsort(h1)
-    h1, block, several = h1[order], block[order], several[order]
-    new = np.ones(len(h1), bool)
-    new[1:] = h1[1:] != h1[:-1]
-    if windows:
-        h2, least = h2[order], least[order]
-        new[1:] |= h2[1:] != h2[:-1]
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(h1)))
-    if windows:
-        smallest = np.repeat(np.minimum.reduceat(least, first), n)
-        told = (least > smallest) | (several > 0)
-    else:
-        told = np.repeat((n > 1) | (np.maximum.reduceat(several, first) > 0), n)
-    keep = np.flatnonzero(told)
-    keep = keep[np.argsort(block[keep], kind="stable")]
-    at = np.flatnonzero(np.diff(block[keep], prepend=-1))
-    ends = np.append(at[1:], len(keep))[: len(at)]
-    cut = lambda v: pa.array([v[keep[a:b]].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())
-    none = pa.array([b""] * len(at), pa.binary())
-    return pa.table({"block": pa.array(block[keep[at]]), "h1": cut(h1), "h2": cut(h2) if windows else none, "least": cut(smallest) if windows else none})
-
-
-def _anchor_batches(window: int, parts: int):
+def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, anchor, documents) of each batch of (block, text)."""
         for batch in batches:
-            ids, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in np.unique(ids).tolist():
-                mine = batch if ids[0] == ids[-1] == block and (ids == block).all() else batch.filter(pa.array(ids == block))
-                ranks = rank[ids == block]
-                anchors, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for a, b in blocks(mine, 2):
-                    row, found = _anchors(Words(*text_bytes(mine.column(2).slice(a, b - a))), window)
-                    if len(found):
-                        # A window's neighbour mostly has its anchor.
-                        new = np.ones(len(found), bool)
-                        new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-                        anchors.append(found[new])
-                        owners.append(ranks[a:b][row[new]])
-                keys, least, several = _least((np.concatenate(anchors),), np.concatenate(owners))
-                yield from _requests(block, parts, keys, least, several, False).to_batches()
+            ids, found = batch.column(0).to_numpy(), [(np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+            for a, b in blocks(batch, 1):
+                words = Words(*text_bytes(batch.column(1).slice(a, b - a)))
+                begin, _, anchors = _runs(words, window)
+                row = row_of(words.first)[begin]
+                order = np.lexsort((anchors, row))
+                row, anchors = row[order], anchors[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchors[1:] != anchors[:-1])
+                found.append((ids[a:b][row[new]], anchors[new]))
+            ids, anchors = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, anchors))
+            ids, anchors = ids[order], anchors[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (anchors[1:] != anchors[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int32()), pa.array(anchors[first].view(np.int64)), pa.array(n, pa.int64())], names=["block", "anchor", "documents"])
 
     return run
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which values are in the sorted array ``among``."""
-    out = np.zeros(len(values), bool)
     if not len(among):
-        return out
-    quick = np.zeros(1 << 22, bool)
-    quick[(among & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    maybe = np.flatnonzero(quick[(values & np.uint64((1 << 22) - 1)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(among, values[maybe]), len(among) - 1)
-    out[maybe] = among[at] == values[maybe]
-    return out
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+_SEGMENTS = "key long, rank long, block int, slots binary, starts binary, ends binary, sources binary, text binary"
+_FACTORS = "block int, slots binary, starts binary, ends binary, sources binary"
+
+
+def _merged(slot: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one slot and source that overlap, as one."""
+    order = np.lexsort((start, source, slot))
+    slot, start, end, source = slot[order], start[order], end[order], source[order]
+    if not len(slot):
+        return slot, start, end, source
+    other = np.ones(len(slot), bool)
+    other[1:] = (slot[1:] != slot[:-1]) | (source[1:] != source[:-1])
+    # Ends so far within a slot and source: groups are told apart by an offset beyond any end.
+    wide = np.cumsum(other) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + wide)
+    new = other.copy()
+    new[1:] |= start[1:] + wide[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return slot[first], start[first], np.maximum.reduceat(end, first), source[first]
 
 
-def _window_requests(window: int, parts: int):
+def _segments(window: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        shared = np.sort(_array(answers["h1"], np.uint64))
-        out = [_requests(0, parts, (np.zeros(0, np.uint64), np.zeros(0, np.uint32)), np.zeros(0, np.int64), np.zeros(0, bool), True)]
+        """The segments of a block with shared anchors, and the factors that it finds among its own."""
+        told = answers["anchor"].to_numpy().view(np.uint64)
+        order = np.argsort(told)
+        shared, hot = told[order], answers["hot"].to_numpy(zero_copy_only=False)[order]
+        numbers: dict[bytes, int] = {}
+        keys: list[int] = []
+        found = [(np.zeros(0, np.int64),) * 5]
         for batch in texts.to_batches():
-            rank = batch.column(1).to_numpy()
-            found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-            for a, b in blocks(batch, 2):
-                words = Words(*text_bytes(batch.column(2).slice(a, b - a)))
-                at, anchors, h1, h2 = _windows(words, window)
+            ranks, slots = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for a, b in blocks(batch, 3):
+                words = Words(*text_bytes(batch.column(3).slice(a, b - a)))
+                begin, n, anchors = _runs(words, window)
                 good = _member(anchors, shared)
-                if good.any():
-                    found.append((h1[good], h2[good], rank[a:b][row_of(words.first)[at[good]]]))
-            h1, h2, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-            keys, least, several = _least((h1, h2), owner)
-            out.append(_requests(batch.column(0)[0].as_py() if batch.num_rows else 0, parts, keys, least, several, True))
-        return pa.concat_tables(out)
+                begin, n, anchors = begin[good], n[good], anchors[good]
+                if not len(begin):
+                    continue
+                single = hot[np.searchsorted(shared, anchors)]
+                # A hot anchor's windows go one by one, to a reference block of their own.
+                whole, alone = ~single, np.repeat(begin[single] - np.cumsum(n[single]) + n[single], n[single]) + np.arange(int(n[single].sum()))
+                key = np.concatenate((anchors[whole], mix(gram_hashes(words.hashes(), window)[alone]))).view(np.int64).tolist()
+                begin, n = np.concatenate((begin[whole], alone)), np.concatenate((n[whole], np.ones(len(alone), np.int64)))
+                joined, starts, ends = join_words(words)
+                raw, number = joined.tobytes(), np.empty(len(begin), np.int64)
+                for i, (x, y, k) in enumerate(zip(starts[begin].tolist(), ends[begin + n + window - 2].tolist(), key, strict=True)):
+                    segment = raw[x:y]
+                    at = numbers.get(segment)
+                    if at is None:
+                        at = numbers[segment] = len(keys)
+                        keys.append(k)
+                    number[i] = at
+                row = row_of(words.first)[begin]
+                at = begin - words.first[row]
+                found.append((number, ranks[a:b][row], slots[a:b][row], at, at + n + window - 1))
+        number, rank, slot, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((rank, number))
+        number, rank, slot, start, end = number[order], rank[order], slot[order], start[order], end[order]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        least = np.repeat(rank[first], np.diff(np.append(first, len(number)))) if len(first) else rank
+        later = rank > least
+        own = [x.astype(t).tobytes() for x, t in zip(_merged(slot[later], start[later], end[later], least[later]), ("i8", "i4", "i4", "i8"), strict=True)]
+        mine = ~later
+        slot, start, number, rank = slot[mine], start[mine], number[mine], rank[mine]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        after = np.append(first[1:], len(number))[: len(first)]
+        slot, start = slot.astype("i8"), start.astype("i4")
+        names = list(numbers)
+        block = texts["block"][0].as_py() if texts.num_rows else 0
+        n = len(first)
+        cut = lambda v: pa.array([*(v[x:y].tobytes() for x, y in zip(first.tolist(), after.tolist(), strict=True))], pa.binary())
+        none = pa.nulls(n, pa.binary())
+        sent = pa.table({"key": pa.array([keys[i] for i in number[first].tolist()], pa.int64()), "rank": pa.array(rank[first]), "block": pa.array(np.full(n, block, np.int32)), "slots": cut(slot), "starts": cut(start), "ends": none, "sources": none, "text": pa.array([names[i] for i in number[first].tolist()], pa.binary())})
+        if not later.any():
+            return sent
+        spread = int(mix(np.array([block], np.uint64)).view(np.int64)[0])
+        kept = pa.table({"key": pa.array([spread]), "rank": pa.array([0]), "block": pa.array([block], pa.int32()), "slots": [own[0]], "starts": [own[1]], "ends": [own[2]], "sources": [own[3]], "text": pa.nulls(1, pa.binary())})
+        return pa.concat_tables([sent, kept.cast(sent.schema)])
 
     return run
 
 
+def factors(words: list[bytes], index: dict[bytes, tuple[int, list[bytes], int]], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(start, end, source) of the greedy parse of ``words`` against an index of window to (source, its words, place)."""
+    out, at, n = [], 0, len(words)
+    while at <= n - window:
+        hit = index.get(b" ".join(words[at : at + window]))
+        if hit is None:
+            at += 1
+            continue
+        source, theirs, place = hit
+        end, place = at + window, place + window
+        while end < n and place < len(theirs) and words[end] == theirs[place]:
+            end, place = end + 1, place + 1
+        out.append((at, end, source))
+        at = end - window + 1  # the first window across the factor's end
+    return out
+
+
+def parse_group(members: list[tuple[int, bytes]], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Factors of the segments (rank, words joined by a space; ranks ascending) of a reference block, each parsed against those of smaller ranks."""
+    least = members[0][0]
+    if all(text == members[0][1] for _, text in members[1:]):
+        whole = [(0, members[0][1].count(b" ") + 1, least)]
+        return [whole if rank > least else [] for rank, _ in members]
+    index: dict[bytes, tuple[int, list[bytes], int]] = {}
+    out, at = [], 0
+    while at < len(members):
+        rank, equal = members[at][0], []
+        while at < len(members) and members[at][0] == rank:  # equal ranks take nothing from each other
+            words = members[at][1].split(b" ")
+            out.append(factors(words, index, window))
+            equal.append(words)
+            at += 1
+        for words in equal:
+            for place in range(len(words) - window + 1):
+                index.setdefault(b" ".join(words[place : place + window]), (rank, words, place))
+    return out
+
+
 def _parse(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Factors of segments that arrive in order of their keys; a key may go over several batches."""
+        held: list[pa.RecordBatch] = []
+
+        def parsed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            own = table.filter(pa.compute.is_null(table["text"]))
+            yield from own.select(["block", "slots", "starts", "ends", "sources"]).to_batches()
+            table = table.filter(pa.compute.is_valid(table["text"]))
+            if not table.num_rows:
+                return
+            keys, ranks, block = table["key"].to_numpy(), table["rank"].to_numpy(), table["block"].to_numpy()
+            order = np.lexsort((ranks, keys))
+            first = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
+            text, slots, starts = (table[c].combine_chunks() for c in ("text", "slots", "starts"))
+            out: dict[int, list[tuple[np.ndarray, ...]]] = {}
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                if b - a < 2:
+                    continue
+                which = order[a:b].tolist()
+                members = [(r, text[i].as_py()) for r, i in zip(ranks[order[a:b]].tolist(), which, strict=True)]
+                for i, spans in zip(which, parse_group(members, window), strict=True):
+                    if spans:
+                        slot, at = np.frombuffer(slots[i].as_py(), "i8"), np.frombuffer(starts[i].as_py(), "i4")
+                        for start, end, source in spans:
+                            out.setdefault(int(block[i]), []).append((slot, at + start, at + end, np.full(len(slot), source)))
+            if out:
+                merged = {k: _merged(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in out.items()}
+                columns = [pa.array([v[i].astype(t).tobytes() for v in merged.values()], pa.binary()) for i, t in enumerate(("i8", "i4", "i4", "i8"))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int32()), *columns], names=["block", "slots", "starts", "ends", "sources"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if not whole and (not held or held[0].column(0)[0].as_py() == keys[-1]):
+                held.append(batch)
+                continue
+            yield from parsed(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+            held = [batch.slice(whole)]
+        if held:
+            yield from parsed(pa.Table.from_batches(held))
+
+    return run
+
+
+def _removed(window: int):
     names = ["key", "n_words", "n_removed", "kept", "factors"]
     factor = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())])
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        h1, h2, least = (_array(answers[c], k) for c, k in (("h1", np.uint64), ("h2", np.uint32), ("least", np.int64)))
-        order = np.argsort(h1, kind="stable")
-        h1, h2, least = h1[order], h2[order], least[order]
+        slot, start, end, source = (np.frombuffer(b"".join(answers[c].to_pylist()), t).astype(np.int64) for c, t in (("slots", "i8"), ("starts", "i4"), ("ends", "i4"), ("sources", "i8")))
+        slot, start, end, source = _merged(slot, start, end, source)
         out = []
         for batch in texts.to_batches():
-            rank = batch.column(1).to_numpy()
-            for a, b in blocks(batch, 2):
-                words = Words(*text_bytes(batch.column(2).slice(a, b - a)))
-                at, _, first, second = _windows(words, window)
-                row = row_of(words.first)
-                maybe = np.flatnonzero(_member(first, h1))
-                source = np.full(len(maybe), _LAST)
-                place = np.searchsorted(h1, first[maybe])
-                for step in range(4):  # entries that share the first hash differ in the second
-                    here = np.minimum(place + step, max(0, len(h1) - 1))
-                    same = (h1[here] == first[maybe]) & (h2[here] == second[maybe])
-                    source[same] = np.minimum(source[same], least[here[same]])
-                begin = at[maybe]
-                good = source < rank[a:b][row[begin]] if len(begin) else np.zeros(0, bool)
-                begin, source = begin[good], source[good]
+            slots, copies = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            for a, b in blocks(batch, 3):
+                words = Words(*text_bytes(batch.column(3).slice(a, b - a)))
+                mine = slots[a:b]
+                order = np.argsort(mine)
+                at = np.minimum(np.searchsorted(mine[order], slot), b - a - 1)
+                hit = np.flatnonzero(mine[order][at] == slot)
+                row = order[at[hit]]
                 steps = np.zeros(len(words) + 1, np.int64)
-                np.add.at(steps, begin, 1)
-                np.add.at(steps, begin + window, -1)
+                np.add.at(steps, words.first[row] + start[hit], 1)
+                np.add.at(steps, words.first[row] + end[hit], -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 removed = np.concatenate(([0], np.cumsum(gone)))[words.first]
                 joined, _, ends = join_words(words, ~gone)
                 text_ends = np.concatenate(([0], ends + 1))[words.first - removed]
                 raw = joined.tobytes()
                 kept = [raw[x : max(x, y - 1)] for x, y in zip(text_ends[:-1].tolist(), text_ends[1:].tolist(), strict=True)]
-                out.append(
-                    pa.table([batch.column(3).slice(a, b - a), pa.array(words.counts(), pa.int64()), pa.array(np.diff(removed)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(_factors(begin, source, row, words.first, window, b - a), pa.list_(factor))], names=names)
-                )
+                spans: list[list[dict]] = [[] for _ in range(b - a)]
+                for r, s, e, k in zip(row.tolist(), start[hit].tolist(), end[hit].tolist(), source[hit].tolist(), strict=True):
+                    spans[r].append({"start": s, "end": e, "source": k})
+                done = pa.table([batch.column(4).slice(a, b - a), pa.array(words.counts(), pa.int64()), pa.array(np.diff(removed)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(factor))], names=names)
+                n = copies[a:b]
+                out.append(done.take(np.repeat(np.arange(b - a), n)) if (n > 1).any() else done)
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(factor)), strict=True)})
 
     return run
 
 
-def _factors(begin: np.ndarray, source: np.ndarray, row: np.ndarray, first: np.ndarray, window: int, rows: int) -> list[list[dict]]:
-    """Each row's factors: runs of windows that occur in one smaller document, in words of the row."""
-    out: list[list[dict]] = [[] for _ in range(rows)]
-    if not len(begin):
-        return out
-    owner = row[begin]
-    new = np.ones(len(begin), bool)
-    new[1:] = (np.diff(begin) != 1) | (np.diff(source) != 0) | (np.diff(owner) != 0)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(begin)) - 1
-    for r, s, e, k in zip(owner[at].tolist(), (begin[at] - first[owner[at]]).tolist(), (begin[last] - first[owner[last]] + window).tolist(), source[at].tolist(), strict=True):
-        out[r].append({"start": s, "end": e, "source": k})
-    return out
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row: key, n_words, n_removed, kept (words left, one space between) and factors (start, end, source).
 
     A word goes if it lies in a window of ``window`` words whose sequence also starts in a row with a smaller key;
-    all windows are those of the input. Null and empty texts have no words. A null key counts
-    as the largest, so such rows give nothing to others with keys; rows with equal keys take nothing from
-    each other. Other columns are ignored. The stored blocks stay until ``forget``.
+    all windows are those of the input. The key is an integer (anything else is refused). Null and empty texts have no
+    words. A null key counts as the largest, so such rows give nothing to others with keys; rows with equal keys
+    take nothing from each other. Other columns are ignored. The stored blocks stay until ``forget``.
     """
     spark = docs.sparkSession
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} must be an integer column: smaller keys are originals")
     ship(spark)
-    buckets = max(8, -(-input_bytes(docs, text) // BUCKET_SIZE))
-    n = BLOCKS * buckets  # several small blocks a bucket even out what a task reads
-    parts = 2 * buckets
+    n = max(8, -(-input_bytes(docs, text) // BLOCK_SIZE))
+    buckets = min(BUCKETS, -(-n // 4))  # several small blocks a bucket even out what a task reads
     rank = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
-    rows = docs.select(F.pmod(F.xxhash64(rank), F.lit(n)).cast("int").alias("block"), rank.alias("rank"), F.col(text).alias("text"), F.col(key).cast("long").alias("key"))
+    rows = docs.select(rank.alias("rank"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_collapse, "rank long, key long, text string, copies long")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rank", "text"), F.lit(n)).cast("int")).repartition(buckets, "block")
     name = f"lodestone_blocks_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "block").write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    dealt.select("block", "rank", F.monotonically_increasing_id().alias("slot"), "text", "key", "copies").write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     _tables.append(name)
     table = spark.table(name)
-    anchors = table.select("block", "rank", "text").mapInArrow(_anchor_batches(window, parts), _REQUEST)
-    shared = anchors.groupBy("part").applyInArrow(_answers, _ANSWER)
-    requests = table.select("block", "rank", "text").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_window_requests(window, parts), _REQUEST)
-    earlier = requests.groupBy("part").applyInArrow(_answers, _ANSWER)
-    parsed = table.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(_parse(window), "key long, n_words long, n_removed long, kept string, factors array<struct<start: long, end: long, source: long>>")
+    held = table.select("block", "text").mapInArrow(_anchor_rows(window), "block int, anchor long, documents long")
+    same = Window.partitionBy("anchor")
+    counted = held.withColumn("documents", F.sum("documents").over(same)).withColumn("hot", F.count("*").over(same) > HOT)
+    shared = counted.filter("documents > 1").select("block", "anchor", "hot")
+    segments = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(window), _SEGMENTS)
+    found = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_parse(window), _FACTORS)
+    parsed = table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_removed(window), "key long, n_words long, n_removed long, kept string, factors array<struct<start: long, end: long, source: long>>")
     return parsed.withColumnRenamed("key", key)
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop the blocks that earlier calls stored."""
+    """Drop the blocks that earlier calls stored; what was not yet computed from them is lost."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
