@@ -11,7 +11,6 @@ text, and one that differs is encoded by the library alone, so a collision canno
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -337,7 +336,3 @@ def append_codes(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
     from pyspark.sql import types as T
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]))
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -7,8 +7,6 @@ block of its own).
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,9 +41,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, a temporary one, which only a local master reaches."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.gettempdir(), "lodestone-checkpoints").as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
         if spark.sparkContext.getCheckpointDir() is None:
@@ -60,15 +60,10 @@ def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def remove(spark: SparkSession, where: str) -> None:
-    """Delete a shared folder through Spark's own file system."""
+def is_local(spark: SparkSession, where: str) -> bool:
+    """Whether Spark resolves ``where`` to a mounted folder, which plain file calls reach; a path without scheme is its default file system's."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def is_local(uri: str) -> bool:
-    """Whether every executor reaches ``uri`` with plain file calls (a mounted shared folder)."""
-    return uri.startswith("file:") or "://" not in uri
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().startswith("file:")
 
 
 def local_path(uri: str) -> str:
@@ -214,11 +209,6 @@ def environment_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def clear_folder(path: str) -> None:
-    if os.path.isdir(path):
-        shutil.rmtree(path)
-
-
 def join_words(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends): a block's kept words, each followed by one space, and where each lies."""
     a, b = (words.starts, words.ends) if keep is None else (words.starts[keep], words.ends[keep])

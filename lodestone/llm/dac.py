@@ -169,7 +169,7 @@ def _contents(batch: pa.RecordBatch, first: int | None = None) -> Iterator[bytes
 def read(spark, where: str, key: str = "doc_id") -> DataFrame:
     """One row per document of the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     ship(spark)
-    columns = ["path"] if is_local(where) else ["path", "content"]
+    columns = ["path"] if is_local(spark, where) else ["path", "content"]
     files = spark.read.format("binaryFile").load(where).filter("length > 0").select(*columns)  # no rows leave an empty file
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import blocks, ship
 
 #: Kinds in the order of the contract, then this operator's own.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -29,6 +29,8 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _NPM = re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _JWT = re.compile(rb"(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.[0-9A-Za-z_-]+")
+#: A web token's part: where a token fails, none begins in the rest of its first part.
+_JWT_PART = re.compile(rb"[0-9A-Za-z_-]+")
 _PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 #: Lower-case keyword, kind, anchored expression, whether the keyword itself must match in its own case.
 KEYWORDS = (
@@ -94,7 +96,12 @@ def find(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int]
     hits = sorted((end + 1 - n, kind, pattern) for end, (n, kind, pattern) in machine.iter(raw.lower().decode("latin-1")))
     ends, spans = dict.fromkeys(KINDS, 0), []
     for at, kind, pattern in hits:
-        if at >= ends[kind] and (m := pattern.match(raw, at)):
+        if at < ends[kind]:
+            continue
+        m = pattern.match(raw, at)
+        if m is None and kind == "jwt" and (part := _JWT_PART.match(raw, at)):
+            ends[kind] = part.end()
+        if m:
             ends[kind] = m.end()
             if _valid(kind, m):
                 spans.append((m.start(), KINDS.index(kind), m.end()))
@@ -117,13 +124,14 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = automaton()
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for text in batch.column(1).to_pylist():
-            spans = find(text, machine) if text else []
-            base = [x for x in spans if x[1] < 3]
-            for number, kind in enumerate(("n_assign", "n_access", "n_hex")):
-                out[kind].append(sum(x[1] == number for x in base))
-            out["base_sha256"].append(hashlib.sha256(said(base).encode()).hexdigest())
-            out["spans"].append(said(spans))
+        for a, b in blocks(batch, 1):
+            for text in batch.column(1).slice(a, b - a).to_pylist():
+                spans = find(text, machine) if text else []
+                base = [x for x in spans if x[1] < 3]
+                for number, kind in enumerate(("n_assign", "n_access", "n_hex")):
+                    out[kind].append(sum(x[1] == number for x in base))
+                out["base_sha256"].append(hashlib.sha256(said(base).encode()).hexdigest())
+                out["spans"].append(said(spans))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items())], names=["key", *out])
 
 
@@ -143,21 +151,25 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def _redact(batches: Iterator[pa.RecordBatch], column: int, mark: str) -> Iterator[pa.RecordBatch]:
     machine = automaton()
     for batch in batches:
-        texts = []
-        for text in batch.column(column).to_pylist():
-            spans, parts, at = find(text, machine) if text else [], [], 0
-            for start, _, end in spans:
-                if end <= at:
-                    continue
-                if start >= at:
-                    parts += [text[at:start], mark]
-                at = end
-            texts.append("".join([*parts, text[at:]]) if spans else text)
-        yield batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type))
+        for a, b in blocks(batch, column):
+            part, texts = batch.slice(a, b - a), []
+            for text in part.column(column).to_pylist():
+                spans, parts, at = find(text, machine) if text else [], [], 0
+                for start, _, end in spans:
+                    if end <= at:
+                        continue
+                    if start >= at:
+                        parts += [text[at:start], mark]
+                    at = end
+                texts.append("".join([*parts, text[at:]]) if spans else text)
+            yield part.set_column(column, part.schema.field(column), pa.array(texts, part.schema.field(column).type))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Every row with all secrets (overlapping ones once) replaced by ``mark``; other columns stay as they are."""
+    """Every row with all secrets (overlapping ones once) replaced by ``mark``; other columns stay as they are.
+
+    Null and empty texts stay so; repeated rows are each redacted.
+    """
     ship(docs.sparkSession)
     column = docs.columns.index(text)
 

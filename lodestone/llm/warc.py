@@ -229,7 +229,7 @@ def write(pages: DataFrame, where: str) -> None:
 def read(spark, where: str) -> DataFrame:
     """One row per record of all archives below ``where``."""
     ship(spark)
-    columns = ["path", "length"] if is_local(where) else ["path", "length", "content"]
+    columns = ["path", "length"] if is_local(spark, where) else ["path", "length", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

@@ -518,3 +518,65 @@ def test_query_equals_sql(spark, data, name):
     got = queries.queries()[name](spark, data)
     assert sorted(got.columns) == sorted(names)
     assert multiset(got.select(*names).collect()) == multiset(found.fetchall())
+
+
+# long, hostile and hot rows
+
+
+def test_substrings_compare_words(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal are still different words; null keys, equal keys and repeated rows."""
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{i}" for i in range(12))
+    rows = [(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (None, f"x {PASSAGE}"), (None, f"y {PASSAGE}"), (None, f"y {PASSAGE}"), (4, f"{PASSAGE} z"), (4, f"q {PASSAGE}")]
+    for part in (rows, rows[2:5]):  # the latter has null keys only
+        want = multiset((k, *x) for (k, _), x in zip(part, brute.substrings(part)))
+        got = substrings.remove_repeats(spark.createDataFrame(part, SCHEMA).repartition(3)).collect()
+        assert multiset((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    substrings.forget(spark)
+
+
+@pytest.mark.parametrize("hot", [0, 1])
+def test_substrings_hot_anchors(spark, docs, monkeypatch, hot):
+    """Anchors of many blocks, whose windows are sent one by one, in many blocks of few rows."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BLOCK_SIZE", 1 << 14)
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 90), " ".join([*(rng.choice("abc") for _ in range(rng.randint(0, 30))), PASSAGE, *(rng.choice("abc") for _ in range(rng.randint(0, 30)))])) for i in range(150)]
+    for frame in (spark.createDataFrame(rows, SCHEMA).repartition(5), docs):
+        rows = pairs(frame)
+        want = multiset((k, *x) for (k, _), x in zip(rows, brute.substrings(rows)))
+        got = substrings.remove_repeats(frame).collect()
+        assert multiset((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    substrings.forget(spark)
+
+
+def test_factors_are_greedy():
+    source = [f"w{i}".encode() for i in range(40)]
+    index = {b" ".join(source[i : i + 13]): (3, source, i) for i in range(28)}
+    words = [b"x", *source[5:30], b"y", *source[:13]]
+    assert substrings.factors(words, index) == [(1, 26, 3), (27, 40, 3)]
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 400_000, "-----BEGIN " * 100_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "AKIA" * 250_000, "token" * 200_000, "password = " * 90_000, "-----BEGIN " + "A " * 500_000, "eyJ" * 1000 + "." + "eyJ" * 300_000])
+def test_secrets_of_long_texts(text):
+    import time
+
+    began = time.perf_counter()
+    found = secrets.find(text, secrets.automaton())
+    assert [x for x in found if x[1] < 3] == brute.secrets(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_secrets_redact_long_texts(spark):
+    rows = [(1, "eyJ" * 300_000), (2, "AKIA" * 100_000 + " end"), (3, None), (4, "")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "[SECRET] end", 3: None, 4: ""}
+
+
+def test_web_tokens():
+    part = lambda x: __import__("base64").urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = f"{part('{\"alg\": 1}')}.{part('{\"sub\": 2}')}.sig"
+    assert secrets.said([x for x in secrets.find(f"eyJeyJ {token} eyJ.x {token}", secrets.automaton()) if x[1] == 5]) == f"jwt:7:{7 + len(token)},jwt:{14 + len(token)}:{14 + 2 * len(token)}"
