@@ -5,7 +5,7 @@ Documents are dealt into blocks and stored once, bucketed by block. Reference bl
 1. Anchors. Every window of 13 words has an anchor, the least hash of its 5-word sequences; equal windows have equal
    anchors. Blocks say which anchors they hold, and are told those that more than one document has.
 2. Segments. A run of windows with one such anchor, as words, goes to the reference block of its anchor, the only one that can
-   hold its windows. A block sends equal segments once. An anchor of many blocks has a reference block for each of its windows.
+   hold its windows. A block sends equal segments once. An anchor of many documents has a reference block for each of its windows.
 3. Parsing. A reference block indexes its segments by window and parses each of them greedily against those of smaller
    documents: the factor that begins at a window grows word by word in its source. Then the windows across the factor's
    end are looked up, and the first that is found begins the next factor. Factors have 13 words or more.
@@ -32,8 +32,8 @@ WINDOW, ANCHOR = 13, 5
 BLOCK_SIZE, BUCKETS = 4 << 20, 50_000
 #: Windows of a segment at most.
 RUN = 64
-#: Batches that hold an anchor from which its windows are sent one by one.
-HOT = 16
+#: Documents of an anchor beyond which its windows are sent one by one: so many segments may differ in one reference block.
+HOT = 256
 _LAST = (1 << 63) - 1
 _tables: list[str] = []
 
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
     table = spark.table(name)
     held = table.select("block", "text").mapInArrow(_anchor_rows(window), "block int, anchor long, documents long")
     same = Window.partitionBy("anchor")
-    counted = held.withColumn("documents", F.sum("documents").over(same)).withColumn("hot", F.count("*").over(same) > HOT)
+    counted = held.withColumn("documents", F.sum("documents").over(same)).withColumn("hot", F.col("documents") > HOT)
     shared = counted.filter("documents > 1").select("block", "anchor", "hot")
     segments = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(window), _SEGMENTS)
     found = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_parse(window), _FACTORS)
