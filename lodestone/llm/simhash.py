@@ -1,10 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into segments. Every distinct fingerprint enters one table per segment and
-probes it with the small Hamming ball around its own segment; by the pigeonhole rule two fingerprints
-within the radius meet in some segment. A bucket's members are compared in full, and a spanning forest
-of its true links is kept rather than all pairs. Components come from alternating star
-contractions over stored tables.
+A fingerprint's 64 bits are cut into three segments, whatever the size of the corpus. Every distinct fingerprint enters
+one table per segment and probes it with the small Hamming ball around its own segment; by the pigeonhole rule two
+fingerprints within the radius meet in some segment. A bucket of many is split by the same rule: its bits outside
+the segment are cut into one part more than the radius, so that any two near members agree in a part. A bucket's
+members are compared in full, and a spanning forest of its true links is kept rather than all pairs. Components
+come from alternating star contractions over stored tables.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, blocks, join_words, row_of, ship, stored, text_bytes, within_rows
+from .common import LOWER, Words, blocks, join_words, mix, row_of, ship, stored, text_bytes, within_rows
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Buckets of up to so many fingerprints are compared all at once; larger ones grow clusters.
 SMALL_BUCKET = 16
-#: Fingerprints of a bucket that a task holds; a larger bucket is dealt out as pairs of its chunks.
+SEGMENTS = 3
+#: Rows of a bucket from which it is split by the bits outside its segment.
+SPLIT_ROWS = 1 << 12
+#: Fingerprints that a task compares at once; a split bucket of more (fingerprints that are all near each other) is dealt out as pairs of its chunks.
 BUCKET_ROWS = 1 << 20
+#: A key of at least this share of a table is joined by broadcast: there are at most so many of them.
+HEAVY = 1000
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -73,29 +79,56 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
 
 
-def segments_for(n: int) -> int:
-    """The number of segments: fewer and longer ones as the table grows, so that buckets stay small."""
-    return 4 if n < 1 << 15 else 3 if n < 1 << 24 else 2
+def _edges(segments: int) -> list[tuple[int, int]]:
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
-def probes(fps: np.ndarray, segments: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, fingerprint) rows: each segment's own value and its ball's values that set bits.
+def _ball(a: int, b: int, size: int) -> list[np.uint64]:
+    return [np.uint64(sum(1 << f for f in flips)) for n in range(size + 1) for flips in combinations(range(b - a), n)]
+
+
+def own_values(fps: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """Every fingerprint's segments, each tagged with its number in bits 40 and up."""
+    return np.concatenate([(fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) | np.uint64(s << 40) for s, (a, b) in enumerate(_edges(segments))])
+
+
+def reached(values: np.ndarray, radius: int = RADIUS, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place among ``values``): each tagged value's own bucket and its ball's values that set bits.
 
     Of two values that differ in some bits, the one with most of them unset reaches the other or
     both reach the value with all of them set, so balls need no cleared bits.
     """
-    edges = [64 * i // segments for i in range(segments + 1)]
-    keys, members = [], []
-    for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-        tag = np.uint64(s << 40)
-        for size in range(radius // segments + 1):
-            for flips in combinations(range(b - a), size):
-                mask = np.uint64(sum(1 << f for f in flips))
-                free = np.flatnonzero((value & mask) == 0) if size else np.arange(len(fps))
-                keys.append((value[free] | mask) | tag)
-                members.append(fps[free])
-    return np.concatenate(keys), np.concatenate(members)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    tags = values >> np.uint64(40)
+    for s, (a, b) in enumerate(_edges(segments)):
+        mine = np.flatnonzero(tags == s)
+        for mask in _ball(a, b, radius // segments):
+            free = mine[(values[mine] & mask) == 0]
+            keys.append(values[free] | mask)
+            places.append(free)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def probes(fps: np.ndarray, hot: np.ndarray | None = None, radius: int = RADIUS, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, fingerprint, whether split) rows; rows of the buckets ``hot`` (ascending) go to ``radius + 1`` smaller buckets instead."""
+    keys, places = reached(own_values(fps, segments), radius, segments)
+    members = fps[places % max(1, len(fps))]
+    if hot is None or not len(hot):
+        return keys, members, np.zeros(len(keys), bool)
+    split = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+    many_keys, many = keys[split], members[split]
+    out = [(keys[~split], members[~split], np.zeros(int((~split).sum()), bool))]
+    for s, (a, b) in enumerate(_edges(segments)):
+        mine = (many_keys >> np.uint64(40)) == s
+        outside = [x for x in range(64) if not a <= x < b]
+        for part in range(radius + 1):
+            bits = outside[len(outside) * part // (radius + 1) : len(outside) * (part + 1) // (radius + 1)]
+            mask = np.uint64(sum(1 << x for x in bits))
+            # The key's top bit sets the smaller buckets apart from the others.
+            key = mix(mix(many_keys[mine] * np.uint64(radius + 1) + np.uint64(part)) ^ (many[mine] & mask)) | np.uint64(1 << 63)
+            out.append((key, many[mine], np.ones(len(key), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -138,17 +171,31 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _probe_batches(segments: int):
+def _probe_batches(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(fps), 4096):
-                keys, members = probes(fps[at : at + 4096], segments)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(members.view(np.int64))], names=["bucket", "fp"])
+                keys, members, split = probes(fps[at : at + 4096], None if hot is None else hot.value)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(members.view(np.int64)), pa.array(split)], names=["bucket", "fp", "split"])
 
     return run
 
 
+def _value_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, n) of the tagged segments of fingerprints."""
+    for batch in batches:
+        values, n = np.unique(own_values(batch.column(0).to_numpy().view(np.uint64)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["value", "n"])
+
+
+def _reach_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) that the counted values (value, n) bring."""
+    for batch in batches:
+        keys, places = reached(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(batch.column(1).to_numpy()[places])], names=["bucket", "n"])
+
+
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of buckets that arrive in order; a bucket may go over several batches."""
     keys, fps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -177,19 +224,40 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield linked(len(keys))
 
 
-def links(distinct: DataFrame, n: int) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius; ``distinct`` has one column fp and n rows."""
-    rows = distinct.select("fp").mapInArrow(_probe_batches(segments_for(n)), "bucket long, fp long")
-    if n > BUCKET_ROWS:  # only then can a bucket be too large for one task
-        rows = stored(rows)
-        hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
-        # At most rows / BUCKET_ROWS buckets are hot. Each pair of such a bucket's chunks is a bucket of its own.
-        split = rows.join(F.broadcast(hot.withColumn("chunks", F.ceil(F.col("n") * 2 / BUCKET_ROWS).cast("int")).drop("n")), "bucket", "left")
+def hot_buckets(distinct: DataFrame) -> np.ndarray:
+    """The buckets of more than ``SPLIT_ROWS`` rows, ascending.
+
+    They are counted over the values of segments, of which there are at most 3 * 2**22 however many fingerprints there
+    are; so that many rows are the most that is exchanged, and that many buckets the most that is collected.
+    """
+    values = distinct.select("fp").mapInArrow(_value_batches, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    rows = values.mapInArrow(_reach_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = rows.filter(F.col("n") > SPLIT_ROWS).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the radius; ``distinct`` has one column fp."""
+    hot = hot_buckets(distinct)
+    shared = distinct.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
+    rows = distinct.select("fp").mapInArrow(_probe_batches(shared), "bucket long, fp long, split boolean")
+    if len(hot):
+        full = rows.filter("split").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
+        # At most rows / BUCKET_ROWS buckets are full. Each pair of such a bucket's chunks is a bucket of its own.
+        dealt = rows.join(F.broadcast(full.withColumn("chunks", F.ceil(F.col("n") * 2 / BUCKET_ROWS).cast("int")).drop("n")), "bucket", "left")
         mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = split.withColumn("mine", mine).withColumn("other", other).select(F.when(F.col("chunks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("bucket"), "fp")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_link_batches, "a long, b long").distinct()
+        rows = dealt.withColumn("mine", mine).withColumn("other", other).select(F.when(F.col("chunks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("bucket"), "fp")
+    ordered = rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(_link_batches, "a long, b long").distinct()
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """``left`` joined with the one row of ``right`` (on, n, ...) for its key; a key of a great share of the ``total`` rows of ``left`` is never dealt to one task."""
+    heavy = F.broadcast(right.filter(F.col("n") * HEAVY >= F.lit(max(total, HEAVY))).drop("n"))  # at most HEAVY rows
+    light = right.filter(F.col("n") * HEAVY < F.lit(max(total, HEAVY))).drop("n")
+    rest = left.join(heavy.select(on), on, "left_anti").join(light, on)
+    return left.join(heavy, on).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,8 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_heavy(both, least, "u", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(lower.select("u", F.col("m").alias("v")))
         now = stored(small.distinct())
@@ -220,22 +288,24 @@ def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     component unless it has no other key. Repeated rows are each answered. Extra columns are ignored.
     """
     rows = stored(fingerprints(docs, text, key))
-    by_fp = _components_of(rows)
-    return rows.join(by_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct, by_fp = _components_of(rows)
+    counts = by_fp.join(distinct.select("fp", "n"), "fp")
+    named = join_heavy(rows, stored(counts), "fp", rows.count())
+    return named.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _components_of(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``rows`` (key, fp)."""
-    distinct = stored(rows.groupBy("fp").agg(F.min("key").alias("node")))
-    return name_components(distinct, components(links(distinct, distinct.count())))
+def _components_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (key, fp): the distinct fingerprints (fp, node: the smallest key, n: rows), and (fp, component_id) of each."""
+    distinct = stored(rows.groupBy("fp").agg(F.min("key").alias("node"), F.count("*").alias("n")))
+    return distinct, name_components(distinct, components(links(distinct)))
 
 
 def name_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(fp, component_id): the smallest ``node`` of the component that ``roots`` (node, root) puts each fp of ``distinct`` in."""
-    least = distinct.join(roots.withColumnRenamed("node", "at"), F.col("fp") == F.col("at"), "left")
-    named = least.select("fp", "node", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("node").alias("component_id"))
-    return named.join(names, "root").select("fp", "component_id")
+    least = distinct.select("fp", F.col("node").alias("least")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    named = stored(least.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    return join_heavy(named.select("fp", "root"), names, "root", named.count()).select("fp", "component_id")
 
 
 def row_ids(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -269,7 +339,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", null_k
     after all named ones of their component.
     """
     rows = stored(fingerprints(row_ids(docs, text, key), "text", "key"))
-    heads = stored(_components_of(rows).select(F.col("component_id").alias("head")).distinct())
+    heads = stored(_components_of(rows)[1].select(F.col("component_id").alias("head")).distinct())
     if null_keys:
         return only_heads(docs, rows, heads, text, key)
     named = only_heads(docs.filter(F.col(key).isNotNull()), rows, heads, text, key)

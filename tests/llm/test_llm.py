@@ -300,9 +300,9 @@ def test_simhash(awkward, docs, empty):
     assert simhash.cluster(empty).count() == 0
 
 
-@pytest.mark.parametrize("segments", [2, 3, 4])
-def test_links_find_all(spark, segments, monkeypatch):
-    rng = np.random.default_rng(segments)
+@pytest.mark.parametrize("seed", [2])
+def test_links_find_all(spark, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(b) for b in base}
     for b in base:
@@ -311,16 +311,19 @@ def test_links_find_all(spark, segments, monkeypatch):
             for bit in rng.choice(64, rng.integers(1, 5), replace=False):
                 x ^= 1 << int(bit)
             fps.add(x)
-    monkeypatch.setattr(simhash, "segments_for", lambda n: segments)
     signed = [(int(np.uint64(x).view(np.int64)),) for x in fps]
     distinct = spark.createDataFrame(signed, "fp long")
-    for limit in (1 << 20, 64):  # whole buckets, and hot buckets dealt out as pairs of chunks
+    for split, limit in ((1 << 12, 1 << 20), (2, 1 << 20), (1, 4)):  # whole buckets; split ones; split ones dealt out as pairs of chunks
+        monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
         monkeypatch.setattr(simhash, "BUCKET_ROWS", limit)
-        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(distinct, len(fps))).collect()}
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(distinct)).collect()}
         order = sorted(fps)
         want = brute.components(order, order)
         got = [roots.get(x[0], x[0]) for x in ((int(np.uint64(f).view(np.int64)),) for f in order)]
         assert len({(a, b) for a, b in zip(want, got)}) == len(set(want)) == len(set(got))
+    hot = simhash.hot_buckets(distinct)
+    keys, _, _ = simhash.probes(np.array(sorted(fps), np.uint64))
+    assert {int(k): n for k, n in Counter(keys.tolist()).items() if n > 1}.keys() == set(hot.tolist())
 
 
 def test_one_of_each(awkward):
