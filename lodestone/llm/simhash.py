@@ -264,7 +264,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being its component's smallest node.
 
     Alternates large-star and small-star contraction until nothing changes; each round is stored, so
-    neither lineage nor the driver holds links.
+    neither lineage nor the driver holds links. A hub's links are 16 bytes each; where they outgrow a task, adaptive execution
+    splits its side of these sort-merge joins.
     """
     now, seen = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
     while True:
@@ -273,8 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = join_heavy(both, least, "u", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(lower.select("u", F.col("m").alias("v")))
         now = stored(small.distinct())
