@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, blocks, join_words, mix, row_of, ship, stored, text_bytes, within_rows
@@ -252,8 +252,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
-def join_heavy(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
-    """``left`` joined with the one row of ``right`` (on, n, ...) for its key; a key of a great share of the ``total`` rows of ``left`` is never dealt to one task."""
+def join_heavy(left: DataFrame, right: DataFrame, on: str, total: int, key: Column | None = None) -> DataFrame:
+    """``left`` joined with the one row of ``right`` (on, n, ...) for its key; a key of a great share of the ``total`` rows of ``left`` is never dealt to one task.
+
+    ``key`` is the expression of ``on`` where ``left`` has no such column.
+    """
+    left = left if key is None else left.withColumn(on, key)
     heavy = F.broadcast(right.filter(F.col("n") * HEAVY >= F.lit(max(total, HEAVY))).drop("n"))  # at most HEAVY rows
     light = right.filter(F.col("n") * HEAVY < F.lit(max(total, HEAVY))).drop("n")
     rest = left.join(heavy.select(on), on, "left_anti").join(light, on)
