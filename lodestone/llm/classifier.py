@@ -17,18 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Words, blocks, row_of, ship, text_bytes
+from .common import LOWER, Words, blocks, row_of, ship, stored, text_bytes
 from .rules import STOP_WORDS
 
-#: Expected rows of the training sample; the bound on what is fitted.
+#: Expected labelled rows of the training sample (half as many of all rows are added): the bound on what is fitted.
 TRAIN_ROWS = 8_000
+#: Bytes of features of the sample that reach the driver; a sample of longer texts is thinned by hash.
+TRAIN_BYTES = 64 << 20
 DIMENSIONS = 1 << 18
 #: Rows that a feature is in, at least, to get a weight.
 LEAST_ROWS = 8
 #: Scores from which a row is rejected, and posteriors of its heuristics alone.
 THRESHOLD, CERTAIN = 0.3, 0.99
-#: Common English insults, dealt into two overlapping labellers' lists.
-INSULTS = "asshole bastard bitch clown coward cretin creep degenerate disgusting dumb dumbass fool freak garbage idiot ignorant imbecile jerk loser lowlife moron moronic parasite pathetic pig repulsive scum scumbag shit stupid swine trash ugly useless vermin vile worthless wretch".split()
+#: Common English insults, one labeller's list each: names for people, what they are called, and waste and vermin. No word is in two lists.
+PEOPLE = "asshole bastard bitch clown coward creep cretin degenerate dumbass fool freak idiot imbecile jerk loser moron swine wretch".split()
+QUALITIES = "disgusting dumb ignorant moronic pathetic repulsive stupid ugly useless vile worthless".split()
+WASTE = "garbage lowlife parasite pig scum scumbag shit trash vermin".split()
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 REJECT, ACCEPT, ABSTAIN = 1, 0, 2
@@ -44,7 +48,7 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 
 _STOPS = _hashes(STOP_WORDS)
-_FIRST, _SECOND = _hashes(INSULTS[::2]), _hashes(INSULTS[1::2])
+INSULTS = {"people": _hashes(PEOPLE), "qualities": _hashes(QUALITIES), "waste": _hashes(WASTE)}
 
 
 def _among(values: np.ndarray, fixed: np.ndarray) -> np.ndarray:
@@ -94,8 +98,7 @@ def read_block(data: np.ndarray, offsets: np.ndarray) -> Block:
         "distinct": per(np.bincount(block.pair_row, minlength=rows), n),
         "again": per(by_row(again), n),
         "stops": per(by_row(_among(hashes, _STOPS).astype(float)), n),
-        "insults_1": np.bincount(block.pair_row, _among(block.pair_word, _FIRST), rows),
-        "insults_2": np.bincount(block.pair_row, _among(block.pair_word, _SECOND), rows),
+        **{name: np.bincount(block.pair_row, _among(block.pair_word, words), rows) for name, words in INSULTS.items()},
     }
     return block
 
@@ -118,11 +121,9 @@ def junk_votes(block: Block) -> list[np.ndarray]:
 
 
 def toxic_votes(block: Block) -> list[np.ndarray]:
-    """One-sided labellers: what finds nothing abstains."""
-    s = block.stats
-    one, two = s["insults_1"], s["insults_2"]
+    """One-sided labellers with lists of their own: what finds nothing abstains."""
     none = np.zeros(block.rows, bool)
-    return [_vote(one > 0, none), _vote(two > 0, none), _vote(one + two > 1, none)]
+    return [_vote(block.stats[name] > 0, none) for name in INSULTS]
 
 
 #: Task to its labellers.
@@ -204,12 +205,9 @@ def hashed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return place[order], np.cumsum(np.bincount(row, minlength=block.rows))
 
 
-def useful(places: np.ndarray, rows: int) -> np.ndarray:
-    """Which features tell rows apart: those of ``LEAST_ROWS`` rows or more and a fifth of all at most, and all statistics."""
-    seen = np.bincount(places, minlength=DIMENSIONS)
-    out = (seen >= LEAST_ROWS) & (seen <= max(rows // 5, LEAST_ROWS))
-    out[BIN_PLACES] = seen[BIN_PLACES] >= LEAST_ROWS
-    return out
+def useful(places: np.ndarray) -> np.ndarray:
+    """Which features get a weight: those of ``LEAST_ROWS`` rows of the sample or more."""
+    return np.bincount(places, minlength=DIMENSIONS) >= LEAST_ROWS
 
 
 def train(places: np.ndarray, ends: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> np.ndarray:
@@ -314,8 +312,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
 
     ``labels`` (doc_id, quality, toxic), where given, are one more labeller, silent on unlabelled rows. The sample is
     an expected ``train_rows`` labelled rows and half as many of all rows, chosen by hashes of
-    keys and texts; equal feature rows count once, so no group of copies floods it.
+    keys and texts, and of ``TRAIN_BYTES`` at most; equal feature rows count once, so no group of copies floods it.
+    ``key`` is an integer column, as in ``labels``.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} must be an integer column")
     spark = docs.sparkSession
     ship(spark)
     names = list(TASKS)
@@ -336,14 +337,17 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     picked = F.broadcast(labelled)  # an expected train_rows keys
     some = F.pmod(F.xxhash64("text"), F.lit(whole)) < part(train_rows // 2, sum(r["n"] for r in counts))
     chosen = rows.join(picked, F.col("key") == F.col("picked"), "left").filter(some | F.col("picked").isNotNull()).select("key", "text")
-    sample = _voted(chosen, gold, True).distinct().collect()  # about 1.5 * train_rows rows
+    drawn = stored(_voted(chosen, gold, True).distinct())  # about 1.5 * train_rows rows
+    size = drawn.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0]
+    thin = F.pmod(F.xxhash64("places", F.lit(1)), F.lit(whole)) < part(TRAIN_BYTES, max(size, TRAIN_BYTES))
+    sample = drawn.filter(thin).collect()  # TRAIN_BYTES expected
     sample.sort(key=lambda r: (bytes(r["places"]), *(r[t] for t in names)))
     targets = {t: np.array([posteriors[t][r[t]] for r in sample]) for t in names}
     sizes = np.array([len(r["places"]) // 4 for r in sample], np.int64)
     places = np.frombuffer(b"".join(r["places"] for r in sample), np.int32)
     del sample
-    # Features of a few rows, and words of very many, are not trained on; they go before anything is widened.
-    used = useful(places, len(sizes))[places]
+    # Features of a few rows are not trained on; they go before anything is widened.
+    used = useful(places)[places]
     sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[used], minlength=len(sizes))
     places, ends = places[used].astype(np.int64), np.cumsum(sizes)
     del used
@@ -376,7 +380,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, model: Model | No
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows, all columns, that ``classify`` keeps."""
+    """The rows, all columns, that ``classify`` keeps: null, empty and repeated rows are judged like any other."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, text=text, key=key) if model is None else model)

@@ -81,9 +81,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     name = hashes.columns[0]
     place = F.shiftrightunsigned(name, 64 - FILTER_BITS)
     found = hashes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
-    rows = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2**(FILTER_BITS - 6) rows
+    rows = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(FILTER_BITS - 6) rows
     out = np.zeros(1 << max(0, FILTER_BITS - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -232,7 +232,7 @@ def hot_buckets(distinct: DataFrame) -> np.ndarray:
     """
     values = distinct.select("fp").mapInArrow(_value_batches, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     rows = values.mapInArrow(_reach_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = rows.filter(F.col("n") > SPLIT_ROWS).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+    found = rows.filter(F.col("n") > SPLIT_ROWS).select("bucket").toArrow()["bucket"].to_numpy()
     return np.sort(found.view(np.uint64))
 
 

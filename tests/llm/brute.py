@@ -106,3 +106,15 @@ def secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(found)
+
+
+def differencing(weights, k):
+    """Karmarkar-Karp with the sets themselves: the sorted sums of the parts."""
+    heap = [([w] + [0] * (k - 1), i) for i, w in enumerate(weights)]
+    n = len(weights)
+    while len(heap) > 1:
+        heap.sort(key=lambda x: (-(x[0][0] - x[0][-1]), x[1]))
+        (a, _), (b, _), *heap = heap
+        heap.append((sorted((x + y for x, y in zip(a, reversed(b))), reverse=True), n))
+        n += 1
+    return heap[0][0] if heap else [0] * k
