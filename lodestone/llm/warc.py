@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_local, local_path, shared_dir, ship
+from .common import is_local, local_path, shared_dir, ship, stored
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: A page whose copies are at least this share of all large pages is marked by broadcast.
+HEAVY = 1000
 #: Fixed values of the ZIP format: signatures of the local header, central entry, ends and ZIP64 parts.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 Reader = Callable[[int, int], bytes]
@@ -213,13 +215,19 @@ def write(pages: DataFrame, where: str) -> None:
 
     Among rows with equal payloads of at least ``REVISIT_BYTES`` bytes, the largest page_id (all of its
     rows, should it be repeated) is a response and the others revisit it. A null page_id never wins
-    over another. Null html is an empty payload, a null url gets a placeholder. Other columns are ignored.
+    over another. Null html is an empty payload, a null url gets a placeholder. page_id is an integer. Other columns are ignored.
     """
     ship(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page"), "url", html.cast("binary").alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    largest = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy(F.col("digest").alias("same")).agg(F.max("page").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = rows.join(largest, F.col("digest") == F.col("same"), "left")
+    large = rows.filter(F.octet_length("html") >= REVISIT_BYTES).select("page", "digest")
+    largest = stored(large.groupBy(F.col("digest").alias("same")).agg(F.max("page").alias("top"), F.count("*").alias("n")).filter("n > 1"))
+    total = F.lit(max(large.count(), HEAVY))
+    # Copies that are a great share of all pages are marked by broadcast, so that no page's copies are dealt to one task.
+    heavy = F.broadcast(largest.filter(F.col("n") * HEAVY >= total).drop("n"))  # at most HEAVY rows
+    known = rows.join(heavy, F.col("digest") == F.col("same"), "left")
+    rest = known.filter("same IS NULL").drop("same", "top").join(largest.filter(F.col("n") * HEAVY < total).drop("n"), F.col("digest") == F.col("same"), "left")
+    marked = known.filter("same IS NOT NULL").unionByName(rest)
     refers = F.when(F.col("top").isNotNull() & ~F.col("page").eqNullSafe(F.col("top")), F.col("top"))
     ready = marked.select("page", "url", "html", "digest", refers.alias("refers"))
     files = ready.mapInArrow(archives, "file binary")
