@@ -12,8 +12,9 @@ length, chunks, bitmap and directory (uint32). A final newline ends the file.
 
 from __future__ import annotations
 
+import mmap
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,38 +92,84 @@ def header(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 HEADER_BYTES = 48
+Read = Callable[[int, int], bytes]
+
+
+class File:
+    """A file of codes that is read by range: its header and document table once, then only what is asked for."""
+
+    def __init__(self, read: Read):
+        self.read = read
+        self.part, self.sequence, docs, self.n, levels = header(read(0, HEADER_BYTES))
+        table = read(HEADER_BYTES, 17 * docs)
+        self.keys, self.known, self.counts = np.frombuffer(table, "<i8", docs), np.frombuffer(table, "u1", docs, 8 * docs), np.frombuffer(table, "<i8", docs, 9 * docs)
+        self.ends = np.cumsum(self.counts)
+        #: Of each level: where its chunks, its bitmap and its directory begin.
+        self.levels: list[tuple[int, int, int]] = []
+        at = HEADER_BYTES + 17 * docs
+        for _ in range(levels):
+            n = int(np.frombuffer(read(at, 8), "<i8")[0])
+            self.levels.append((at + 8, at + 8 + n, at + 8 + n - (-n // 8)))
+            at += 8 + n - (-n // 8) - 4 * (-n // GROUP)
+
+    def _rank(self, level: int, i: int) -> int:
+        """How many ids before place ``i`` of a level go on, by its rank directory."""
+        _, bitmap, ranks = self.levels[level]
+        group, inside = divmod(i, GROUP)
+        if not inside and not i:
+            return 0
+        if not inside:  # the end of a group: the directory may have no entry beyond it
+            group, inside = group - 1, GROUP
+        before = np.frombuffer(self.read(ranks + 4 * group, 4), "<u4")[0]
+        bits = np.frombuffer(self.read(bitmap + group * (GROUP // 8), -(-inside // 8)), np.uint8)
+        return int(before) + int(np.unpackbits(bits, count=inside, bitorder="little").sum())
+
+    def ids(self, a: int, b: int) -> np.ndarray:
+        """The ids at places ``a`` to ``b``: a range of each level, found by its rank directory."""
+        out, where, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
+            if b <= a:
+                break
+            out[where] |= np.frombuffer(self.read(chunks + a, b - a), np.uint8).astype(np.uint32) << np.uint32(shift)
+            bits = np.frombuffer(self.read(bitmap + a // 8, (b + 7) // 8 - a // 8), np.uint8)
+            more = np.unpackbits(bits, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+            if not more.any():
+                break
+            a = self._rank(level, a)
+            b, where, shift = a + int(more.sum()), where[more], shift + 8
+        return out
 
+    def document(self, i: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Tokens ``a`` to ``b`` (its end) of document ``i`` of the file."""
+        end = int(self.ends[i])
+        begin = end - int(self.counts[i])
+        return self.ids(begin + a, end if b is None else min(end, begin + b))
 
-def unpack(data: bytes) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, Levels]:
-    """(part, sequence), keys, key flags, token counts and codes of a file."""
-    part, sequence, docs, _, levels = header(data)
-    at = HEADER_BYTES
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, kind, n, at)
-        at += out.nbytes
-        return out
 
-    keys, known, counts, found = take("<i8", docs), take("u1", docs), take("<i8", docs), []
-    for _ in range(levels):
-        n = int(take("<i8", 1)[0])
-        found.append((take("u1", n), take("u1", -(-n // 8)), take("<u4", -(-n // GROUP))))
-    return (part, sequence), keys, known, counts, Levels(found)
+def unpack(data: bytes) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, Levels]:
+    """(part, sequence), keys, key flags, token counts and codes of a whole file."""
+    file, levels = File(lambda at, n: data[at : at + n]), []
+    for chunks, bitmap, ranks in file.levels:
+        n = -(-(ranks - bitmap) * 8 // GROUP)
+        levels.append((np.frombuffer(data, "u1", bitmap - chunks, chunks), np.frombuffer(data, "u1", ranks - bitmap, bitmap), np.frombuffer(data, "<u4", n, ranks)))
+    return (file.part, file.sequence), file.keys, file.known, file.counts, Levels(levels)
 
 
 def write(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.json", end: int | None = 2, text: str = "text", key: str = "doc_id") -> None:
     """Encode every row and write the ids, in ascending key order, as files below ``where``.
 
-    Rows are dealt out by key range, so parts follow each other; null keys come first, and rows with
-    equal keys are ordered by a hash of their texts. Null and empty texts have only the end id
+    Rows are dealt out by ranges of key and text hash, so parts follow each other and no key, null included, is bound to one
+    task; null keys come first, and rows with equal keys are ordered by a hash of their texts. Keys are integers. Null and empty texts have only the end id
     (nothing where ``end`` is None). Spark's committing text writer stores each file, so a lost
     executor leaves no torn file.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} must be an integer column")
     ship(docs.sparkSession)
     path = environment_path(tokenizer)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    order = (F.col("key").asc_nulls_first(), F.col("text_hash"))
+    ranged = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, sequence = encoder(path), TaskContext.get().partitionId(), 0
@@ -155,37 +202,35 @@ def write(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.json", end
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(where)
 
 
-def _contents(batch: pa.RecordBatch, first: int | None = None) -> Iterator[bytes]:
-    """The bytes (or the first ones) of a batch's files: read in place where they are mounted, else as loaded by Spark."""
+def _files(batch: pa.RecordBatch) -> Iterator[Read]:
+    """Range readers of a batch's files: in place where they are mounted, else of what Spark loaded."""
     if batch.num_columns > 1:
         for value in batch.column(1):
-            yield value.as_buffer().to_pybytes() if first is None else value.as_buffer().slice(0, first).to_pybytes()
+            view = memoryview(value.as_buffer())
+            yield lambda at, n, view=view: view[at : at + n]
     else:
         for name in batch.column(0).to_pylist():
-            with open(local_path(name), "rb") as f:
-                yield f.read() if first is None else f.read(first)
+            with open(local_path(name), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+                yield lambda at, n, m=m: m[at : at + n]
 
 
 def read(spark, where: str, key: str = "doc_id") -> DataFrame:
-    """One row per document of the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row per document of the files: key, start (ids of all documents before it), n_tokens, ids_crc32; each document's ids are read by range."""
     ship(spark)
     columns = ["path"] if is_local(spark, where) else ["path", "content"]
     files = spark.read.format("binaryFile").load(where).filter("length > 0").select(*columns)  # no rows leave an empty file
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [header(x) for x in _contents(batch, HEADER_BYTES)]
+            got = [header(bytes(r(0, HEADER_BYTES))) for r in _files(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1, 3)], names=["part", "sequence", "ids"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in _contents(batch):
-                (part, sequence), keys, known, counts, codes = unpack(data)
-                ids = codes.all().astype("<u4")
-                ends = np.cumsum(counts)
-                view, sums = memoryview(ids).cast("B"), []
-                for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-                    sums.append(zlib.crc32(view[4 * a : 4 * b]))
+            for ranged in _files(batch):
+                file = File(ranged)
+                part, sequence, keys, known, counts, ends = file.part, file.sequence, file.keys.copy(), file.known, file.counts.copy(), file.ends
+                sums = [zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(len(keys))]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part)), pa.array(np.full(n, sequence)), pa.array(keys, pa.int64(), mask=known == 0), pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
