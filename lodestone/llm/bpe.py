@@ -1,12 +1,13 @@
 """Byte-level BPE by a distinct-word table: encode each distinct word once, join ids back by position.
 
-A block of documents is split into words with numpy, its words are reduced to the distinct ones,
-those not yet in the worker's table are encoded by the tokenizers library, and the ids of all words
-come back by an array join on the word's place. Decoding joins ids with a table of pieces. The
-distinct-word table belongs to a worker and is bounded (``TABLE_WORDS``); a table of the
-whole corpus would have to be joined with every word of every document, a shuffle of several
-times the input. Words meet in the table by a 64-bit hash; every document is decoded and compared with its
-text, and one that differs is encoded by the library alone, so a collision cannot survive.
+1. Documents are split into words in Spark tasks, and the words of the corpus are counted (``word_table``).
+2. Each distinct word is encoded once by the tokenizers library; the result is a stored table (word, n, ids).
+3. The most frequent words (at most ``TABLE_WORDS`` of at most ``WORD_BYTES`` bytes, so of a bounded size) are broadcast, and the
+   ids of all words come back by an array join on the word's place. The few other words are encoded where they stand.
+4. Decoding joins ids with the table of pieces.
+
+Words meet in the table by a 64-bit hash; every document is decoded and compared with its text, and one that differs is
+encoded by the library alone, so a collision cannot survive.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, environment_path, ship, span_hashes, text_bytes
+from .common import blocks, environment_path, ship, span_hashes, stored, text_bytes
 
-TABLE_WORDS = 300_000
+#: Words of the broadcast table, and bytes of each, at most.
+TABLE_WORDS, WORD_BYTES = 1 << 19, 64
+#: Other words that a worker remembers.
+LOCAL_WORDS = 1 << 17
 PLACES = 1 << 20
 _L, _N, _O, _S, _UNKNOWN = 0, 1, 2, 3, 255
 
@@ -67,6 +72,12 @@ def gather(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, which: np.ndar
     return data[index], ends
 
 
+def splits_here(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE, whose words this module splits itself."""
+    before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+    return spec.get("normalizer") is None and spec.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+
+
 class Encoder:
     """A tokenizer file's encoding with the distinct-word table of one worker."""
 
@@ -80,14 +91,20 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pieces = Pieces(spec)
-        before = spec.get("pre_tokenizer") or {}
-        added = spec.get("added_tokens", [])
         #: Whether words can be split here; if not, the library encodes whole documents.
-        self.splits = spec.get("normalizer") is None and spec.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        self.splits = splits_here(spec)
+        added = spec.get("added_tokens", [])
         self.special = {t["content"].encode(): t["id"] for t in added}
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
+        self.base: Table | None = None
         self.reset()
 
+    def use(self, base: Table | None) -> None:
+        """Take the ids of frequent words from a broadcast table."""
+        if base is not self.base:
+            self.base = base
+            self.reset()
+
     def reset(self) -> None:
         self.slots: dict[int, int] = {}
         #: A direct-mapped front of ``slots``: the first word that takes a place keeps it.
@@ -98,6 +115,10 @@ class Encoder:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
         self.n = 0
+        if self.base is not None:
+            self.ids, self.lengths = self.base.ids, self.base.lengths
+            self.at = np.cumsum(self.lengths) - self.lengths
+            self.used, self.n = len(self.ids), len(self.lengths)
 
     def _class(self, point: int) -> int:
         """The class of a character, asked of the library's own splitter."""
@@ -170,7 +191,7 @@ class Encoder:
 
     def slots_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place in the table of every word; new words are encoded."""
-        if self.n > TABLE_WORDS:
+        if len(self.slots) > LOCAL_WORDS:
             self.reset()
         hashes = span_hashes(data, starts, ends)
         places = (hashes & np.uint64(PLACES - 1)).astype(np.int64)
@@ -188,15 +209,18 @@ class Encoder:
         get = self.slots.get
         keys = distinct.tolist()
         slots = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        if self.base is not None and len(self.base.hashes):
+            at = np.minimum(np.searchsorted(self.base.hashes, distinct), len(self.base.hashes) - 1)
+            slots = np.where(self.base.hashes[at] == distinct, at, slots)
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)]
-            ids = self._encode_words(texts)
+            ids = self.encode_words(texts)
             slots[missing] = self._add([keys[i] for i in missing.tolist()], ids)
         return slots[inverse.ravel()]
 
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of distinct words, each encoded once.
 
         A word that begins with a space and goes on with another character splits off from the one
@@ -262,16 +286,77 @@ class Encoder:
         return flat, bounds, np.frombuffer(b"".join(decoded), np.uint8), ends
 
 
+class Table:
+    """Ids of words, by the ascending hashes of the words."""
+
+    def __init__(self, words: list[bytes], ids: list[bytes]):
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts = np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1]))
+        hashes = span_hashes(data, starts, ends)
+        self.hashes, order = np.unique(hashes, return_index=True)
+        self.lengths = np.array([len(ids[i]) // 4 for i in order.tolist()], np.int64)
+        self.ids = np.frombuffer(b"".join(ids[i] for i in order.tolist()), "<u4")
+
+
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder; its table lives as long as the Python worker does."""
+def encoder(path: str, base: Table | None = None) -> Encoder:
+    """The worker's encoder, which lives as long as the Python worker does."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].use(base)
     return _encoders[path]
 
 
+def word_table(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids): every distinct word of ``docs`` (one text column), how often it occurs, and its ids (little-endian uint32)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        words: dict[int, bytes] = {}
+        counts: dict[int, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(words.values()), pa.binary()), pa.array([counts[h] for h in words], pa.int64())], names=["word", "n"])
+            words.clear()
+            counts.clear()
+            return out
+
+        for batch in batches:
+            batch = batch.set_column(0, "text", valid_utf8(batch.column(0)))
+            for a, b in blocks(batch, 0):
+                data, offsets = text_bytes(batch.column(0).slice(a, b - a))
+                starts, ends, _ = coder.words(data, offsets)
+                hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+                raw, keys = data.tobytes(), hashes.tolist()
+                for h, k in zip(keys, n.tolist(), strict=True):
+                    counts[h] = counts.get(h, 0) + k
+                new = [i for i, h in enumerate(keys) if h not in words]
+                for i, x, y in zip(new, starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+                    words[keys[i]] = raw[x:y]
+                if len(words) > LOCAL_WORDS:
+                    yield counted()
+        yield counted()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            ids = coder.encode_words(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["word", "n", "ids"])
+
+    counted = docs.mapInArrow(split, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(encode, "word binary, n long, ids binary")
+
+
+def frequent(docs: DataFrame, path: str) -> Table:
+    """The most frequent words of ``docs`` (one text column), from the stored table of all distinct words."""
+    table = stored(word_table(docs, path))
+    top = table.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word", "ids").toArrow()
+    return Table(top["word"].to_pylist(), top["ids"].to_pylist())
+
+
 def valid_utf8(column: pa.Array) -> pa.Array:
     """The column with ill-formed bytes read as U+FFFD, and null as empty."""
     data, offsets = text_bytes(column)
@@ -290,6 +375,14 @@ def encoded_blocks(batch: pa.RecordBatch, column: int, coder: Encoder) -> Iterat
         yield a, b, coder.encode(*text_bytes(batch.column(column).slice(a, b - a)))
 
 
+def shared_table(docs: DataFrame, path: str) -> Broadcast | None:
+    """The frequent words of ``docs``, broadcast; none where words cannot be split here and the library encodes whole documents."""
+    with open(path, encoding="utf-8") as f:
+        if not splits_here(json.load(f)):
+            return None
+    return docs.sparkSession.sparkContext.broadcast(frequent(docs, path))  # at most TABLE_WORDS words of WORD_BYTES bytes
+
+
 def codec(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode and decode every row: key, n_tokens, token_ids (little-endian uint32 binary), decoded.
 
@@ -300,9 +393,10 @@ def codec(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "te
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     path = environment_path(tokenizer)
+    base = shared_table(docs.select(F.col(text).alias("text")), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, base and base.value)
         for batch in batches:
             for a, b, (ids, bounds, decoded, ends) in encoded_blocks(batch, 1, coder):
                 flat = ids.tobytes()
@@ -320,13 +414,17 @@ def codec(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "te
 
 
 def append_codes(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
-    """Every row with n_tokens and token_ids beside its own columns; columns of those names are replaced."""
+    """Every row with n_tokens and token_ids beside its own columns; columns of those names are replaced.
+
+    Null and empty texts have no tokens; repeated rows are each encoded.
+    """
     ship(docs.sparkSession)
     docs = docs.drop("n_tokens", "token_ids")
     path, column = environment_path(tokenizer), docs.columns.index(text)
+    base = shared_table(docs.select(F.col(text).alias("text")), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, base and base.value)
         for batch in batches:
             for a, b, (ids, bounds, _, _) in encoded_blocks(batch, column, coder):
                 part = batch.slice(a, b - a)

@@ -7,6 +7,7 @@ block of its own).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -72,6 +73,14 @@ def local_path(uri: str) -> str:
     return unquote(urlsplit(uri).path) if uri.startswith("file:") else uri
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: a worker lives for many stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about ``limit`` bytes together."""
     offsets = text_bytes(batch.column(column))[1]
@@ -82,6 +91,7 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
         yield at, end
         at = end
     pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -621,3 +621,55 @@ def test_classifier_thins_long_samples(docs, spark, data, monkeypatch):
     assert got.count() == docs.count()
     with pytest.raises(ValueError):
         classifier.fit(docs.withColumn("doc_id", F.col("doc_id").cast("string")), labels)
+
+
+def test_files_are_read_by_range():
+    """Single tokens, ranges and documents of a file, and how few bytes a token needs."""
+    rng = np.random.default_rng(9)
+    for ids in (rng.integers(0, 60_000, 3000), rng.integers(0, 1 << 32, 1024), rng.integers(0, 256, 1500), np.full(512, 300)):
+        ids = ids.astype(np.uint32)
+        cuts = np.sort(rng.integers(0, len(ids), 6))
+        counts = np.diff(np.concatenate(([0], cuts, [len(ids)])))
+        blob, asked = dac.pack(0, 0, np.arange(len(counts)), np.ones(len(counts)), counts, ids) + b"\n", []
+
+        def ranged(at, n, blob=blob, asked=asked):
+            asked.append(n)
+            return blob[at : at + n]
+
+        file = dac.File(ranged)
+        for i, part in enumerate(np.split(ids, cuts)):
+            assert file.document(i).tolist() == part.tolist()
+            if len(part) > 3:
+                assert file.document(i, 1, 3).tolist() == part[1:3].tolist()
+        asked.clear()
+        for i in (0, 1, 511, len(ids) - 1, *rng.integers(0, len(ids), 50).tolist()):
+            assert file.ids(i, i + 1).tolist() == [ids[i]]
+        assert max(asked) <= dac.GROUP // 8
+        assert file.ids(0, len(ids)).tolist() == ids.tolist()
+
+
+def test_token_files_of_one_key(spark, tokenizer):
+    """A key of many texts is dealt over several files and stays in order."""
+    rows = [(None, f"text {i} " * 3) for i in range(200)] + [(5, "five"), (5, "5"), (-1, "")]
+    got = dac.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(4)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [-1, 5, 5]
+    assert sum(r["n_tokens"] for r in got) == sum(len(tokenizer.encode(t).ids) + 1 for _, t in rows)
+
+
+def test_word_table(docs, tokenizer):
+    """Every distinct word once, its count and its ids."""
+    path = common.environment_path("byte_bpe_50k.json")
+    want = Counter()
+    for t, in docs.select("text").collect():
+        want.update(w[a:b] for w in [t or ""] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(w))
+    common.ship(docs.sparkSession)
+    got = bpe.word_table(docs.select("text"), path).collect()
+    assert {bytes(r["word"]).decode(): r["n"] for r in got} == dict(want) and len(got) == len(want)
+    assert all(np.frombuffer(bytes(r["ids"]), "<u4").tolist() == tokenizer.encode(bytes(r["word"]).decode()).ids for r in got[:500])
+
+
+def test_codec_without_frequent_words(awkward, docs, monkeypatch):
+    whole = multiset((r[0], bytes(r[2]), r[3]) for r in bpe.codec(docs).collect())
+    for n in (0, 50):
+        monkeypatch.setattr(bpe, "TABLE_WORDS", n)
+        assert multiset((r[0], bytes(r[2]), r[3]) for r in bpe.codec(docs).collect()) == whole
