@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,14 +175,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes beyond which a polynomial's hash is not trusted: texts with equal ones can be built.
+SHORT = 32
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of byte ranges: of short ones from prefix sums of a polynomial modulo 2**64, of the few long ones XXH64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), SHORT)
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Near copies by exact similarity: the Jaccard similarity of two texts' sets of word shingles.
 
-MinHash bands only find candidates. Rows that share a band are chained, chains make coarse clusters, and every
+MinHash bands only find candidates. Rows that share a band are linked with its first, links make coarse clusters, and every
 distinct set of a coarse cluster meets all its others in full: links are those whose exact similarity reaches the
 bound, and a spanning forest of them is kept. A 64-bit fingerprint is no candidate search at this bound: texts of
 similarity 0.8 differ in about 10 of its bits, and a radius for most of them makes nearly all texts candidates.
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, blocks, gram_hashes, mix, row_of, ship, stored, text_bytes, within_rows
-from .simhash import components, name_components, only_heads, row_ids
+from .simhash import components, fingerprints_of, join_heavy, name_components, only_heads, row_ids
+from .simhash import links as simhash_links
 
 SHINGLE, LEAST = 5, 0.8
 #: Two sets of similarity 0.8 share one of so many bands of so many minima in all but 1 of 1500 cases; of 0.5, in 1 of 7.
@@ -94,19 +95,33 @@ def exact_links(names: np.ndarray, hashes: np.ndarray, first: np.ndarray, least:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """key, fp (the digest of its shingle set) and bands of every row of ``row_ids``."""
+def _sketches(rows: DataFrame, shingle: int, simhash: bool = False) -> DataFrame:
+    """key, fp (the digest of its shingle set), bands and, where asked for, operator 8's fingerprint of every row of ``row_ids``."""
     ship(rows.sparkSession)
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in blocks(batch, 1):
-                digest, bands = sketch(*shingle_sets(*text_bytes(batch.column(1).slice(a, b - a)), shingle))
+                texts = text_bytes(batch.column(1).slice(a, b - a))
+                digest, bands = sketch(*shingle_sets(*texts, shingle))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest.view(np.int64)), lists], names=["key", "fp", "bands"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(digest.view(np.int64)), lists]
+                if simhash:
+                    columns.append(pa.array(fingerprints_of(*texts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "bands", "simhash"][: len(columns)])
 
-    return rows.select("key", "text").mapInArrow(run, f"key {kind}, fp long, bands array<long>")
+    return rows.select("key", "text").mapInArrow(run, f"key {kind}, fp long, bands array<long>" + ", simhash long" * simhash)
+
+
+def _simhash_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of sets: the least set of each SimHash component with all others of it."""
+    pairs = stored(rows.select("simhash", "fp").distinct())
+    roots = components(simhash_links(pairs.select(F.col("simhash").alias("fp")).distinct()))
+    placed = pairs.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select("fp", F.coalesce("root", "simhash").alias("root"))
+    placed = stored(placed)
+    least = stored(placed.groupBy("root").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    return join_heavy(placed, least, "root", placed.count()).select("a", F.col("fp").alias("b"))
 
 
 def _compare(shingle: int, least: float):
@@ -140,18 +155,20 @@ def _compare(shingle: int, least: float):
     return run
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST, simhash: bool = False) -> DataFrame:
     """One row of each group that pairs of similarity ``least`` or more connect, all columns: that with the smallest key, then text hash.
 
     Null keys come last in their group; equal sets (texts without words too) are one group. Of rows equal in key and
     text, one stays. The hashed sets are compared whole; only the candidate search can miss a pair (see ``BANDS``).
+    ``simhash`` connects what operator 8 links as well, so groups are those of both kinds of links.
     """
     named = row_ids(docs, text, key)
-    rows = stored(_sketches(named, shingle))
+    rows = stored(_sketches(named, shingle, simhash))
     distinct = stored(rows.groupBy("fp").agg(F.min("key").alias("node")))
-    bands = rows.filter("fp <> 0").select(F.explode("bands").alias("band"), "fp").distinct()
-    chain = bands.select(F.lag("fp").over(Window.partitionBy("band").orderBy("fp")).alias("a"), F.col("fp").alias("b")).filter("a is not null")
-    coarse = components(chain.distinct()).select(F.col("node").alias("fp"), "root")
+    bands = rows.filter("fp <> 0").select(F.explode("bands").alias("band"), "fp")
+    least_of = stored(bands.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    chain = join_heavy(bands, least_of, "band", BANDS * rows.count()).select("a", F.col("fp").alias("b"))
+    coarse = components(chain).select(F.col("node").alias("fp"), "root")
     # Texts of coarse clusters only, one a distinct set.
     member = distinct.join(coarse, "fp").select("fp", "root", F.col("node.key").alias("key"), F.col("node.hash").alias("hash"), F.col("node").alias("name"))
     texts = named.select(F.col("key.key").alias("at"), F.col("key.hash").alias("its"), "text")
@@ -165,5 +182,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     part = F.when(F.col("chunks").isNull(), F.col("root")).otherwise(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
     ordered = dealt.select(part.alias("part"), "fp", "text").repartition("part").sortWithinPartitions("part")
     links = ordered.mapInArrow(_compare(shingle, least), "a long, b long")
+    if simhash:
+        links = links.unionByName(_simhash_links(rows))
     heads = stored(name_components(distinct, components(links)).select(F.col("component_id").alias("head")).distinct())
     return only_heads(docs, rows, heads, text, key)

@@ -118,3 +118,22 @@ def differencing(weights, k):
         heap.append((sorted((x + y for x, y in zip(a, reversed(b))), reverse=True), n))
         n += 1
     return heap[0][0] if heap else [0] * k
+
+
+def similar_heads(keys, texts, groups, least=0.8):
+    """The smallest key of each group that ``groups`` and five-word-shingle similarity connect; the sets are compared in full."""
+    sets = []
+    for t in texts:
+        w = words(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(groups)
+    by = {}
+    for i, s in enumerate(sets):
+        near = {j for g in s for j in by.get(g, ())} if s else {j for j in range(i) if not sets[j]}
+        for j in near:
+            if s == sets[j] or len(s & sets[j]) >= least * len(s | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+        for g in s:
+            by.setdefault(g, []).append(i)
+    return {min(k for k, r in zip(keys, root) if r == x) for x in set(root)}
