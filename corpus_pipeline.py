@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last two
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of ``documents``.
 """
 
@@ -9,41 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, classifier, decontaminate, secrets, similar, simhash
+from lodestone.llm import bpe, classifier, decontaminate, secrets, similar
 from lodestone.llm.common import shared_dir, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects, as junk or toxic, go."""
+    """Documents that the classifier rejects, as junk or toxic, go; null and empty texts are judged like any other."""
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash links stays, that with the smallest key (null keys last)."""
-    return simhash.one_of_each(docs, null_keys=True)
+    """One document of each group of near copies stays, that with the smallest key, then text hash (null keys last).
+
+    A group is what operator 8's links and five-word-shingle similarities of 0.8 or more connect; the latter lie beyond the
+    radius of a 64-bit fingerprint. Rows equal in key and text are one; texts without words are one group.
+    """
+    return similar.one_of_each(docs, simhash=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; null and empty texts, which have none, stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text, null where either was null. No row goes."""
     return secrets.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids (little-endian uint32) beside its own columns."""
+    """Every document with its token ids (little-endian uint32) beside its own columns; null and empty texts have none."""
     return bpe.append_codes(docs)
 
 
-def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a five-word-shingle similarity of 0.8 or more connects stays: near copies beyond SimHash's four bits go."""
-    return similar.one_of_each(docs)
-
-
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", benchmark_free), ("secret scans", secret_free), ("BPE encoding", tokens), ("similar copies", dissimilar)]
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", benchmark_free), ("secret scans", secret_free), ("BPE encoding", tokens)]
 
 #: A trained scorer and connected components have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
