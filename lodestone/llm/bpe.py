@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import blocks, environment_path, ship, span_hashes, stored, text_bytes
 
 #: Words of the broadcast table, and bytes of each, at most.
-TABLE_WORDS, WORD_BYTES = 1 << 19, 64
+TABLE_WORDS, WORD_BYTES = 1 << 18, 64
 #: Other words that a worker remembers.
 LOCAL_WORDS = 1 << 17
 PLACES = 1 << 20
@@ -351,9 +351,18 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
 
 
 def frequent(docs: DataFrame, path: str) -> Table:
-    """The most frequent words of ``docs`` (one text column), from the stored table of all distinct words."""
-    table = stored(word_table(docs, path))
-    top = table.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word", "ids").toArrow()
+    """The most frequent words of ``docs`` (one text column), from the stored table of all distinct words.
+
+    They are all words above a count, found from a histogram of counts: so no task sends words that are not among them.
+    """
+    table = stored(word_table(docs, path)).filter(F.octet_length("word") <= WORD_BYTES).withColumn("level", F.floor(F.log2("n") * 16))
+    room, least = TABLE_WORDS, None
+    for r in table.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # 16 levels for each power of two
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = table.filter(F.lit(False) if least is None else F.col("level") >= least).select("word", "ids").toArrow()  # TABLE_WORDS at most
     return Table(top["word"].to_pylist(), top["ids"].to_pylist())
 
 

@@ -23,7 +23,7 @@ SHINGLE, LEAST = 5, 0.8
 #: Two sets of similarity 0.8 share one of so many bands of so many minima in all but 1 of 1500 cases; of 0.5, in 1 of 7.
 BANDS, BAND_ROWS = 40, 8
 #: Bytes of text of a coarse cluster that a task compares at once; a larger one is dealt out as pairs of its chunks.
-CLUSTER_BYTES = 8 << 20
+CLUSTER_BYTES = 2 << 20
 
 _FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
