@@ -12,17 +12,17 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
 def windows(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> Iterator[tuple[int, int]]:
-    """Ranges of a text: each ends after the last separator in the window's final 15 per cent, by the first separator
-    that has one, else at the window's end; the next starts ``overlap`` before it, and at least one character on."""
+    """Ranges of a text: each ends after the last separator that begins in the window's final 15 per cent, by the first kind
+    that has one, else at the window's end; the next starts ``overlap`` before it, and at least one character on. Blank texts have none."""
     start, n = 0, len(text)
-    while start < n:
+    while start < n and (start or text.strip()):
         limit = min(n, start + size)
         end = limit
         if limit < n:
             for mark in separators:
-                at = text.rfind(mark, start, limit) if mark else limit
-                if at >= 0 and at + len(mark) - start >= size * 85 // 100:
-                    end = min(limit, at + len(mark))
+                at = text.rfind(mark, start, limit)
+                if at - start >= max(1, (limit - start) * 85 // 100):
+                    end = at + len(mark)
                     break
         yield start, end
         if end >= n:
@@ -31,7 +31,7 @@ def windows(text: str, size: int, overlap: int, separators: Sequence[str] = SEPA
 
 
 def split(docs: DataFrame, size: int = 1000, overlap: int = 150, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_index, start, end, chunk) of every non-empty row."""
+    """(key, chunk_index, start, end, chunk) of every row that is not blank."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,14 +62,19 @@ def pipe_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     return rows.select(key, F.col("line_no").cast("long").alias("line_no"), F.size("cells").cast("long").alias("n_cells"), F.concat(F.lit("TABLE_ROW "), F.array_join("cells", " | ")).alias("record"))
 
 
-def missing_lines(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", chunk: str = "chunk") -> DataFrame:
-    """(key, n_lines, n_missing): lines of a row that, in lower case, are in none of its chunks' joined texts.
+def missing_lines(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_lines, n_missing): a row's lines with text, and those that its chunks' ranges do not cover.
 
-    Chunks are rebuilt in order without their overlaps, so a line cut by a boundary is still found.
+    Only offsets are compared: no text is moved, and ranges and lines are each gone through once.
     """
-    at = F.struct("chunk_index", "start", "end", F.col(chunk).alias("body"))
-    step = lambda acc, c: F.struct(F.concat(acc["text"], F.substr(c["body"], (acc["end"] - c["start"] + 1).cast("int"))).alias("text"), c["end"].alias("end"))
-    whole = chunks.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(at)), F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end")), step)["text"].alias("whole"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    joined = docs.select(key, lines.alias("lines")).join(whole, key, "left").withColumn("whole", F.lower(F.coalesce("whole", F.lit(""))))
-    return joined.select(key, F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: ~F.contains(F.col("whole"), F.lower(x)))).cast("long").alias("n_missing"))
+    line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), (F.trim(x) != "").alias("full")))
+    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.when(x["full"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end"))))).otherwise(acc["out"]).alias("out"))
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    lines = docs.select(key, F.aggregate(line, begun, step)["out"].alias("lines"))
+    ranges = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    # Ranges joined where they meet, so that a line across a boundary is covered.
+    meet = lambda acc, x: F.when(x["start"] > F.coalesce(F.element_at(acc, -1)["end"], F.lit(-1)), F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
+    whole = F.aggregate("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(meet(acc, x)))
+    joined = lines.join(ranges.select(key, whole.alias("ranges")), key, "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    lost = F.filter("lines", lambda x: ~F.exists("ranges", lambda r: (r["start"] <= x["start"]) & (x["end"] <= r["end"])))
+    return joined.select(key, F.size("lines").cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_missing"))

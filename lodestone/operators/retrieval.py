@@ -6,7 +6,7 @@ Spark keeps as k rows a task. Fused lists are at most a few times k long.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,36 +46,53 @@ def ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def run_lengths(tokens: Column) -> Column:
+    """ARRAY<STRUCT<token, tf>> of an array of tokens, counted inside the row: sorted once, then cut where tokens change."""
+    keep = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def of(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        count = lambda at: F.transform(at, lambda x, i: F.struct(F.get(w, x).alias("token"), (F.coalesce(F.get(at, i + 1), F.size(w)) - x).cast("long").alias("tf")))
+        return F.when(F.size(w) == 0, F.array().cast("array<struct<token:string,tf:bigint>>")).otherwise(keep(starts, count))
+
+    return keep(F.array_sort(F.coalesce(tokens, F.array().cast("array<string>"))), of)
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, token, tf) of every row, counted inside the row: no shuffle."""
-    words = F.explode(T.tokens(F.col(text))).alias("token")
-    return docs.select(key, words).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """(key, token, tf) of every row, counted inside the row: no shuffle. Equal keys are separate rows."""
+    return docs.select(key, F.explode(run_lengths(T.tokens(F.col(text)))).alias("c")).select(key, "c.token", "c.tf")
+
+
+def _length(runs: Column) -> Column:
+    return F.sqrt(F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + (1 + F.log(x["tf"])) * (1 + F.log(x["tf"]))))
+
+
+def _is(token: str) -> Callable[[Column], Column]:
+    return lambda w: w == token
 
 
 def sparse_weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, token, weight): 1 + ln tf, scaled to unit length by row."""
-    counts = term_counts(docs, key, text).withColumn("w", 1 + F.log("tf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return counts.select(key, "token", (F.col("w") / norm).alias("weight"))
+    """(key, token, weight): 1 + ln tf, scaled to unit length by row; counted, scaled and exploded in the row."""
+    rows = docs.select(key, run_lengths(T.tokens(F.col(text))).alias("runs"))
+    rows = rows.select(key, "runs", _length(F.col("runs")).alias("length"))
+    return rows.select(key, "length", F.explode("runs").alias("c")).select(key, "c.token", ((1 + F.log("c.tf")) / F.col("length")).alias("weight"))
 
 
 def sparse_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score): dot product of a query's unit weights with each row's.
+    """(key, score): dot product of a query's unit weights with each row's, found in the row: only scored rows leave the scan."""
+    import math
 
-    The row's length and the query's terms are found in the row, so only scored rows leave the scan.
-    """
-    spark = docs.sparkSession
-    mine = spark.range(1).select(T.tokens(F.lit(query)).alias("t")).first()["t"] or []
+    mine = docs.sparkSession.range(1).select(T.tokens(F.lit(query)).alias("t")).first()["t"] or []
     tf = {t: mine.count(t) for t in dict.fromkeys(mine)}
     if not tf:
         return docs.select(key, F.lit(0.0).alias("score")).filter("false")
-    counts = term_counts(docs, key, text).withColumn("w", 1 + F.log("tf"))
-    import math
-
     norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in tf.values()))
-    weights = F.create_map(*(x for t, n in tf.items() for x in (F.lit(t), F.lit((1 + math.log(n)) / norm))))
-    hit = F.coalesce(F.element_at(weights, F.col("token")), F.lit(0.0))
-    return counts.groupBy(key).agg((F.sum(F.col("w") * hit) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score")).filter("score > 0")
+    words = docs.select(key, T.tokens(F.col(text)).alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, tf))))
+    hit = F.lit(0.0)
+    for t, n in tf.items():
+        count = F.size(F.filter("words", _is(t)))
+        hit = hit + F.when(count > 0, 1 + F.log(count.cast("double"))).otherwise(0.0) * ((1 + math.log(n)) / norm)
+    return words.select(key, (hit / _length(run_lengths(F.col("words")))).alias("score"))
 
 
 def keyword_scores(docs: DataFrame, terms: Sequence[str], exact: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -148,3 +165,30 @@ def within(rows: DataFrame, scope: DataFrame | None, key: str) -> DataFrame:
 
 def excluding(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return rows.join(seen.select(key).distinct(), key, "left_anti")
+
+
+def overlap_rerank(query: str, content: Column) -> Column:
+    """The share of a query's distinct words that the content has; words are runs of letters, digits and underscores, in lower case."""
+    import re
+
+    wanted = list(dict.fromkeys(w.lower() for w in re.findall(r"\w+", query)))
+    have = F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.size(F.array_intersect(F.array(*map(F.lit, wanted)), have)) / len(wanted) if wanted else F.lit(0.0)
+
+
+def fuse_channels(channels: dict[str, DataFrame], key: str, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
+    """(key, fused, flags) of any number of (key, rank) lists: the sum of weight / (k + rank), and the channels that have the key, in order."""
+    parts = None
+    for number, (name, ranked_rows) in enumerate(channels.items()):
+        part = ranked_rows.select(F.col(key), (F.lit((weights or {}).get(name, 1.0)) / (F.lit(k) + F.col("rank"))).alias("part"), F.struct(F.lit(number).alias("at"), F.lit(name).alias("name")).alias("flag"))
+        parts = part if parts is None else parts.unionByName(part)
+    summed = parts.groupBy(key).agg(F.sum("part").alias("fused"), F.array_sort(F.collect_set("flag")).alias("flags"))
+    return summed.select(key, "fused", F.array_join(F.transform("flags", lambda f: f["name"]), "+").alias("flags"))
+
+
+def degraded(vector: Callable[[], DataFrame], keyword: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """Fusion of a vector channel, given as a function that may fail, with a keyword channel; keyword alone, and True, where it fails."""
+    try:
+        return fuse_channels({"vector": vector(), "keyword": keyword}, key), False
+    except Exception:  # noqa: BLE001  any failure of the vector service leaves the keyword channel
+        return fuse_channels({"keyword": keyword}, key), True

@@ -419,7 +419,21 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pipe_rows(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _cut(mark: str, width: int) -> str:
+    """Where the window's last separator begins, counted from its start; -1 without one."""
+    found = f"strpos(reverse(w), reverse({mark}))"
+    return f"(CASE WHEN {found} = 0 THEN -1 ELSE length(w) - {found} - {width} + 1 END)"
+
+
+_BREAKS = " ".join(f"WHEN {_cut(m, n)} >= 850 THEN s + {_cut(m, n)} + {n}" for m, n in (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("' '", 1)))
+
+
+@query(rf"""WITH RECURSIVE c AS (
+  SELECT doc_id, text, length(text)::BIGINT AS n, -1::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS e, 0::BIGINT AS next FROM documents WHERE regexp_matches(text, '[^\s]')
+  UNION ALL SELECT doc_id, text, n, i + 1, s, e, greatest(e - 150, s + 1) FROM (
+    SELECT doc_id, text, n, i, s, CASE WHEN s + 1000 >= n THEN n {_BREAKS} ELSE s + 1000 END AS e FROM (
+      SELECT doc_id, text, n, i, next AS s, substr(text, (next + 1)::BIGINT, 1000) AS w FROM c WHERE e < n)))
+SELECT doc_id, i AS chunk_index, s AS start, e AS "end", substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS chunk FROM c WHERE i >= 0""")
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(table(spark, sf_dir, "documents"))
 
@@ -650,3 +664,6 @@ def artifact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return chunking.missing_lines(docs, chunking.split(docs))
+
+
+from . import more  # noqa: E402,F401  registers its queries
