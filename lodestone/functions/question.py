@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import enrich
 from . import text as T
 
 # The terms of each kind of question, compared without marks; those of three letters or fewer as whole words.
@@ -130,3 +131,39 @@ def embedding_text(query: str) -> str:
     if clean and (re.search(r"(?i)\b\d{2,6}\s*/\s*[A-ZĐ0-9][A-ZĐ0-9\-_/]{2,}\b", clean) or re.fullmatch(r"\d{2,8}", clean)):
         return "\n".join((f"Mã tra cứu / số hiệu văn bản: {clean}", f"Identifier exact lookup: {clean}", clean))
     return clean
+
+
+# Words by which a question's intent and the shape of its answer are told, without marks, and the artifacts each intent prefers.
+PERSON_WORDS = "who|person|people|staff|assignee|owner|participant|phong|phong ban|don vi|mang|nhiem vu|tham gia"
+PROCEDURE_WORDS = "procedure|process|workflow|step|steps|application|dossier|fee|deadline|result|agency|thu tuc|ho so|le phi|thoi han|ket qua|co quan"
+POLICY_WORDS = "policy|rule|condition|benefit|entitlement|obligation|exception|amount|days|salary|allowance|quyen loi|nghia vu|dieu kien|muc huong|so ngay|nghi|luong"
+TABLE_WORDS = "table|row|column|list|total|matrix|bang|dong|cot|danh sach|liet ke|tong"
+TABLE_OUTPUT = "table|matrix|bang|danh sach|liet ke|list|all rows"
+REPORT_OUTPUT = "summary|summarize|report|overview|tong hop|tom tat|bao cao"
+CONTRACT_CODES = (r"[0-9]{3,8}(?:/[A-Z0-9._/-]+)?", r"[A-Z]{1,12}[0-9]{1,8}[A-Z0-9._/-]*")
+PREFERRED = {
+    "identifier_lookup": ("identifier_lookup", "document_profile"),
+    "person_assignment": ("person_assignment_artifact", "table_row_artifact"),
+    "procedure_lookup": ("procedure_artifact", "table_row_artifact", "document_profile"),
+    "policy_rule_lookup": ("policy_rule_artifact", "table_row_artifact"),
+    "table_lookup": ("table_row_artifact", "person_assignment_artifact", "policy_rule_artifact", "procedure_artifact"),
+    "general_summary": ("document_profile", "policy_rule_artifact", "procedure_artifact", "table_row_artifact"),
+}
+
+
+def contract(question: Column) -> Column:
+    """STRUCT<intent, shape, exact_terms, artifact_types>: what a question asks for, how it is answered, the codes it names, and the
+    kinds of artifacts to be tried first. Null is a question without words."""
+    q = F.coalesce(T.fold(question), F.lit(""))
+    n_words = F.size(F.filter(F.split(q, " "), lambda w: w != ""))
+    has = lambda words: q.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])")
+    codes = F.concat(*(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_]){p}"), F.lit(0)) for p in CONTRACT_CODES))
+    terms = F.slice(enrich.unique(F.filter(F.transform(codes, lambda c: F.regexp_replace(c, r"[.,;:!? ]+$", "")), lambda c: F.length(c) >= 2)), 1, 8)
+    intent = F.when((F.size(terms) > 0) & (n_words <= 8), "identifier_lookup").when(has(PERSON_WORDS) & (n_words >= 3), "person_assignment")
+    intent = intent.when(has(PROCEDURE_WORDS), "procedure_lookup").when(has(POLICY_WORDS), "policy_rule_lookup").when(has(TABLE_WORDS), "table_lookup").otherwise("general_summary")
+    shape = F.when(has(TABLE_OUTPUT) | intent.isin("person_assignment", "table_lookup"), "table").when(has(REPORT_OUTPUT), "report").otherwise("short_fact")
+    kinds = None
+    for name, types in PREFERRED.items():
+        value = F.array(*map(F.lit, types))
+        kinds = F.when(intent == name, value) if kinds is None else kinds.when(intent == name, value)
+    return F.struct(intent.alias("intent"), shape.alias("shape"), terms.alias("exact_terms"), kinds.alias("artifact_types"))
