@@ -6,8 +6,10 @@ Spark keeps as k rows a task. Fused lists are at most a few times k long.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,10 +140,9 @@ def fuse(left: DataFrame, right: DataFrame, key: str, weights: tuple[float, floa
     return a.join(b, key, "full_outer").select(key, (part("left_rank", weights[0]) + part("right_rank", weights[1])).alias("fused"), flags.alias("flags"))
 
 
-def boosts(content: Column, query_tokens: Sequence[str], codes: Sequence[str]) -> Column:
-    """Additive boosts: 50 where a code occurs, 8 by the share of query tokens in the preview, less 0.02 where codes are asked for and missed."""
-    shown = T.preview(content)
-    share = T.coverage(F.array(*(F.lit(t) for t in query_tokens)), T.tokens(shown)) if query_tokens else F.lit(0.0)
+def boosts(content: Column, query_tokens: Sequence[str], codes: Sequence[str], shown: Column | None = None) -> Column:
+    """Additive boosts: 50 where a code occurs, 8 by the share of query tokens in the content (or in ``shown``), less 0.02 where codes are asked for and missed."""
+    share = T.coverage(F.array(*(F.lit(t) for t in query_tokens)), T.tokens(content if shown is None else shown)) if query_tokens else F.lit(0.0)
     hit = F.lit(False)
     for code in codes:
         hit = hit | F.contains(F.lower(content), F.lit(code.lower()))
@@ -192,3 +193,43 @@ def degraded(vector: Callable[[], DataFrame], keyword: DataFrame, key: str) -> t
         return fuse_channels({"vector": vector(), "keyword": keyword}, key), False
     except Exception:  # noqa: BLE001  any failure of the vector service leaves the keyword channel
         return fuse_channels({"keyword": keyword}, key), True
+
+
+def top_of_set(points: DataFrame, queries: DataFrame, k: int, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """(query, key, score, rank): for every query the ``k`` points of greatest cosine, rounded to six places, ties by key.
+
+    A set of queries against all points, in blocks: a block of each side meets as one matrix product that keeps ``k`` a query, so what is
+    shuffled is k rows for each query and block. Null and zero vectors have no score and are left out; all have to be of one length.
+    """
+    size = 1 << (block - 1).bit_length()  # a power of two never spans two partitions of the ids below
+    kind = points.schema[key].dataType.simpleString()
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        at = F.floor(F.monotonically_increasing_id() / size)
+        return rows.filter(F.col(vector).isNotNull()).groupBy(at.alias("at")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("at")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, unit = zip(*(_units(batch.column(i)[row].values) for i in (0, 1)), strict=True)
+                if not len(unit[0]) or not len(unit[1]):
+                    continue
+                found = np.round(unit[1] @ unit[0].T, 6)
+                ranks = np.argsort(np.argsort(keys[0], kind="stable"), kind="stable")
+                best = np.stack([np.lexsort((ranks, -line))[:k] for line in found])
+                names = [pa.array(np.repeat(keys[1], best.shape[1])), pa.array(keys[0][best.ravel()]), pa.array(np.take_along_axis(found, best, 1).ravel())]
+                yield pa.RecordBatch.from_arrays([names[0].cast(key_type), names[1].cast(key_type), names[2]], names=["query", key, "score"])
+
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    pairs = cut(points, "p").crossJoin(cut(queries, "q"))
+    best = pairs.mapInArrow(score, f"query {kind}, {key} {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _units(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a block, without zero vectors."""
+    lists = values.field("v")
+    m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    norm = np.sqrt((m * m).sum(axis=1))
+    return values.field("k").to_numpy(zero_copy_only=False)[norm > 0], m[norm > 0] / norm[norm > 0, None]

@@ -58,6 +58,14 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(scored, 10, F.desc("score"), F.col("vec_id")).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 10""")
+def vector_topk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set, every row whose id is divisible by 50, against all rows."""
+    points = table(spark, sf_dir, "embeddings")
+    return retrieval.top_of_set(points, points.filter("vec_id % 50 = 0"), 10, "vec_id", "embedding")
+
+
 @query(f"""SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 WHERE e.label IN (1, 2, 3) AND NOT e.vec_id = 0 ORDER BY {_COSINE} DESC, e.vec_id LIMIT 10""")
 def vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +183,16 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
   + CASE WHEN contains(lower(text), 'apache') THEN 50.0 ELSE -0.02 END, 6) AS boosted FROM f JOIN documents d ON f.doc_id = d.doc_id
 ORDER BY boosted DESC, f.doc_id::VARCHAR LIMIT 20""")
 def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = retrieval.hydrate(_fused(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "fused")
+    boosted = full.withColumn("boosted", F.round(F.col("fused") + retrieval.boosts(F.col("text"), ["the", "and", "licensed"], ["Apache"], T.preview(F.col("text"))), 6))
+    return retrieval.top(boosted, 20, F.desc("boosted"), F.col("doc_id").cast("string")).select("doc_id", "boosted")
+
+
+@query(f"""WITH {_LISTS} SELECT f.doc_id, round(fused + 8.0 * len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), ['the', 'and', 'licensed'])) / 3
+  + CASE WHEN contains(lower(text), 'apache') THEN 50.0 ELSE -0.02 END, 6) AS boosted FROM f JOIN documents d ON f.doc_id = d.doc_id
+ORDER BY boosted DESC, f.doc_id::VARCHAR LIMIT 20""")
+def hybrid_boosted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``hybrid_boosted``, whose share is of the preview, with the share of whole texts."""
     full = retrieval.hydrate(_fused(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "fused")
     boosted = full.withColumn("boosted", F.round(F.col("fused") + retrieval.boosts(F.col("text"), ["the", "and", "licensed"], ["Apache"]), 6))
     return retrieval.top(boosted, 20, F.desc("boosted"), F.col("doc_id").cast("string")).select("doc_id", "boosted")

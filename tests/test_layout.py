@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import enrich
 from lodestone.functions import question as Q
-from lodestone.operators import layout, tables
+from lodestone.operators import layout, retrieval, tables
 from lodestone.plans import queries as plans
 
 
@@ -95,3 +95,13 @@ def test_empty_tables(spark, data):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tables.with_headers(tables.blocks(empty)).isEmpty() and layout.articles(empty).isEmpty() and layout.conflicts(empty).isEmpty()
     assert plans.queries()["recent_line_dedupe"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_query_set(spark):
+    points = spark.createDataFrame([(i, [float(i % 7), 1.0, 0.0]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])], "k long, v array<float>")
+    unit = {i: [x / ((i % 7) ** 2 + 1) ** 0.5 for x in (i % 7, 1)] for i in range(40)}
+    want = {(q, k, r) for q in (0, 10, 33) for r, k in enumerate(sorted(unit, key=lambda k: (-round(sum(a * b for a, b in zip(unit[q], unit[k], strict=True)), 6), k))[:5], 1)}
+    for block in (4, 1024):
+        got = retrieval.top_of_set(points, points.filter("k IN (0, 10, 33, 40, 41)"), 5, "k", "v", block)
+        assert {(r["query"], r["k"], r["rank"]) for r in got.collect()} == want
+    assert retrieval.top_of_set(points.limit(0), points, 5, "k", "v").isEmpty()
