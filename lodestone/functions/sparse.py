@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import map_batches
+
 #: Letters, digits and the joiners of technical identifiers; the number of dimensions.
 TOKEN = re.compile(r"[A-Za-zÀ-ỹĐđ0-9]+(?:[._/-][A-Za-zÀ-ỹĐđ0-9]+)*")
 DIMENSIONS = 1_048_576
@@ -60,7 +62,7 @@ def vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dimensions
                     values.append([w / norm for w in weights])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(indices, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["key", "indices", "values"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, indices array<long>, values array<double>").withColumnRenamed("key", key)
+    return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, indices array<long>, values array<double>").withColumnRenamed("key", key)
 
 
 def dot(indices: Column, values: Column, query: dict[int, float]) -> Column:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import map_batches
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -44,7 +46,7 @@ def split(docs: DataFrame, size: int = 1000, overlap: int = 150, key: str = "doc
                     rows = []
             yield from _table(rows, batch.schema.field(0).type)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, chunk_index long, start long, end long, chunk string").withColumnRenamed("key", key)
+    return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, chunk_index long, start long, end long, chunk string").withColumnRenamed("key", key)
 
 
 def _table(rows: list[tuple], key: pa.DataType) -> list[pa.RecordBatch]:

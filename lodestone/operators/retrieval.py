@@ -10,10 +10,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JError
+from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import map_batches, stored
 
 RRF_K = 60
 
@@ -188,48 +193,93 @@ def fuse_channels(channels: dict[str, DataFrame], key: str, weights: dict[str, f
 
 
 def degraded(vector: Callable[[], DataFrame], keyword: DataFrame, key: str) -> tuple[DataFrame, bool]:
-    """Fusion of a vector channel, given as a function that may fail, with a keyword channel; keyword alone, and True, where it fails."""
+    """Fusion of a vector channel, given as a function that may fail, with a keyword channel; keyword alone, and True, where it fails.
+
+    The channel's list, k rows of (key, rank), is run here and kept in the driver: a store that is lost or a task that fails shows only then.
+    """
     try:
-        return fuse_channels({"vector": vector(), "keyword": keyword}, key), False
-    except Exception:  # noqa: BLE001  any failure of the vector service leaves the keyword channel
+        ranked_rows = vector()
+        schema = ranked_rows.select(key, "rank").schema
+        found = ranked_rows.select(key, "rank").collect()
+    except (PySparkException, Py4JError, OSError):
         return fuse_channels({"keyword": keyword}, key), True
+    return fuse_channels({"vector": keyword.sparkSession.createDataFrame(found, schema), "keyword": keyword}, key), False
+
+
+def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """Stored (block, keys, vectors) of rows with a vector, ``block`` rows or fewer each, packed where they stand."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c.take(pa.array(range(part.num_rows)))) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *lists], names=["block", "keys", "vectors"])
+                number += 1
+
+    plain = rows.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>"))
+    return stored(map_batches(plain, run, f"block long, keys array<{kind}>, vectors array<array<double>>"))
 
 
-def top_of_set(points: DataFrame, queries: DataFrame, k: int, key: str, vector: str, block: int = 1024) -> DataFrame:
+def top_of_set(points: DataFrame, queries: DataFrame, k: int, key: str, vector: str, block: int = 1024, group: str | None = None) -> DataFrame:
     """(query, key, score, rank): for every query the ``k`` points of greatest cosine, rounded to six places, ties by key.
 
-    A set of queries against all points, in blocks: a block of each side meets as one matrix product that keeps ``k`` a query, so what is
-    shuffled is k rows for each query and block. Null and zero vectors have no score and are left out; all have to be of one length.
+    A set of queries against all points, in blocks: every block of queries is sent once to each part of the points, joined by the part's
+    number, and meets a block of points as one matrix product that keeps ``k`` a query, so what is shuffled besides is k rows for each query and block.
+    Null and zero vectors have no score and are left out; all have to be of one length. With ``group``, a column of the points, the
+    first k of each of its values (null is one) are found.
     """
-    size = 1 << (block - 1).bit_length()  # a power of two never spans two partitions of the ids below
     kind = points.schema[key].dataType.simpleString()
-
-    def cut(rows: DataFrame, name: str) -> DataFrame:
-        at = F.floor(F.monotonically_increasing_id() / size)
-        return rows.filter(F.col(vector).isNotNull()).groupBy(at.alias("at")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("at")
+    parted = [group] if group else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, unit = zip(*(_units(batch.column(i)[row].values) for i in (0, 1)), strict=True)
-                if not len(unit[0]) or not len(unit[1]):
+                (names, unit), (asked, lines) = (_units(batch.column(a)[row].values, batch.column(b)[row].values) for a, b in (("keys", "vectors"), ("q_keys", "q_vectors")))
+                if not len(unit) or not len(lines):
                     continue
-                found = np.round(unit[1] @ unit[0].T, 6)
-                ranks = np.argsort(np.argsort(keys[0], kind="stable"), kind="stable")
+                found = np.round(lines @ unit.T, 6)
+                ranks = np.argsort(pc.sort_indices(names).to_numpy(), kind="stable")
                 best = np.stack([np.lexsort((ranks, -line))[:k] for line in found])
-                names = [pa.array(np.repeat(keys[1], best.shape[1])), pa.array(keys[0][best.ravel()]), pa.array(np.take_along_axis(found, best, 1).ravel())]
-                yield pa.RecordBatch.from_arrays([names[0].cast(key_type), names[1].cast(key_type), names[2]], names=["query", key, "score"])
-
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    pairs = cut(points, "p").crossJoin(cut(queries, "q"))
-    best = pairs.mapInArrow(score, f"query {kind}, {key} {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+                columns = [asked.take(pa.array(np.repeat(np.arange(len(lines)), best.shape[1]))), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(found, best, 1).ravel())]
+                extra = [pa.array([batch.column("part")[row].as_py()] * best.size, batch.schema.field("part").type)] if group else []
+                yield pa.RecordBatch.from_arrays([*columns, *extra], names=["query", key, "score", *parted])
+
+    held = _packed(points, key, vector, block) if group is None else _packed_by(points, group, key, vector, block)
+    parts = max(1, held.count() // 16)
+    asked = _packed(queries, key, vector, block).select(F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("share"))
+    pairs = asked.join(held.withColumn("share", F.pmod("block", F.lit(parts)).cast("int")).hint("merge"), "share")
+    extra = f", {group} {points.schema[group].dataType.simpleString()}" if group else ""
+    best = map_batches(pairs, score, f"query {kind}, {key} {kind}, score double{extra}")
+    rank = F.row_number().over(Window.partitionBy("query", *parted).orderBy(F.desc("score"), key))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _units(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+def _packed_by(points: DataFrame, group: str, key: str, vector: str, block: int) -> DataFrame:
+    """Like ``_packed``, with every block of one value of ``group``, as ``part``; a batch's rows are packed value by value."""
+    kind, value = points.schema[key].dataType.simpleString(), points.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            codes = batch.column(2).dictionary_encode(null_encoding="encode")
+            order = np.argsort(codes.indices.to_numpy(), kind="stable")
+            ends = np.cumsum(np.bincount(codes.indices.to_numpy(), minlength=len(codes.dictionary)))
+            for own, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
+                for at in range(a, b, block):
+                    mine = pa.array(order[at : min(at + block, b)])
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), batch.column(i).take(mine)) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, codes.dictionary.slice(own, 1)], names=["block", "keys", "vectors", "part"])
+                    number += 1
+
+    plain = points.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>"), F.col(group))
+    return stored(map_batches(plain, run, f"block long, keys array<{kind}>, vectors array<array<double>>, part {value}"))
+
+
+def _units(keys: pa.Array, vectors: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """Keys and unit vectors of a block, without zero vectors."""
-    lists = values.field("v")
-    m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
     norm = np.sqrt((m * m).sum(axis=1))
-    return values.field("k").to_numpy(zero_copy_only=False)[norm > 0], m[norm > 0] / norm[norm > 0, None]
+    return keys.filter(pa.array(norm > 0)), m[norm > 0] / norm[norm > 0, None]

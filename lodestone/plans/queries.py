@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, artifacts, chunking, context, conversation, graph, relational, retrieval, structure
+from ..operators import access, artifacts, chunking, context, conversation, graph, index, relational, retrieval, structure
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,23 @@ def vector_topk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_of_set(points, points.filter("vec_id % 50 = 0"), 10, "vec_id", "embedding")
 
 
+_SET = "SELECT q.vec_id AS query, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT query, vec_id, score FROM ({_SET}) WHERE label IN (1, 2, 3)) QUALIFY rank <= 10")
+def vector_filtered_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set against the points that pass a payload filter."""
+    points = table(spark, sf_dir, "embeddings")
+    return retrieval.top_of_set(points.filter(F.col("label").isin(1, 2, 3)), points.filter("vec_id % 50 = 0"), 10, "vec_id", "embedding")
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM ({_SET}) QUALIFY rank <= 3")
+def vector_per_label_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set's three best points of every label."""
+    points = table(spark, sf_dir, "embeddings")
+    return retrieval.top_of_set(points, points.filter("vec_id % 50 = 0"), 3, "vec_id", "embedding", group="label")
+
+
 @query(f"""SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 WHERE e.label IN (1, 2, 3) AND NOT e.vec_id = 0 ORDER BY {_COSINE} DESC, e.vec_id LIMIT 10""")
 def vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +117,7 @@ _TF = f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKEN
 @query(f"""SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
 FROM (SELECT doc_id, token, 1 + ln(tf) AS w FROM ({_TF}))""")
 def sparse_tf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sparse_weights(table(spark, sf_dir, "documents")).select("doc_id", "token", F.round("weight", 6).alias("weight"))
+    return index.postings_of(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), F.col("term").alias("token"), F.round("weight", 6).alias("weight"))
 
 
 @query("""SELECT item_id, token, (('0x' || substr(sha256(token), 1, 15))::BIGINT % 1048576)::BIGINT AS bucket
@@ -117,7 +134,7 @@ JOIN (SELECT unnest(string_split('{_QUERY_TEXT}', ' ')) AS token, 1 / sqrt(5) AS
 
 
 def _sparse_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    scored = retrieval.sparse_scores(table(spark, sf_dir, "documents"), _QUERY_TEXT).withColumn("score", F.round("score", 6))
+    scored = index.index_of(table(spark, sf_dir, "documents")).sparse_scores(_QUERY_TEXT).withColumn("score", F.round("score", 6))
     return retrieval.ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
@@ -133,7 +150,8 @@ WHERE len(list_intersect(words, ['the', 'and', 'that', 'of'])) = 4 OR n_exact >
 
 
 def _keyword_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    found = retrieval.keyword_scores(table(spark, sf_dir, "documents"), _TERMS, _PHRASES).withColumn("score", F.round("score", 6))
+    docs = table(spark, sf_dir, "documents")
+    found = index.index_of(docs).keyword_scores(docs, _TERMS, _PHRASES).withColumn("score", F.round("score", 6))
     return retrieval.ranked(found.select("doc_id", "n_exact", "score"), k, F.desc("n_exact"), F.desc("score"), F.col("doc_id"))
 
 
@@ -155,6 +173,24 @@ def keyword_exact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(items, "gram").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+@query(rf"""WITH o AS (SELECT doc_id, unnest({_TOKENS}) AS term, unnest(range(len({_TOKENS}))) AS i FROM documents),
+t AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR || ':' || unnest(range(len(regexp_split_to_array(text, '[.,?!\n]')))) AS clause, unnest(regexp_split_to_array(text, '[.,?!\n]')) AS text FROM conversations WHERE conv_id % 50 = 0),
+q AS (SELECT DISTINCT clause, unnest({_TOKENS}) AS term FROM t),
+h AS (SELECT clause, doc_id, i, term FROM o JOIN q USING (term)),
+r AS (SELECT * FROM h SEMI JOIN (SELECT clause, doc_id FROM h GROUP BY clause, doc_id HAVING count(DISTINCT term) = (SELECT count(*) FROM q WHERE q.clause = h.clause)) USING (clause, doc_id)),
+e AS (SELECT r.clause, doc_id, i, max(CASE WHEN r.term = q.term THEN i END) OVER (PARTITION BY r.clause, doc_id, q.term ORDER BY i) AS latest FROM r JOIN q ON r.clause = q.clause),
+c AS (SELECT clause, doc_id, b, min(i) AS z FROM (SELECT clause, doc_id, i, min(latest) AS b FROM e GROUP BY clause, doc_id, i HAVING count(latest) = count(*)) GROUP BY clause, doc_id, b),
+n AS (SELECT clause, doc_id, b, z - b + 1 - count(*) AS other FROM c JOIN r USING (clause, doc_id) WHERE r.i BETWEEN b AND z GROUP BY clause, doc_id, b, z)
+SELECT clause, doc_id, n_covers, score, row_number() OVER (PARTITION BY clause ORDER BY score DESC, doc_id)::INTEGER AS rank FROM (
+  SELECT clause, doc_id, count(*) AS n_covers, round(sum(0.1::DOUBLE / (1 + other)), 6) AS score FROM n GROUP BY clause, doc_id) QUALIFY rank <= 50""")
+def keyword_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set, each clause of the conversations whose id is divisible by 50, against all documents: the 50 best by cover density."""
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("n").cast("string"))
+    asked = table(spark, sf_dir, "conversations").filter("conv_id % 50 = 0").select("conv_id", "turn", F.posexplode(F.split("text", r"[.,?!\n]")).alias("n", "text")).select(name.alias("clause"), "text")
+    scored = index.index_of(table(spark, sf_dir, "documents")).cover_scores(asked, "clause", "text").withColumn("score", F.round("score", 6))
+    return index.best(scored, "clause", 50, F.desc("score"), F.col("doc_id"))
+
+
 @query("""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents),
 q AS (SELECT DISTINCT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS term FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0)
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN d ON contains(d.words, q.term) GROUP BY item_id""")
@@ -537,9 +573,17 @@ def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY token HAVING count(*) > 5""")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token to the number of its rows; each row's tokens are made distinct in place, before any shuffle."""
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n_docs")).filter("n_docs > 5")
+    """Token to the number of its rows, from the index's vocabulary."""
+    rows = index.index_of(table(spark, sf_dir, "documents")).vocabulary()
+    return rows.select(F.col("term").alias("token"), "n_docs").filter("n_docs > 5")
+
+
+@query(f"""SELECT token, block, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM (
+  SELECT DISTINCT unnest({_TOKENS}) AS token, doc_id, (doc_id // 1024)::BIGINT AS block FROM documents) GROUP BY token, block""")
+def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token to the ascending ids of its rows, in blocks of 1024 ids, so that a frequent token's list is no single row."""
+    rows = index.index_of(table(spark, sf_dir, "documents")).all().select(F.col("term").alias("token"), F.col("key").alias("doc_id"), F.floor(F.col("key") / 1024).alias("block"))
+    return rows.groupBy("token", "block").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("doc_ids"))
 
 
 # --- structure and compiled facts ------------------------------------------------------------------

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import map_batches
+
 ELEMENT = "path string, element_no long, element_type string, level long, heading_path string, text string"
 
 
@@ -76,7 +78,7 @@ def text_elements(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "element_no", "element_type", "level", "heading_path", "text"])
 
-    return files.select("path", "content").mapInArrow(run, ELEMENT)
+    return map_batches(files.select("path", "content"), run, ELEMENT)
 
 
 def read_tree(spark: SparkSession, path: str, code: str, parent: str, name: str, level: str) -> DataFrame:
