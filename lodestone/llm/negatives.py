@@ -201,8 +201,9 @@ def search(anchors: DataFrame, held: DataFrame, same: bool, k: int) -> DataFrame
     if ends[0] is None:
         return held.sparkSession.createDataFrame([], "uid long, window int, score long, id long, rank int")
     early = (F.col("stripe") == ends[0]) & (F.col("place") < FIRST)
-    # At most FIRST buckets of BUCKET_BYTES' vectors: a broadcast of bounded size.
-    first = stored(_best(_scored(_blocks(anchors).withColumn("stripe", F.lit(ends[0])).join(F.broadcast(held.filter(early)), "stripe"), same, k), k))
+    # At most FIRST buckets of BUCKET_BYTES' vectors: a broadcast of bounded size, joined by the bucket's place.
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FIRST - 1).cast("long")))
+    first = stored(_best(_scored(_blocks(anchors).withColumn("place", places).join(F.broadcast(held.filter(early)), "place"), same, k), k))
     seen = first.filter(F.col("rank") == k).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
     known = F.transform("windows", lambda w, i: w.withField("seen", F.coalesce(F.try_element_at("kth", i), w["seen"])))
     blocks = _blocks(anchors.join(seen, "uid", "left").withColumn("windows", known))
