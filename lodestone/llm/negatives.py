@@ -49,13 +49,13 @@ def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return m.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(dimension, rows of that dimension), in order, each of a bucket's size at most; a bucket may be cut short at the end of a batch."""
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(dimension, rows of that dimension), in order, each of ``most`` rows and a bucket's bytes at most; one may be cut short at the end of a batch."""
     for batch in batches:
         dims = np.diff(batch.column(column).offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
         for dim in np.unique(dims).tolist():
             rows = batch if (dims == dim).all() else batch.filter(pa.array(dims == dim))
-            size = max(1, min(BUCKET_ROWS, BUCKET_BYTES // (2 * max(1, dim))))
+            size = max(1, min(most, BUCKET_BYTES // (2 * max(1, dim))))
             for at in range(0, rows.num_rows, size):
                 yield dim, rows.slice(at, size)
 
@@ -69,13 +69,16 @@ def _column(batch: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
     return (column.fill_null(null) if column.null_count else column).to_numpy(zero_copy_only=False)
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    stripe, place = TaskContext.get().partitionId(), 0
-    for dim, rows in _pieces(batches, "v"):
-        m, unnamed = _matrix(rows.column("v"), dim), rows.column("id").is_null().to_numpy(zero_copy_only=False)
-        packed = _bytes(_column(rows, "uid"), _column(rows, "id", MOST), unnamed, _column(rows, "label"), m)
-        yield pa.RecordBatch.from_arrays([pa.array([stripe]), pa.array([place]), pa.array([float(_column(rows, "norm").max())]), pa.array([dim]), pa.array([m.dtype.str]), *packed], names=["stripe", "place", "top", "dim", "kind", "c_uid", "c_id", "c_unnamed", "c_label", "c_v"])
-        place += 1
+def _bucketed(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripe, place = TaskContext.get().partitionId(), 0
+        for dim, rows in _pieces(batches, "v", most):
+            m, unnamed = _matrix(rows.column("v"), dim), rows.column("id").is_null().to_numpy(zero_copy_only=False)
+            packed = _bytes(_column(rows, "uid"), _column(rows, "id", MOST), unnamed, _column(rows, "label"), m)
+            yield pa.RecordBatch.from_arrays([pa.array([stripe]), pa.array([place]), pa.array([float(_column(rows, "norm").max())]), pa.array([dim]), pa.array([m.dtype.str]), *packed], names=["stripe", "place", "top", "dim", "kind", "c_uid", "c_id", "c_unnamed", "c_label", "c_v"])
+            place += 1
+
+    return run
 
 
 def buckets(held: DataFrame) -> DataFrame:
@@ -83,35 +86,38 @@ def buckets(held: DataFrame) -> DataFrame:
     n = held.count()
     stripes = max(1, -(-n // STRIPE_ROWS), min(2 * held.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS))
     ordered = held.repartitionByRange(stripes, F.desc("norm"), F.col("uid")).sortWithinPartitions(F.desc("norm"))
-    return stored(ordered.mapInArrow(_bucketed, "stripe long, place long, top double, dim long, kind string, c_uid binary, c_id binary, c_unnamed binary, c_label binary, c_v binary"))
+    return stored(ordered.mapInArrow(_bucketed(BUCKET_ROWS), "stripe long, place long, top double, dim long, kind string, c_uid binary, c_id binary, c_unnamed binary, c_label binary, c_v binary"))
 
 
 def _needs(low: np.ndarray, high: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The least score that is of use to any window of each anchor."""
-    return np.where(low <= high, np.maximum(low, seen).astype(np.float64), np.inf).min(axis=1, initial=np.inf)
-
-
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 33
-    for dim, rows in _pieces(batches, "v"):
-        lists, m, norm = rows.column("windows"), _matrix(rows.column("v"), dim), _column(rows, "norm")
-        sizes = np.diff(lists.offsets.to_numpy())
-        width = max(1, int(sizes.max()))
-        at = np.arange(width) < sizes[:, None]
-        limits = []
-        for name, none in (("low", MOST), ("high", LEAST), ("seen", LEAST)):
-            limits.append(np.full(at.shape, none, np.int64))
-            limits[-1][at] = lists.flatten().field(name).to_numpy(zero_copy_only=False)
-        needs = _needs(*limits)
-        least = float(np.where(needs <= 0, 0.0, np.divide(needs, norm, out=np.full(len(norm), np.inf), where=norm > 0)).min())
-        packed = _bytes(_column(rows, "uid"), _column(rows, "label"), norm, m, *limits)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([least]), pa.array([dim]), pa.array([m.dtype.str]), *packed], names=["block", "least", "a_dim", "a_kind", "a_uid", "a_label", "a_norm", "a_v", "a_low", "a_high", "a_seen"])
-        block += 1
+    """The least score that is of use to any window of each anchor, or a double just below it."""
+    return np.where(low <= high, np.nextafter(np.maximum(low, seen).astype(np.float64), -np.inf), np.inf).min(axis=1, initial=np.inf)
+
+
+def _blocked(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for dim, rows in _pieces(batches, "v", most):
+            lists, m, norm = rows.column("windows"), _matrix(rows.column("v"), dim), _column(rows, "norm")
+            sizes = np.diff(lists.offsets.to_numpy())
+            width = max(1, int(sizes.max()))
+            at = np.arange(width) < sizes[:, None]
+            limits = []
+            for name, none in (("low", MOST), ("high", LEAST), ("seen", LEAST)):
+                limits.append(np.full(at.shape, none, np.int64))
+                limits[-1][at] = lists.flatten().field(name).to_numpy(zero_copy_only=False)
+            needs = _needs(*limits)
+            least = float(np.where(needs <= 0, 0.0, np.divide(needs, norm, out=np.full(len(norm), np.inf), where=norm > 0)).min())
+            packed = _bytes(_column(rows, "uid"), _column(rows, "label"), norm, m, *limits)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([least]), pa.array([dim]), pa.array([m.dtype.str]), *packed], names=["block", "least", "a_dim", "a_kind", "a_uid", "a_label", "a_norm", "a_v", "a_low", "a_high", "a_seen"])
+            block += 1
+
+    return run
 
 
 def _blocks(anchors: DataFrame) -> DataFrame:
     schema = "block long, least double, a_dim long, a_kind string, a_uid binary, a_label binary, a_norm binary, a_v binary, a_low binary, a_high binary, a_seen binary"
-    return stored(anchors.select("uid", "label", "norm", "v", "windows").mapInArrow(_blocked, schema))
+    return stored(anchors.select("uid", "label", "norm", "v", "windows").mapInArrow(_blocked(BUCKET_ROWS), schema))
 
 
 def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:

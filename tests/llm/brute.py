@@ -137,3 +137,30 @@ def similar_heads(keys, texts, groups, least=0.8):
         for g in s:
             by.setdefault(g, []).append(i)
     return {min(k for k, r in zip(keys, root) if r == x) for x in set(root)}
+
+
+def runs(w, least=24, power=3):
+    """(start, length, period) of every run, by start and period: all stretches of equal words at every distance."""
+    names = {}
+    c, best = np.array([names.setdefault(x, len(names)) for x in w], np.int64), {}
+    for q in range(1, len(c) // power + 1):
+        step = np.diff(np.concatenate(([0], (c[:-q] == c[q:]).astype(np.int8), [0])))
+        for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+            if b - a + q >= max(least, power * q):
+                best.setdefault((a, b - a + q), q)
+    return sorted(((a, n, q) for (a, n), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def negatives(rows, positives=5, negatives=5, low=80, high=100):
+    """Rows (key, label, vector); keys divisible by ten are anchors."""
+    good = [(k, c, [int(x) for x in v]) for k, c, v in rows if c is not None and v is not None and all(x is not None and abs(x) < 2**62 for x in v) and sum(x * x for x in v) < 2**62]
+    order = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    out = []
+    for i, (k, c, v) in enumerate(good):
+        if k is None or k % 10:
+            continue
+        scores = [(sum(x * y for x, y in zip(v, u)), name, label == c) for j, (name, label, u) in enumerate(good) if j != i and len(u) == len(v)]
+        for top, positive, _ in sorted((s for s in scores if s[2]), key=order)[:positives]:
+            hard = sorted((s for s in scores if not s[2] and low * top <= 100 * s[0] <= high * top), key=order)[:negatives]
+            out += [(k, positive, rank, s[1], top, s[0]) for rank, s in enumerate(hard, 1)]
+    return out
