@@ -728,4 +728,4 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.missing_lines(docs, chunking.split(docs))
 
 
-from . import layout, more  # noqa: E402,F401  register their queries
+from . import layout, more, passes  # noqa: E402,F401  register their queries
