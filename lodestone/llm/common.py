@@ -8,11 +8,7 @@ block of its own).
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,48 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, ship, stored  # noqa: F401  the operators take them from here
+
 BLOCK_BYTES = 1 << 20
 #: ASCII white space that ends a word in most contracts.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors once per Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="lodestone-"))
-    target = folder / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; where that is unset, a temporary one, which only a local master reaches."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = Path(tempfile.gettempdir(), "lodestone-checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, where: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is cut and executors may go."""
-    where = where or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def is_local(spark: SparkSession, where: str) -> bool:
     """Whether Spark resolves ``where`` to a mounted folder, which plain file calls reach; a path without scheme is its default file system's."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)

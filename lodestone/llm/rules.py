@@ -110,7 +110,7 @@ def calibrate(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMP
     An empty table is measured as well: all rules then have the same worth.
     """
     total = docs.count()
-    drawn = docs.select("text").sample(min(1.0, sample_rows / max(1, total)), seed=42).coalesce(4).cache()
+    drawn = docs.select("text").sample(min(1.0, sample_rows / max(1, total)), seed=42).repartition(4).cache()
     try:
         n = drawn.count()
         sample = features(drawn)

@@ -114,7 +114,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     rest = known.filter("heavy_shard IS NULL").drop("heavy_shard").join(where, "group")
     placed_rows = rest.unionByName(known.filter("heavy_shard IS NOT NULL").withColumnRenamed("heavy_shard", "shard"))
     runs = min(RUNS, max(16, n // 100_000))
-    placed_rows = stored(placed_rows.withColumn("run", F.pmod(F.xxhash64("key", "group"), F.lit(runs)).cast("int")))
+    placed_rows = stored(placed_rows.withColumn("run", F.pmod(F.xxhash64("key", "group", F.monotonically_increasing_id()), F.lit(runs)).cast("int")))
     counts = placed_rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("shard", "run").orderBy("key", "group"))
