@@ -85,6 +85,7 @@ class Index:
     spark: SparkSession
     where: str
     key: str
+    kind: str
     pattern: str
     buckets: int
 
@@ -96,7 +97,7 @@ class Index:
         spark = docs.sparkSession
         held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = buckets or min(max(held // BUCKET_BYTES, FOLDERS[0]), FOLDERS[1])
-        index = cls(spark, where or shared_dir(spark), key, pattern, buckets)
+        index = cls(spark, where or shared_dir(spark), key, docs.schema[key].dataType.simpleString(), pattern, buckets)
         rows = postings_of(docs, key, text, pattern).withColumn("bucket", _bucket(F.col("term"), buckets))
         dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(SPLITS))).sortWithinPartitions("bucket", "term", "key")
         dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{index.where}/postings")
@@ -105,10 +106,10 @@ class Index:
 
     def all(self) -> DataFrame:
         """Every posting."""
-        return self.spark.read.parquet(f"{self.where}/postings")
+        return self.spark.read.schema(f"term string, key {self.kind}, n_words int, weight double, places array<int>, bucket int").parquet(f"{self.where}/postings")
 
     def vocabulary(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.where}/vocabulary")
+        return self.spark.read.schema("bucket int, term string, n_docs long").parquet(f"{self.where}/vocabulary")
 
     # Read
 
