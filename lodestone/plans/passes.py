@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import limits, records
 from .queries import query, table
 
 
@@ -85,3 +85,38 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(first("^a"), 1).when(first("^[ei]"), 2).when(first("^o"), 3).when(first("^t"), 4)
     found = records.section_paths(lines(spark, sf_dir), ["doc_id"], "line_no", level, F.col("word"), levels=4)
     return found.select("doc_id", "line_no", F.array_join("path", " > ").alias("path"), "parent")
+
+
+_LIMIT, _HARD = 120, 102
+
+
+@query(rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, pairs, len(pairs) AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?:[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_\s]+)\s*') AS pairs FROM documents)),
+m AS (SELECT doc_id, n, i, regexp_matches(before, '[.!?;:]\s*$') OR contains(regexp_extract(before, '\s*$'), chr(10)) AS ended, regexp_matches(pair, '^\p{{Ll}}') AS small FROM (
+  SELECT doc_id, n, unnest(pairs) AS pair, unnest(list_prepend('', pairs[:-2])) AS before, generate_subscripts(pairs, 1) - 1 AS i FROM t)),
+k AS MATERIALIZED (SELECT doc_id, n, i, max(CASE WHEN i > 0 AND ended AND NOT small THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS latest FROM m),
+r AS (SELECT doc_id, n, 0::BIGINT AS part, 0::BIGINT AS a, CASE WHEN n <= {_LIMIT} THEN n ELSE 0 END::BIGINT AS z, n <= {_LIMIT} AS whole FROM t WHERE n > 0
+UNION ALL SELECT r.doc_id, r.n, r.part + 1, r.z, CASE WHEN r.z + {_HARD} >= r.n THEN r.n WHEN k.latest > least(r.z + {_HARD} - 1, r.z + {int(_HARD * 0.55)}) THEN k.latest ELSE r.z + {_HARD} END::BIGINT, false
+  FROM r LEFT JOIN k ON k.doc_id = r.doc_id AND k.i = r.z + {_HARD} WHERE r.z < r.n)
+SELECT r.doc_id, part - CASE WHEN whole THEN 0 ELSE 1 END AS part, z - a AS n_tokens, sha256(regexp_replace(array_to_string(pairs[a + 1:z], ''), '\s+$', '')) AS digest FROM r JOIN t ON r.doc_id = t.doc_id WHERE z > a""")
+def hard_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at tokens, at sentence and line ends where the last 45 per cent of a part have one."""
+    found = limits.cut(table(spark, sf_dir, "documents"), _LIMIT)
+    return found.select("doc_id", "part", "n_tokens", F.sha2("text", 256).alias("digest"))
+
+
+@query(rf"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (
+  SELECT l_orderkey, l_linenumber, sum(20 + l_partkey % 60)::BIGINT AS cost FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+p AS (SELECT l_orderkey, i, n, cost, 0 AS part, cost AS used FROM c WHERE i = 1
+UNION ALL SELECT c.l_orderkey, c.i, c.n, c.cost, CASE WHEN 10 + p.used + c.cost > 150 THEN p.part + 1 ELSE p.part END, CASE WHEN 10 + p.used + c.cost > 150 THEN c.cost ELSE p.used + c.cost END FROM p JOIN c ON c.l_orderkey = p.l_orderkey AND c.i = p.i + 1),
+s AS (SELECT l_orderkey, max(n) AS n, max(part) AS last, list(cost ORDER BY i) AS costs, list(part ORDER BY i) AS parts FROM p GROUP BY l_orderkey),
+b AS (SELECT *, list_position(parts, last - 1) - 1 AS head, list_position(parts, last) - 1 AS tail FROM s WHERE last > 0),
+t AS (SELECT l_orderkey, n, costs, head, tail, false AS done FROM b
+UNION ALL SELECT l_orderkey, n, costs, head, CASE WHEN stop THEN tail ELSE tail - 1 END, stop FROM (
+  SELECT *, tail - head <= 2 OR (n - tail >= 2 AND 10 + list_sum(costs[tail + 1:]) >= 72) OR 10 + list_sum(costs[head + 1:tail - 1]) > 150 OR 10 + list_sum(costs[tail:]) > 150 AS stop FROM t WHERE NOT done)),
+e AS (SELECT l_orderkey, CASE WHEN n - tail >= 2 THEN tail WHEN 10 + list_sum(costs[head + 1:]) <= 150 THEN n WHEN tail - head > 2 THEN tail - 1 ELSE tail END AS tail, head FROM t WHERE done)
+SELECT c.l_orderkey, c.l_linenumber, (CASE WHEN e.l_orderkey IS NULL OR c.i <= e.head THEN p.part WHEN c.i <= e.tail THEN s.last - 1 ELSE s.last END)::BIGINT AS part
+FROM c JOIN p ON p.l_orderkey = c.l_orderkey AND p.i = c.i JOIN s ON s.l_orderkey = c.l_orderkey LEFT JOIN e ON e.l_orderkey = c.l_orderkey""")
+def table_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order tables packed under a limit of 150 tokens with a header of 10, the last two parts evened out."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(20 + F.col("l_partkey") % 60).alias("cost"))
+    return limits.rebalanced(rows, "l_orderkey", "l_linenumber", F.col("cost"), 150, fixed=10).select("l_orderkey", "l_linenumber", "part")
