@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import enrich
+from ..sources.shared import map_batches
 
 
 def clean(cell: Column) -> Column:
@@ -109,3 +115,127 @@ def misfiled(children: DataFrame, parent_tables: DataFrame, parent_key: str, key
     p = parent_tables.select(F.col(key).alias(parent_key), F.lower(name).alias("_parent"))
     linked = children.filter(F.col(parent_key).isNotNull()).join(p, parent_key, "left")
     return linked.filter(~F.lower(name).eqNullSafe(F.col("_parent")) | F.col("_parent").isNull()).drop("_parent")
+
+
+#: A cell of a line with columns ends before two white spaces or at the line's end.
+_CELL = re.compile(r"\S(?:.*?\S)??(?=\s{2,}|\s*$)")
+_DASHES = re.compile(r"[\s|:+-]*")
+
+
+def cells_of(line: str) -> list[tuple[int, str]]:
+    """(column, cell) of a line whose cells are two or more white spaces, or a tab, apart."""
+    return [(m.start(), m.group()) for m in _CELL.finditer(line.expandtabs(4))]
+
+
+def column_starts(rows: list[list[tuple[int, str]]], apart: int = 3) -> list[int]:
+    """The columns of some lines: all cells' starts in order, cut where two are more than ``apart`` away, each group's median; groups of one cell are columns only if no larger ones exist."""
+    groups: list[list[int]] = []
+    for x in sorted(a for row in rows for a, _ in row):
+        if groups and x - groups[-1][-1] <= apart:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    many = [g for g in groups if len(g) > 1] or groups
+    return [int(median(g)) for g in many]
+
+
+def placed(rows: list[list[tuple[int, str]]], starts: list[int]) -> list[list[str]]:
+    """The cells of each line by their nearest column; a line that has nothing in the first column goes on with the row before it."""
+    out: list[list[str]] = []
+    for row in rows:
+        cells = [""] * len(starts)
+        for at, cell in row:
+            i = min(range(len(starts)), key=lambda k: (abs(starts[k] - at), k))
+            cells[i] = f"{cells[i]} {cell}".strip()
+        if out and not cells[0]:
+            out[-1] = [f"{a} {b}".strip() for a, b in zip(out[-1], cells, strict=True)]
+        else:
+            out.append(cells)
+    return out
+
+
+def regions_of(text: str, least: int = 2) -> list[tuple[str, int, int, list[list[str]]]]:
+    """(kind, start, end, rows) of a text's tables, in order: ``pipe``, adjacent lines with a pipe, of which ``least`` are more than dashes; ``aligned``, lines of two cells or more with
+    indented lines between them and single blank lines, of which ``least`` have two cells. Offsets are code points, from the first line's start to the last one's end."""
+    out, at, held, kind, blank = [], 0, [], "", 0
+
+    def ended() -> None:
+        nonlocal held, blank
+        if kind == "pipe":
+            rows = [[re.sub(r"\s+", " ", c).strip() for c in re.sub(r"^\||\|$", "", line.strip()).split("|")] for _, line in held if not _DASHES.fullmatch(line)]
+            good = len(rows) >= least
+        else:
+            parts = [cells_of(line) for _, line in held]
+            good = sum(len(p) > 1 for p in parts) >= least
+            rows = placed(parts, column_starts(parts)) if good else []
+        if good:
+            out.append((kind, held[0][0], held[-1][0] + len(held[-1][1]), rows))
+        held, blank = [], 0
+
+    for line in text.split("\n"):
+        found = "pipe" if "|" in line else "aligned" if line.strip() and len(cells_of(line)) > 1 else ""
+        if held and (found and found != kind or found == "" and kind == "pipe"):
+            ended()
+        if found:
+            kind, blank = found, 0
+            held.append((at, line))
+        elif held and not line.strip():
+            blank += 1
+            if blank > 1:
+                ended()
+        elif held and line[:1].isspace():
+            held.append((at, line))
+            blank = 0
+        elif held:
+            ended()
+        at += len(line) + 1
+    if held:
+        ended()
+    return out
+
+
+def regions(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
+    """(key, kind, start, end, rows) of every table in the texts; null and empty texts have none. One pass over a text's lines."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *r) for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in regions_of(body or "", least)]
+            types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names=["key", "kind", "start", "end", "rows"])
+
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return map_batches(plain, run, f"key {kind}, kind string, start long, end long, rows array<array<string>>").withColumnRenamed("key", key)
+
+
+def uncovered(lengths: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(key, start, end): what ``ranges`` (key, start, end) leave of 0 to ``n`` (key, n), by one sweep over each key's ranges in order.
+
+    Ranges may meet, overlap and lie in each other; empty ones cover nothing, and what lies beyond ``n`` is cut off. Null keys are a key.
+    """
+    ends = lengths.select(key, F.col("n").cast("long").alias("start"), F.col("n").cast("long").alias("end"), F.col("n").cast("long").alias("n"))
+    all_ = ranges.filter(F.col("end") > F.col("start")).select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(None).cast("long").alias("n")).unionByName(ends)
+    whole, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = all_.select(key, F.coalesce(F.max("end").over(before), F.lit(0).cast("long")).alias("a"), "start", F.max("n").over(whole).alias("size"))
+    return gaps.select(key, F.greatest("a", F.lit(0)).alias("start"), F.least("start", "size").alias("end")).filter(F.col("end") > F.col("start"))
+
+
+def prose_and_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, start, end, part) that cover every text without overlap: its tables, and ``prose`` between them. Keys have to be unique."""
+    found = regions(docs, key, text).select(key, "kind", "start", "end")
+    prose = uncovered(docs.select(key, F.coalesce(F.length(text), F.lit(0)).alias("n")), found, key).select(key, F.lit("prose").alias("kind"), "start", "end")
+    lists = found.unionByName(prose).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__parts")).withColumnRenamed(key, "__key")
+    rows = docs.select(F.col(key), F.col(text).alias("__text")).join(lists, F.col(key).eqNullSafe(F.col("__key")))
+    cut = rows.select(key, "__text", F.explode("__parts").alias("p"))
+    return cut.select(key, "p.kind", "p.start", "p.end", F.substring("__text", (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("part"))
+
+
+def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with every table in place as its records, one a row under its headers, and prose trimmed; parts a blank line apart. Keys have to be unique."""
+    parts_ = prose_and_tables(docs, key, text)
+    cells = with_headers(regions(docs, key, text).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("start"))))
+    records = row_records(cells, F.concat(F.lit("t"), F.col("n").cast("string")), key, "start")
+    tables_ = records.groupBy(key, "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "content"))), lambda r: r["content"]), "\n").alias("said"))
+    prose = parts_.filter("kind = 'prose'").select(key, "start", F.regexp_replace("part", r"\A\s+|\s+\z", "").alias("said"))
+    said = prose.unionByName(tables_).filter("said <> ''").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "said"))), lambda r: r["said"]), "\n\n").alias("__said")).withColumnRenamed(key, "__key")
+    return docs.select(key).join(said, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce("__said", F.lit("")).alias(text))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import limits, records
+from ..operators import limits, records, tables
 from .queries import query, table
 
 
@@ -120,3 +120,26 @@ def table_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order tables packed under a limit of 150 tokens with a header of 10, the last two parts evened out."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(20 + F.col("l_partkey") % 60).alias("cost"))
     return limits.rebalanced(rows, "l_orderkey", "l_linenumber", F.col("cost"), 150, fixed=10).select("l_orderkey", "l_linenumber", "part")
+
+
+_SPACED = "regexp_replace(text, ', ', ',   ', 'g')"
+_ROWS = rf"""SELECT doc_id, text, i, line, CASE WHEN contains(line, '|') THEN 'pipe' WHEN regexp_matches(line, '\S[ \t]{{2,}}\S') THEN 'aligned' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s') THEN 'more' ELSE 'text' END AS kind,
+  (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS start, NOT regexp_full_match(line, '[\s|:+-]*') AS filled FROM (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, {_SPACED} AS text FROM documents))"""
+
+
+@query(rf"""WITH RECURSIVE l AS MATERIALIZED ({_ROWS}),
+r AS (SELECT doc_id, 0::BIGINT AS i, NULL::VARCHAR AS kind, 0 AS run, 0 AS blank, false AS member FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL SELECT l.doc_id, l.i, CASE WHEN l.kind IN ('pipe', 'aligned') THEN l.kind WHEN r.kind = 'aligned' AND (l.kind = 'more' OR l.kind = 'blank' AND r.blank = 0) THEN r.kind END,
+  r.run + CASE WHEN l.kind IN ('pipe', 'aligned') AND r.kind IS DISTINCT FROM l.kind THEN 1 ELSE 0 END, CASE WHEN l.kind = 'blank' THEN r.blank + 1 ELSE 0 END, l.kind IN ('pipe', 'aligned') OR r.kind = 'aligned' AND l.kind = 'more'
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+t AS MATERIALIZED (SELECT l.doc_id, r.kind, min(start) AS start, max(start + length(line)) AS z FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i WHERE member GROUP BY l.doc_id, r.kind, run
+  HAVING CASE WHEN r.kind = 'pipe' THEN count(*) FILTER (filled) ELSE count(*) FILTER (l.kind = 'aligned') END >= 2),
+n AS (SELECT doc_id, length({_SPACED})::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, coalesce(max(z) OVER (PARTITION BY doc_id ORDER BY start, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, start AS z FROM (SELECT doc_id, start, z FROM t UNION ALL SELECT doc_id, n, n FROM n)),
+p AS (SELECT doc_id, kind, start, z FROM t UNION ALL SELECT doc_id, 'prose', start, z FROM g WHERE z > start)
+SELECT doc_id, kind, start, z AS "end", sha256(substr({_SPACED}, start + 1, z - start)) AS digest FROM p JOIN documents USING (doc_id)""")
+def prose_minus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and the prose between them: the ranges of a document are disjoint and cover it. Wider gaps after commas make its lists columns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", ", ", ",   ").alias("text"))
+    return tables.prose_and_tables(docs).select("doc_id", "kind", "start", "end", F.sha2("part", 256).alias("digest"))
