@@ -76,11 +76,15 @@ def follows_up(question: Column) -> Column:
     return (q != "") & (phrase | and_also | q.rlike(r"\b(?:thi sao|nua khong|tiep tuc|ke tiep)\b") | short)
 
 
-def remembered(message: Column) -> Column:
-    """STRUCT<kind, content> of a message that asks to be remembered, else null; an earlier phrase of the list decides."""
+#: Phrases that ask to be remembered, in the order that decides.
+ASKS = {p: "instruction" if p in INSTRUCTIONS else "preference" for p in ("nhớ rằng", "từ nay", "tôi thích", "hãy luôn", "ưu tiên")}
+
+
+def remembered(message: Column, phrases: dict[str, str] = ASKS) -> Column:
+    """STRUCT<kind, content> of a message that asks to be remembered, else null; the earliest of the ``phrases`` (to kinds) that it has decides."""
     low, out = F.lower(message), None
-    for phrase in ("nhớ rằng", "từ nay", "tôi thích", "hãy luôn", "ưu tiên"):
-        kind = F.lit("instruction" if phrase in INSTRUCTIONS else "preference")
+    for phrase, name in phrases.items():
+        kind = F.lit(name)
         out = F.when(F.contains(low, F.lit(phrase)), kind) if out is None else out.when(F.contains(low, F.lit(phrase)), kind)
     return F.when(out.isNotNull(), F.struct(out.alias("kind"), F.trim(message).alias("content")))
 

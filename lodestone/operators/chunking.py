@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import map_batches
@@ -65,18 +65,21 @@ def pipe_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
 
 
 def missing_lines(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_lines, n_missing): a row's lines with text, and those that its chunks' ranges do not cover.
+    """(key, n_lines, n_missing): a row's lines with text, and those that its chunks' ranges do not cover. Keys have to be unique.
 
-    Only offsets are compared: no text is moved, and ranges and lines are each gone through once.
+    Only offsets are compared. Ranges that meet or overlap are one, so that a line over a boundary is covered; a line is covered by the last
+    such range that begins before it or with it, or by none: one sweep over ranges and lines in order.
     """
-    line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), (F.trim(x) != "").alias("full")))
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.when(x["full"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end"))))).otherwise(acc["out"]).alias("out"))
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    lines = docs.select(key, F.aggregate(line, begun, step)["out"].alias("lines"))
-    ranges = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    # Ranges joined where they meet, so that a line across a boundary is covered.
-    meet = lambda acc, x: F.when(x["start"] > F.coalesce(F.element_at(acc, -1)["end"], F.lit(-1)), F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-    whole = F.aggregate("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(meet(acc, x)))
-    joined = lines.join(ranges.select(key, whole.alias("ranges")), key, "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    lost = F.filter("lines", lambda x: ~F.exists("ranges", lambda r: (r["start"] <= x["start"]) & (x["end"] <= r["end"])))
-    return joined.select(key, F.size("lines").cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_missing"))
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    upto = Window.partitionBy(key).orderBy("no")
+    end = F.sum(F.length("line") + 1).over(upto) - 1
+    lines = lines.select(key, (end - F.length("line")).cast("long").alias("start"), end.cast("long").alias("end"), (F.trim("line") != "").alias("full"))
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = chunks.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    fresh = (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
+    islands = ranges.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(Window.partitionBy(key).orderBy("start", "end"))).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    # Ranges come before the lines that begin where they do.
+    events = islands.select(key, "start", F.lit(0).alias("kind"), F.col("end").alias("covered"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("boolean").alias("full")).unionByName(lines.select(key, "start", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("covered"), "end", "full"))
+    reached = F.coalesce(F.last("covered", ignorenulls=True).over(Window.partitionBy(key).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
+    marked = events.withColumn("lost", F.col("end") > reached).filter("kind = 1")
+    return marked.groupBy(key).agg(F.count_if("full").alias("n_lines"), F.count_if(F.col("full") & F.col("lost")).alias("n_missing"))

@@ -123,30 +123,34 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_headers(rows.withColumn("rows", F.when(F.col("l_orderkey") % 2 == 0, F.concat(head, "rows")).otherwise(F.col("rows"))))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber::VARCHAR ELSE '' END AS c3, ('M' || l_suppkey % 3) AS c1, l_returnflag AS c2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 3, l_returnflag) AS n FROM lineitem),
+_ORDER_ROWS = """t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber::VARCHAR ELSE '' END AS c3, ('M' || l_suppkey % 3) AS c1, l_returnflag AS c2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 3, l_returnflag) AS n FROM lineitem),
 f AS (SELECT l_orderkey, max(CASE WHEN n = 1 THEN c1 END) AS f1, max(CASE WHEN n = 1 THEN c2 END) AS f2, max(CASE WHEN n = 1 THEN c3 END) AS f3, count(*) AS total FROM t GROUP BY 1),
 h AS (SELECT f.l_orderkey, f.l_orderkey % 2 <> 0 AND any_value(f3) <> '' AND any_value(total) > 1 AND (bool_and(c1 <> f1) OR bool_and(c2 <> f2) OR coalesce(bool_and(CASE WHEN c3 <> '' THEN c3 <> f3 END), false)) AS own FROM f JOIN t ON t.l_orderkey = f.l_orderkey AND n BETWEEN 2 AND 4 GROUP BY f.l_orderkey),
 j AS (SELECT t.*, coalesce(own, false) AS own, f1, f2, f3 FROM t JOIN f USING (l_orderkey) LEFT JOIN h USING (l_orderkey)),
-k AS (SELECT *, n - own::INT AS i, CASE WHEN l_orderkey % 2 = 0 THEN ['Mode', 'Flag', 'No'] WHEN own THEN [f1, f2, f3] ELSE ['cell_1', 'cell_2', 'cell_3'] END AS h FROM j)
+k AS (SELECT *, n - own::INT AS i, CASE WHEN l_orderkey % 2 = 0 THEN ['Mode', 'Flag', 'No'] WHEN own THEN [f1, f2, f3] ELSE ['cell_1', 'cell_2', 'cell_3'] END AS h FROM j)"""
+
+
+@query(f"""WITH {_ORDER_ROWS}
 SELECT l_orderkey, i::BIGINT AS row_index, 'TABLE_ROW table_id=T' || l_orderkey || ' row=' || i || ' | ' || h[1] || ': ' || c1 || ' | ' || h[2] || ': ' || c2 || ' | ' || h[3] || ': ' || c3 AS content FROM k WHERE i > 0""")
 def table_row_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.row_records(_order_tables(spark, sf_dir), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")), "l_orderkey")
 
 
-@query("""SELECT l_orderkey, 'table_header' AS chunk_type, 'TABLE_HEADER table_id=T' || l_orderkey || ' | Mode | Flag | No' AS content FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey % 2 = 0
-UNION ALL SELECT l_orderkey, 'table_title', 'TABLE_TITLE table_id=T' || l_orderkey || ': Order ' || l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey % 2 = 0 AND l_orderkey % 3 = 0""")
+@query(f"""WITH {_ORDER_ROWS}
+SELECT DISTINCT l_orderkey, 'table_header' AS chunk_type, 'TABLE_HEADER table_id=T' || l_orderkey || ' | ' || array_to_string(h, ' | ') AS content FROM k
+UNION ALL SELECT DISTINCT l_orderkey, 'table_title', 'TABLE_TITLE table_id=T' || l_orderkey || ': Order ' || l_orderkey FROM k WHERE l_orderkey % 3 = 0""")
 def table_supporting_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit(" Order  "), F.col("l_orderkey").cast("string")))
-    t = _order_tables(spark, sf_dir).filter(F.col("l_orderkey") % 2 == 0)
-    return tables.supporting_records(t, F.concat(F.lit("T"), F.col("l_orderkey").cast("string")), title, "l_orderkey")
+    return tables.supporting_records(_order_tables(spark, sf_dir), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")), title, "l_orderkey")
 
 
-@query("""WITH RECURSIVE t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, len(regexp_extract_all(concat_ws(' | ', ('M' || l_suppkey % 3), l_returnflag, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber::VARCHAR ELSE '' END), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+')) AS s FROM lineitem WHERE l_orderkey % 2 = 0),
-g AS (SELECT l_orderkey, n, 1 AS part, 5 + s AS total FROM t WHERE n = 1
-  UNION ALL SELECT t.l_orderkey, t.n, part + (total + s > 18)::INT, CASE WHEN total + s > 18 THEN 5 + s ELSE total + s END FROM g JOIN t ON t.l_orderkey = g.l_orderkey AND t.n = g.n + 1)
+@query(f"""WITH RECURSIVE {_ORDER_ROWS},
+s AS (SELECT l_orderkey, i AS n, len(regexp_extract_all(concat_ws(' | ', c1, c2, c3), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+')) AS s FROM k WHERE i > 0),
+g AS (SELECT l_orderkey, n, 1 AS part, 5 + s AS total FROM s WHERE n = 1
+  UNION ALL SELECT s.l_orderkey, s.n, part + (total + s > 18)::INT, CASE WHEN total + s > 18 THEN 5 + s ELSE total + s END FROM g JOIN s ON s.l_orderkey = g.l_orderkey AND s.n = g.n + 1)
 SELECT l_orderkey, part::BIGINT AS part, min(n) AS first_row, max(n) AS last_row, max(total)::BIGINT AS n_tokens FROM g GROUP BY ALL""")
 def table_token_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.parts(_order_tables(spark, sf_dir).filter(F.col("l_orderkey") % 2 == 0), 18, "l_orderkey")
+    return tables.parts(_order_tables(spark, sf_dir), 18, "l_orderkey")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_returnflag, l_linenumber, l_linenumber * 10 + l_suppkey % 3 * 2 + (l_quantity < 25)::INT AS pos, CASE WHEN l_quantity < 25 THEN 'M' || l_suppkey % 3 END AS mode FROM lineitem),
@@ -262,12 +266,11 @@ def catalog_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT DISTINCT conv_id, turn, role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations), s AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE role = 'assistant' GROUP BY ALL),
 b AS (SELECT a.conv_id, a.turn, u.turn AS page, count(*) AS b FROM w a JOIN w u ON u.conv_id = a.conv_id AND u.w = a.w AND u.role = 'user' WHERE a.role = 'assistant' GROUP BY ALL),
-g AS (SELECT conv_id, turn, string_agg(page::VARCHAR, ' ' ORDER BY page) AS good FROM b JOIN s USING (conv_id, turn) WHERE b >= 0.3 * n GROUP BY ALL), e AS (SELECT conv_id, string_agg(DISTINCT turn::VARCHAR, ' ' ORDER BY turn::VARCHAR) AS every FROM conversations WHERE role = 'user' AND turn < 10 GROUP BY 1)
-SELECT DISTINCT c.conv_id, c.turn, coalesce(good, every) AS pages FROM conversations c LEFT JOIN g USING (conv_id, turn) LEFT JOIN e ON e.conv_id = c.conv_id WHERE role = 'assistant' AND c.conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 10)""")
+g AS (SELECT conv_id, turn, string_agg(page::VARCHAR, ' ' ORDER BY page) AS good FROM b JOIN s USING (conv_id, turn) WHERE b >= 0.3 * n GROUP BY ALL), e AS (SELECT conv_id, array_to_string(list_sort(list(DISTINCT turn)), ' ') AS every FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT DISTINCT c.conv_id, c.turn, coalesce(good, every) AS pages FROM conversations c LEFT JOIN g USING (conv_id, turn) LEFT JOIN e ON e.conv_id = c.conv_id WHERE role = 'assistant'""")
 def page_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns stand for pages: the user's turns whose words an answer takes up."""
     c = table(spark, sf_dir, "conversations")
-    c = c.join(c.filter("turn >= 10").select("conv_id").distinct(), "conv_id", "left_anti")
     found = layout.page_support(c.filter("role = 'assistant'").select("conv_id", "turn", "text"), c.filter("role = 'user'").select("conv_id", F.col("turn").alias("page"), "text"), "conv_id", "turn", "page", 0.3)
     return found.select("conv_id", "turn", F.array_join(F.transform("pages", lambda p: p.cast("string")), " ").alias("pages")).distinct()
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import question as Q
 from ..functions import sparse
 from ..functions import text as T
-from ..operators import access, boosts, evidence, filters, relational, retrieval
-from .queries import query, table
+from ..operators import access, boosts, evidence, filters, index, relational, retrieval
+from .queries import LISTS, keyword_list, query, sparse_list, table
 
 _TYPES = ("text", "table_row", "table_header", "table_title", "table_block", "entity_summary", "schema_field_row", "attribute_table_schema", "footer")
 _KIND = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " END"
@@ -60,17 +60,20 @@ def token_and_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(filters.any_term(F.col("text"), ["Apache License", "license apache", "idiot"], by_tokens=True)).select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN n > 0 THEN 3.0 + 8.0 * n / 3 ELSE 0.0 END AS boost FROM (
-  SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['apache', 'license', 'version'])) AS n FROM documents WHERE lang = 'en')""")
+_FOLDED = f"translate(translate(lower(text), '{T.MARKED}', '{T.BASES}'), 'đ', 'd')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n > 0 THEN 3.0 + 8.0 * n / 3 ELSE 0.0 END AS boost FROM (
+  SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all({_FOLDED}, '[a-z0-9]+')), ['apache', 'license', 'version'])) AS n FROM documents)""")
 def enrichment_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", boosts.enrichment("la Apache license version", F.col("text")).alias("boost"))
+    return table(spark, sf_dir, "documents").select("doc_id", boosts.enrichment("la Apache license version", F.col("text")).alias("boost"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 10 = 4 AND doc_id % 3 = 0 THEN 0.0 WHEN NOT (contains(chunk_type, 'row') OR contains(chunk_type, 'table')) THEN 0.0
   WHEN n > 0 THEN 8.0 + 30.0 * n / 3 + 4.0 ELSE 0.0 END::DOUBLE AS boost FROM (
-  SELECT doc_id, chunk_type, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['apache', 'license', 'version'])) AS n FROM {_CHUNKS} WHERE lang = 'en')""")
+  SELECT doc_id, chunk_type, len(list_intersect(list_distinct(regexp_extract_all({_FOLDED}, '[a-z0-9]+')), ['apache', 'license', 'version'])) AS n FROM {_CHUNKS})""")
 def structured_row_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none, c = F.lit(None).cast("string"), chunks(spark, sf_dir).filter("lang = 'en'")
+    none, c = F.lit(None).cast("string"), chunks(spark, sf_dir)
     worth = boosts.structured_row("Apache license version", F.col("text"), F.col("chunk_type"), none, none, F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.9), ~F.col("embedding_enabled"))
     return c.select("doc_id", worth.alias("boost"))
 
@@ -89,9 +92,9 @@ def identifier_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, CASE WHEN NOT (p OR a) OR chunk_type IN ('table_block', 'entity_summary') THEN 0.0 ELSE p::INT * 2.0 + a::INT * 2.0 + (p AND a)::INT * 6.0 + (chunk_type = 'table_row')::INT * 3.0 END::DOUBLE AS boost
-FROM (SELECT doc_id, chunk_type, contains(lower(text), 'apache') AS p, contains(lower(text), 'license') AS a FROM {_CHUNKS} WHERE lang = 'en')""")
+FROM (SELECT doc_id, chunk_type, contains({_FOLDED}, 'apache') AS p, contains({_FOLDED}, 'license') AS a FROM {_CHUNKS})""")
 def membership_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).filter("lang = 'en'")
+    c = chunks(spark, sf_dir)
     return c.select("doc_id", boosts.membership("Apache", "License", F.col("text"), F.col("chunk_type"), F.lit(False)).alias("boost"))
 
 
@@ -121,13 +124,15 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(rows, 30, F.desc("hit"), F.desc("score"), F.desc("fused"), F.col("doc_id").cast("string")).select("doc_id", "fused", "score")
 
 
-@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 40), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents QUALIFY r <= 40),
-c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents QUALIFY r <= 40),
-u AS (SELECT doc_id, 1.0::DOUBLE / (60 + r) AS p, 0 AS pos, 'vector' AS f FROM a UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + r), 1, 'keyword' FROM b UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + r), 2, 'graph' FROM c)
+@query(f"""WITH {LISTS},
+c AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(lower(text), 'apache') QUALIFY rank <= 60),
+u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS p, 0 AS pos, 'sparse' AS f FROM a UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + rank), 1, 'keyword' FROM b UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 2, 'exact' FROM c)
 SELECT doc_id, round(sum(p), 6) AS fused, string_agg(f, '+' ORDER BY pos) AS flags FROM u GROUP BY doc_id""")
 def three_channel_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    lists = {"vector": retrieval.ranked(d, 40, F.desc("n_chars"), F.col("doc_id")), "keyword": retrieval.ranked(d, 40, F.col("n_chars"), F.col("doc_id")), "graph": retrieval.ranked(d, 40, F.col("doc_id"))}
+    """Three searches of the index: unit-length weights, keywords, and documents that contain a term."""
+    docs = table(spark, sf_dir, "documents")
+    exact = index.index_of(docs).keyword_scores(docs, [], ["apache"])
+    lists = {"sparse": sparse_list(spark, sf_dir, 60), "keyword": keyword_list(spark, sf_dir, 60), "exact": retrieval.ranked(exact.select("doc_id"), 60, F.col("doc_id"))}
     return retrieval.fuse_channels(lists, "doc_id", {"keyword": 0.5}).select("doc_id", F.round("fused", 6).alias("fused"), "flags")
 
 
@@ -216,13 +221,15 @@ def follow_up_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.rewrite_text(F.col("text")).alias("rewritten"), Q.follows_up(F.col("text")).alias("follow_up"))
 
 
-_BOX = [("u1", None), ("u2", "Nhớ rằng tôi thích trà"), ("u3", "từ nay trả lời ngắn "), ("u4", "hello")]
+_ASKS = {"that is": "instruction", "of the": "preference", "and in": "instruction", "is the": "preference"}
 
 
-@query("SELECT * FROM (VALUES ('u2', 'preference', 'Nhớ rằng tôi thích trà'), ('u3', 'instruction', 'từ nay trả lời ngắn')) t(name, kind, content)")
+@query(f"""SELECT conv_id, turn, CASE {" ".join(f"WHEN contains(lower(text), '{p}') THEN '{k}'" for p, k in _ASKS.items())} END AS kind, trim(text) AS content
+FROM conversations WHERE role = 'user' AND ({" OR ".join(f"contains(lower(text), '{p}')" for p in _ASKS)})""")
 def auto_saved_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_BOX, "name string, text string").withColumn("m", Q.remembered(F.col("text")))
-    return rows.filter("m IS NOT NULL").select("name", "m.kind", "m.content")
+    """Every message of a user that asks to be remembered, by phrases that occur in these conversations."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("m", Q.remembered(F.col("text"), _ASKS))
+    return rows.filter("m IS NOT NULL").select("conv_id", "turn", "m.kind", "m.content")
 
 
 @query("""SELECT doc_id, sha256(text) AS content_sha256 FROM documents""")
