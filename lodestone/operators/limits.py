@@ -59,7 +59,7 @@ def hard_parts(text: str, limit: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of a text's parts, from a first token to a last one."""
     spans, good = tokens_of(text)
     cuts = [len(spans)] if 0 < len(spans) <= limit else hard_cuts(good, budget(limit))
-    return [(spans[a][0], spans[b - 1][1], b - a) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+    return [(spans[a][0], spans[b - 1][1], b - a) for a, b in zip([0, *cuts][:-1], cuts, strict=True)]
 
 
 def packed(costs: list[int], limit: int, fixed: int = 0) -> list[int]:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import limits, records, tables
+from ..operators import evidence_rows, expansion, index, limits, records, tables
+from ..sources.shared import shared_dir
+from ..streaming import jobs
 from .queries import query, table
 
 
@@ -143,3 +145,64 @@ def prose_minus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and the prose between them: the ranges of a document are disjoint and cover it. Wider gaps after commas make its lists columns."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", ", ", ",   ").alias("text"))
     return tables.prose_and_tables(docs).select("doc_id", "kind", "start", "end", F.sha2("part", 256).alias("digest"))
+
+
+_NEAR = """SELECT h.doc_id AS asked, 1 AS hit, 0 AS stage, d.doc_id AS id, d.n_chars AS cost, contains(lower(d.text), 'apache') AS signal FROM q h JOIN documents d ON d.doc_id BETWEEN h.doc_id - 20 AND h.doc_id + 20 AND contains(lower(d.text), 'the')
+UNION ALL SELECT h.doc_id, 1, 1, d.doc_id, d.n_chars, false FROM q h JOIN documents d ON d.doc_id BETWEEN h.doc_id + 1 AND h.doc_id + 9
+UNION ALL SELECT h.doc_id, 1, 2, d.doc_id, d.n_chars, false FROM q h JOIN documents d ON d.doc_id BETWEEN h.doc_id - 12 AND h.doc_id - 1"""
+
+
+@query(f"""WITH RECURSIVE q AS MATERIALIZED (SELECT doc_id, n_chars FROM documents WHERE doc_id % 50 = 0),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY hit, stage, id) AS n FROM ({_NEAR})),
+r AS (SELECT doc_id AS asked, 0::BIGINT AS n, NULL::BIGINT AS id, n_chars::BIGINT AS used, [doc_id] AS seen, 0 AS added, false AS ended FROM q
+UNION ALL SELECT asked, n, CASE WHEN fits THEN id END, CASE WHEN fits THEN used + cost ELSE used END, CASE WHEN fits THEN list_append(seen, id) ELSE seen END, added + (fits AND stage = 0)::INT, NOT held AND NOT fits AND stage > 0 FROM (
+  SELECT c.*, r.used, r.seen, r.added, list_contains(r.seen, c.id) AS held, NOT list_contains(r.seen, c.id) AND (r.used + c.cost <= 6000 OR c.stage = 0 AND c.signal AND r.added < 2) AS fits
+  FROM r JOIN c ON c.asked = r.asked AND c.n = r.n + 1 WHERE NOT r.ended))
+SELECT asked, id, (1 + row_number() OVER (PARTITION BY asked ORDER BY n))::BIGINT AS citation, used FROM r WHERE id IS NOT NULL""")
+def neighbour_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set, every document whose id is divisible by 50, with its neighbours of three kinds under 6000 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lower("text").alias("low"))
+    asked = docs.filter("doc_id % 50 = 0")
+    near = asked.select(F.col("doc_id").alias("asked"), F.explode(F.sequence(F.col("doc_id") - 20, F.col("doc_id") + 20)).alias("doc_id")).join(docs, "doc_id")
+    gap = F.col("doc_id") - F.col("asked")
+    kinds = F.array(F.when(F.contains("low", F.lit("the")), F.lit("coverage")), F.when(gap.between(1, 9), F.lit("table")), F.when(gap.between(-12, -1), F.lit("article")))
+    found = near.select("asked", F.lit(1).alias("hit"), F.explode(F.array_compact(kinds)).alias("kind"), F.col("doc_id").alias("at"), F.col("doc_id").alias("id"), F.col("n_chars").alias("cost"), F.contains("low", F.lit("apache")).alias("signal"))
+    hits = asked.select(F.col("doc_id").alias("asked"), F.col("doc_id").alias("id"), F.lit(1).alias("hit"), F.col("n_chars").alias("cost"))
+    return expansion.expanded(hits, found, "asked", 6000)
+
+
+
+@query("""WITH q AS (SELECT p_partkey AS asked, p_type, lower(p_name || ' of ' || p_brand) AS q, list_distinct(regexp_extract_all(lower(p_name || ' of ' || p_brand), '[a-z0-9]+')) AS a FROM part WHERE p_partkey % 50 = 0),
+f AS (SELECT p_partkey, p_type, unnest(['brand', 'name', 'type']) AS field, unnest([2.0, 3.0, 1.0])::DOUBLE AS weight, unnest([lower(p_brand), lower(p_name), lower(p_type)]) AS value FROM part),
+d AS (SELECT *, list_distinct(regexp_extract_all(value, '[a-z0-9]+')) AS v FROM f WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY p_partkey, value ORDER BY field) = 1),
+p AS (SELECT asked, p_partkey, field, CASE WHEN n > 0 THEN weight * (n / len(v) * 0.45::DOUBLE + n / len(a) * 0.25::DOUBLE + n * 0.3::DOUBLE + CASE WHEN contains(q, value) THEN CASE WHEN len(v) >= 3 THEN 2.5 ELSE 0.5 END WHEN contains(value, q) THEN 0.25 ELSE 0 END::DOUBLE) ELSE 0 END AS part FROM (
+  SELECT *, len(list_intersect(a, v)) AS n FROM q JOIN d USING (p_type))),
+t AS (SELECT asked, p_partkey, sum(part) AS score, coalesce(string_agg(field, ',' ORDER BY field) FILTER (part > 0), '') AS matched FROM p GROUP BY asked, p_partkey)
+SELECT asked, p_partkey, round(score, 6) AS score, matched, row_number() OVER (PARTITION BY asked ORDER BY round(score, 6) DESC, p_partkey)::INTEGER AS rank FROM (
+  SELECT t.asked, t.p_partkey, matched, score + 0.2::DOUBLE * len(list_intersect(a, list_distinct(regexp_extract_all(lower(p_name || ' ' || part.p_type), '[a-z0-9]+')))) / len(a) AS score FROM t JOIN q ON q.asked = t.asked JOIN part ON part.p_partkey = t.p_partkey)
+WHERE score >= 0.25 QUALIFY rank <= 20""")
+def structured_row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set, every part whose id is divisible by 50 as a question, against all rows of its type: the 20 best of those above the least score."""
+    part = table(spark, sf_dir, "part")
+    asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), "p_type", F.concat("p_name", F.lit(" of "), "p_brand").alias("question"))
+    fields = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    rows = part.select("p_partkey", "p_type", fields.alias("fields"), F.concat_ws(" ", "p_name", "p_type").alias("raw"))
+    scored = evidence_rows.evidence(evidence_rows.row_scores(rows, asked, "fields", F.col("raw"), F.col("question"), {"name": 3.0, "brand": 2.0, "size": 0.0}))
+    found = scored.select("asked", "p_partkey", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
+    return index.best(found, "asked", 20, F.desc("score"), F.col("p_partkey"))
+
+
+@query("""SELECT user_id, event_type, max(row(ts, status))[2] AS state, epoch_us(min(ts) FILTER (status = 'running')) AS began_us,
+  round((epoch_us(max(ts) FILTER (status <> 'running')) - epoch_us(min(ts) FILTER (status = 'running'))) / 1e6, 6) AS seconds
+FROM (SELECT user_id, event_type, ts, CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'succeeded' ELSE 'running' END AS status FROM events) GROUP BY user_id, event_type""")
+def job_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of jobs (users and event types) by a stateful stream over all events, dealt to files out of order and read in several triggers."""
+    events = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 7 == 0, "failed").when(F.col("event_id") % 7 < 3, "succeeded").otherwise("running")
+    where = shared_dir(spark)
+    logs = events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    logs.repartition(6, "ts").write.parquet(f"{where}/logs")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/logs")
+    states = jobs.job_stream(stream, "user_id", "event_type", "ts", "status", late="36500 days")
+    found = jobs.latest_states(states, ["user_id", "event_type"], where)
+    return found.select("user_id", "event_type", "state", F.unix_micros("began").alias("began_us"), F.round("seconds", 6).alias("seconds"))
