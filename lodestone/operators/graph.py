@@ -1,10 +1,12 @@
-"""Graph expansion as bounded rounds of joins."""
+"""Entities and relations taken from text, and graph expansion as bounded rounds of joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import relational
+
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """Both directions of (a, b) edges as distinct (node, other)."""
@@ -19,3 +21,69 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         level = links.join(level.select("node"), "node").select(F.col("other").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.lit(n).cast("long").alias("depth"))
         found = found.unionByName(level)
     return found
+
+
+#: The relation of a chunk's first two entities, and its confidence.
+RELATED, RELATED_CONFIDENCE = "related_to", 0.7
+#: Characters by which terms and names are joined before they are compared.
+GRAM = 3
+
+
+def extracted(chunks: DataFrame, key: str, text: str, patterns: dict[str, tuple[str, float]], entities: int = 20) -> DataFrame:
+    """(key, found): each chunk's first ``entities`` mentions, ARRAY<STRUCT<name, normalized, type, confidence>>, pattern by pattern and in order of the text.
+
+    ``patterns`` gives a regular expression and a confidence for each type. Null and empty texts have none.
+    """
+    def of(kind: str, pattern: str, confidence: float) -> Column:
+        value = lambda m: F.struct(F.trim(m).alias("name"), F.lower(F.trim(m)).alias("normalized"), F.lit(kind).alias("type"), F.lit(float(confidence)).alias("confidence"))
+        return F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0)), value)
+
+    lists = [of(kind, p, c) for kind, (p, c) in patterns.items()]
+    return chunks.select(F.col(key), F.slice(F.concat(*lists), 1, entities).alias("found"))
+
+
+def graph_of(found: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions, nodes, edges) of ``extracted`` chunks.
+
+    ``mentions`` has key and normalized, each pair once; ``nodes`` normalized, name, type and confidence of the best mention (ties: the first name, then type); ``edges`` a, b, confidence and
+    n_found of the relations of chunks with two mentions or more: the first mention's entity to the second's, its greatest confidence and how often it was found.
+    """
+    each = found.select(key, F.explode("found").alias("m"))
+    mentions = each.select(key, F.col("m.normalized").alias("normalized")).distinct()
+    worth = F.struct((-F.col("m.confidence")).alias("worth"), F.col("m.name").alias("name"), F.col("m.type").alias("type"))
+    nodes = each.groupBy(F.col("m.normalized").alias("normalized")).agg(F.min(worth).alias("best")).select("normalized", "best.name", "best.type", (-F.col("best.worth")).alias("confidence"))
+    pairs = found.filter(F.size("found") >= 2).select(F.get("found", F.lit(0))["normalized"].alias("source"), F.lit(RELATED).alias("type"), F.get("found", F.lit(1))["normalized"].alias("target"), F.lit(RELATED_CONFIDENCE).alias("confidence"))
+    edges = relational.best_relations(pairs).select(F.col("source").alias("a"), F.col("target").alias("b"), "confidence", "n_found")
+    return mentions, nodes, edges
+
+
+def named_like(nodes: DataFrame, terms: DataFrame, query: str) -> DataFrame:
+    """(query, node) of the entities whose normalized name contains a term of a query; ``terms`` has query and term, terms shorter than three characters find nothing.
+
+    Names are joined with terms by three characters in a row before they are compared, so no term meets every name.
+    """
+    grams = nodes.filter(F.length("normalized") >= GRAM).select("normalized", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("normalized") - GRAM + 1), lambda i: F.substring("normalized", i, F.lit(GRAM))))).alias("gram"))
+    wanted = terms.filter(F.length("term") >= GRAM).select(query, F.lower("term").alias("term"), F.lower(F.substring("term", 1, GRAM)).alias("gram")).distinct()
+    return grams.join(wanted, "gram").filter(F.contains("normalized", F.col("term"))).select(query, F.col("normalized").alias("node")).distinct()
+
+
+def reached(edges: DataFrame, starts: DataFrame, query: str, depth: int) -> DataFrame:
+    """(query, node) of everything within ``depth`` steps of each query's ``starts`` (query, node), in either direction: one join a step."""
+    links = neighbours(edges)
+    found = level = starts.select(query, "node").distinct()
+    for _ in range(depth):
+        level = level.join(links, "node").select(query, F.col("other").alias("node")).distinct().join(found, [query, "node"], "left_anti")
+        found = found.unionByName(level)
+    return found
+
+
+def expanded_chunks(mentions: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, terms: DataFrame, query: str, key: str, depth: int, scope: DataFrame | None = None) -> DataFrame:
+    """(query, key, score): the chunks that mention what a query reaches, by how many entities of it they mention; its seeds are left out.
+
+    A query starts from the entities that its ``seeds`` (query, key) mention and from those named like its ``terms`` (query, term). A ``scope`` of None restricts nothing, an empty one gives nothing.
+    """
+    mine = seeds.join(mentions, key).select(query, F.col("normalized").alias("node"))
+    near = reached(edges, mine.unionByName(named_like(nodes, terms, query)), query, depth)
+    rows = near.join(mentions.withColumnRenamed("normalized", "node"), "node").groupBy(query, key).agg(F.count("*").alias("score"))
+    rows = rows.join(seeds.select(query, key).distinct(), [query, key], "left_anti")
+    return rows if scope is None else rows.join(scope.select(key).distinct(), key, "left_semi")

@@ -190,6 +190,23 @@ class Index:
         share = F.coalesce(F.col("hits") / F.greatest("n_words", F.lit(1)), F.lit(0.0))
         return both.select(F.col("key").alias(self.key), n_exact.alias("n_exact"), (share + 10.0 * n_exact).alias("score"))
 
+    def _met(self, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, pairs) of queries' terms (query, m, term, bucket), each term once: the terms' postings, and (query, key) of the documents with all ``m`` terms, found by counts alone."""
+        named = [r["term"] for r in parts.select("term").distinct().limit(LITERALS + 1).collect()]
+        rows = self.postings(named) if len(named) <= LITERALS else self.postings(parts.select("bucket", "term"))
+        met = rows.select("term", "key").join(parts.drop("bucket"), "term").groupBy("query", "key").agg(F.count("*").alias("n"), F.first("m").alias("m")).filter("n = m").select("query", "key")
+        return rows, met
+
+    def phrase_counts(self, queries: DataFrame, name: str, text: str) -> DataFrame:
+        """(name, key, n) of every document that has all words of a query in a row, and how often, for a table of queries; one without words finds nothing."""
+        words = T.tokens(F.col(text), self.pattern)
+        asked = queries.select(F.struct(F.col(name).alias("name"), F.xxhash64(text).alias("hash")).alias("query"), words.alias("words")).filter(F.size("words") > 0).distinct()
+        slots = asked.select("query", F.size("words").alias("size"), F.size(F.array_distinct("words")).alias("m"), F.posexplode("words").alias("slot", "term"))
+        rows, met = self._met(slots.select("query", "m", "term").distinct().withColumn("bucket", _bucket(F.col("term"), self.buckets)))
+        places = rows.select("term", "key", "places").join(slots, "term").join(met, ["query", "key"]).select("query", "key", "size", "slot", F.explode("places").alias("at"))
+        begun = places.groupBy("query", "key", (F.col("at") - F.col("slot")).alias("at")).agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n = size")
+        return begun.groupBy("query", "key").agg(F.count("*").alias("n")).select(F.col("query.name").alias(name), F.col("key").alias(self.key), "n")
+
     def cover_scores(self, queries: DataFrame, name: str, text: str) -> DataFrame:
         """(name, key, n_covers, score) of every document with all words of a query, for a table of queries.
 
@@ -199,11 +216,8 @@ class Index:
         own = F.array_distinct(T.tokens(F.col(text), self.pattern))
         asked = queries.select(F.struct(F.col(name).alias("name"), F.xxhash64(text).alias("hash")).alias("query"), own.alias("terms")).filter(F.size("terms") > 0).distinct()
         parts = asked.select("query", F.size("terms").alias("m"), F.posexplode("terms").alias("t", "term")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        named = [r["term"] for r in parts.select("term").distinct().limit(LITERALS + 1).collect()]
-        rows = self.postings(named) if len(named) <= LITERALS else self.postings(parts.select("bucket", "term"))
-        # Documents with all words are found by counts alone; only their places are moved.
-        met = rows.select("term", "key").join(parts.drop("bucket"), "term").groupBy("query", "key").agg(F.count("*").alias("n"), F.first("m").alias("m")).filter("n = m").select("query", "key", "m")
-        lists = rows.select("term", "key", "places").join(parts.select("query", "t", "term"), "term").join(met, ["query", "key"])
+        rows, met = self._met(parts)
+        lists = rows.select("term", "key", "places").join(parts.select("query", "t", "term", "m"), "term").join(met, ["query", "key"])
         found = lists.groupBy("query", "key", "m").agg(F.collect_list(F.struct("t", "places")).alias("lists"))
         scored = found.select("query", "key", covers(F.col("lists"), F.col("m")).alias("c"))
         return scored.select(F.col("query.name").alias(name), F.col("key").alias(self.key), F.col("c.n").alias("n_covers"), F.col("c.score").alias("score"))

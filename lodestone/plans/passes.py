@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence_rows, expansion, index, limits, records, tables
-from ..sources.shared import shared_dir
+from ..operators import evidence_rows, expansion, graph, index, limits, records, tables
+from ..sources.shared import shared_dir, stored
 from ..streaming import jobs
 from .queries import query, table
 
@@ -206,3 +206,30 @@ def job_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = jobs.job_stream(stream, "user_id", "event_type", "ts", "status", late="36500 days")
     found = jobs.latest_states(states, ["user_id", "event_type"], where)
     return found.select("user_id", "event_type", "state", F.unix_micros("began").alias("began_us"), F.round("seconds", 6).alias("seconds"))
+
+
+_KINDS = {"name": ("[A-Z][a-z]{4,}", 0.95), "number": ("[0-9]{4,}", 0.85)}
+
+
+@query("""WITH m AS MATERIALIZED (SELECT doc_id, list_concat(list_transform(regexp_extract_all(text, '[A-Z][a-z]{4,}'), lambda x: lower(x)), regexp_extract_all(text, '[0-9]{4,}'))[1:20] AS e FROM documents),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(e) AS node FROM m),
+g AS MATERIALIZED (SELECT DISTINCT e[1] AS node, e[2] AS other FROM m WHERE len(e) >= 2 UNION SELECT DISTINCT e[2], e[1] FROM m WHERE len(e) >= 2),
+s AS (SELECT doc_id AS asked, node FROM t WHERE doc_id % 50 = 0 UNION SELECT asked, node FROM (SELECT DISTINCT doc_id AS asked FROM documents WHERE doc_id % 50 = 0), (SELECT DISTINCT node FROM t WHERE contains(node, 'licen'))),
+n1 AS (SELECT * FROM s UNION SELECT asked, other FROM s JOIN g USING (node)),
+n2 AS (SELECT * FROM n1 UNION SELECT asked, other FROM n1 JOIN g USING (node)),
+c AS (SELECT asked, doc_id, count(DISTINCT node) AS score FROM n2 JOIN t USING (node) WHERE asked <> doc_id GROUP BY asked, doc_id)
+SELECT asked, doc_id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id)::INTEGER AS rank FROM c QUALIFY rank <= 20""")
+def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set, every document whose id is divisible by 50 with a term of its own, against the entities of all documents: the 20 best within two steps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mentions, nodes, edges = graph.graph_of(stored(graph.extracted(docs, "doc_id", "text", _KINDS)), "doc_id")
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("asked"), "doc_id")
+    found = graph.expanded_chunks(mentions, nodes, edges, asked, asked.select("asked", F.lit("Licen").alias("term")), "asked", "doc_id", 2)
+    return index.best(found, "asked", 20, F.desc("score"), F.col("doc_id"))
+
+
+@query("""WITH m AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[A-Z][a-z]{4,}'), regexp_extract_all(text, '[0-9]{4,}'))[1:20] AS e FROM documents)
+SELECT lower(e[1]) AS a, lower(e[2]) AS b, 0.7::DOUBLE AS confidence, count(*) AS n_found FROM m WHERE len(e) >= 2 GROUP BY lower(e[1]), lower(e[2])""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations taken from all documents."""
+    return graph.graph_of(graph.extracted(table(spark, sf_dir, "documents"), "doc_id", "text", _KINDS), "doc_id")[2]

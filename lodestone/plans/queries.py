@@ -160,17 +160,13 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_list(spark, sf_dir, 25).select("doc_id", "n_exact", "score")
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i+4], ' ') AS gram FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM w WHERE len(t) >= 5)),
-q AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5], ' ') AS gram FROM benchmark)
-SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN g USING (gram) GROUP BY item_id""")
+@query(rf"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS words FROM documents),
+q AS (SELECT DISTINCT item_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS term FROM benchmark WHERE len({_TOKENS}) > 0)
+SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN d ON contains(d.words, q.term) GROUP BY item_id""")
 def keyword_exact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with each item's first five words: an equality join on word sequences, not a scan of pairs."""
-    words = T.tokens(F.col("text"), "[a-z0-9]+")
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.array_join(F.slice("t", i, F.lit(5)), " "))
-    docs = table(spark, sf_dir, "documents").withColumn("t", words).filter(F.size("t") >= 5).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 5), " ").alias("gram"))
-    return docs.join(items, "gram").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """Documents with all of an item's words in a row, by their places in the index."""
+    found = index.index_of(table(spark, sf_dir, "documents")).phrase_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query(rf"""WITH o AS (SELECT doc_id, unnest({_TOKENS}) AS term, unnest(range(len({_TOKENS}))) AS i FROM documents),
@@ -195,7 +191,7 @@ def keyword_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT DISTINCT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS term FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0)
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN d ON contains(d.words, q.term) GROUP BY item_id""")
 def keyword_whole_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with all of an item's words in a row (``keyword_exact_terms`` has the first five only)."""
+    """Documents with all of an item's ASCII words in a row, by a join on word sequences and no index."""
     found = retrieval.whole_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
@@ -215,12 +211,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(_fused(spark, sf_dir), 20, F.desc("fused"), F.col("doc_id").cast("string")).select("doc_id", F.round("fused", 6).alias("fused"), "flags")
 
 
-@query(f"""WITH {LISTS} SELECT f.doc_id, round(fused + 8.0 * len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '[\\p{{L}}\\p{{N}}]+')), ['the', 'and', 'licensed'])) / 3
+@query(f"""WITH {LISTS} SELECT f.doc_id, round(fused + 8.0 * len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), ['the', 'and', 'licensed'])) / 3
   + CASE WHEN contains(lower(text), 'apache') THEN 50.0 ELSE -0.02 END, 6) AS boosted FROM f JOIN documents d ON f.doc_id = d.doc_id
 ORDER BY boosted DESC, f.doc_id::VARCHAR LIMIT 20""")
 def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = retrieval.hydrate(_fused(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "fused")
-    boosted = full.withColumn("boosted", F.round(F.col("fused") + retrieval.boosts(F.col("text"), ["the", "and", "licensed"], ["Apache"], T.preview(F.col("text"))), 6))
+    boosted = full.withColumn("boosted", F.round(F.col("fused") + retrieval.boosts(F.col("text"), ["the", "and", "licensed"], ["Apache"]), 6))
     return retrieval.top(boosted, 20, F.desc("boosted"), F.col("doc_id").cast("string")).select("doc_id", "boosted")
 
 
@@ -228,7 +224,7 @@ def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
   + CASE WHEN contains(lower(text), 'apache') THEN 50.0 ELSE -0.02 END, 6) AS boosted FROM f JOIN documents d ON f.doc_id = d.doc_id
 ORDER BY boosted DESC, f.doc_id::VARCHAR LIMIT 20""")
 def hybrid_boosted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``hybrid_boosted``, whose share is of the preview, with the share of whole texts."""
+    """Boosts by whole texts."""
     full = retrieval.hydrate(_fused(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "fused")
     boosted = full.withColumn("boosted", F.round(F.col("fused") + retrieval.boosts(F.col("text"), ["the", "and", "licensed"], ["Apache"]), 6))
     return retrieval.top(boosted, 20, F.desc("boosted"), F.col("doc_id").cast("string")).select("doc_id", "boosted")
