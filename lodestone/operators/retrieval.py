@@ -201,7 +201,7 @@ def degraded(vector: Callable[[], DataFrame], keyword: DataFrame, key: str) -> t
         ranked_rows = vector()
         schema = ranked_rows.select(key, "rank").schema
         found = ranked_rows.select(key, "rank").collect()
-    except (PySparkException, Py4JError, OSError):
+    except (PySparkException, Py4JError, OSError, RuntimeError):
         return fuse_channels({"keyword": keyword}, key), True
     return fuse_channels({"vector": keyword.sparkSession.createDataFrame(found, schema), "keyword": keyword}, key), False
 
