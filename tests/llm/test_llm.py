@@ -478,7 +478,10 @@ def test_codec_survives_collisions(monkeypatch, tokenizer):
 
 def test_queries_have_their_columns(spark, data):
     q = queries.queries()
-    assert [n.split("_")[0] for n in q] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in q] == [f"op{i}" for i in range(1, 14)]
+    assert q["op11_periodic_runs"](spark, data).columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert q["op12_hard_negatives"](spark, data).columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert q["op13_exact_dedup"](spark, data).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert q["op10_bpe_codec"](spark, data).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert q["op7_decontamination"](spark, data).columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
