@@ -230,3 +230,26 @@ def test_table_compares_contents():
         assert own < 0 and table.add(x, i % 3, -1 - own) == i
     assert [table.find(x, i % 3) for i, x in enumerate(contents)] == list(range(len(contents))) and table.find(b"c", 1) < 0
     assert [table.content(i) for i in range(len(table))] == contents
+
+
+# candidates of the pipeline's near-dedup
+
+
+def test_recall_of_bands():
+    """Pairs of five-word similarity 0.8 to 0.85, texts of 25 to 400 words with words replaced, dropped or put in: how many share a band."""
+    from lodestone.llm import similar
+
+    rng = random.Random(8)
+    vocabulary, texts = [f"w{i}" for i in range(4000)], []
+    while len(texts) < 3000:
+        one = [rng.choice(vocabulary) for _ in range(rng.choice([25, 40, 80, 150, 400]))]
+        two = list(one)
+        for _ in range(max(1, len(one) // rng.randint(40, 70))):
+            i = rng.randrange(len(two))
+            two[i : i + 1] = rng.choice([[rng.choice(vocabulary)], [], [two[i], rng.choice(vocabulary)]])
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two)]
+        if 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) <= 0.85:
+            texts += [" ".join(one), " ".join(two)]
+    bands = similar.sketch(*similar.shingle_sets(*text_bytes(pa.array(texts))))[1]
+    met = (bands[::2] == bands[1::2]).any(axis=1)
+    assert met.mean() >= 0.998
