@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import map_batches
+from .limits import packed
 
 
 def headings(lines: DataFrame, rules: Sequence[tuple[str, str, int]]) -> DataFrame:
@@ -29,20 +32,27 @@ def spans(marks: DataFrame, key: str, start: str, total: Column) -> DataFrame:
 def pack(rows: DataFrame, key: str, position: str, size: str, limit: int) -> DataFrame:
     """(key, block, first, last, total): rows in order, greedily packed into blocks of at most ``limit`` (a larger row stands alone).
 
-    The fold runs inside one row's list, so its length is bounded by the row's own table.
+    Only positions and sizes of a key's rows come together, and are gone through once. Null sizes count as 0.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).cast("long").alias("at"), F.col(size).cast("long").alias("size"))))
-    none = F.array().cast("array<struct<first: bigint, last: bigint, total: bigint>>")
-
-    def step(done: Column, row: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = last.isNotNull() & (last["total"] + row["size"] <= limit)
-        more = F.struct(last["first"].alias("first"), row["at"].alias("last"), (last["total"] + row["size"]).alias("total"))
-        new = F.struct(row["at"].alias("first"), row["at"].alias("last"), row["size"].alias("total"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(done, F.array(new)))
-
-    packed = rows.groupBy(key).agg(F.aggregate(ordered, none, step).alias("blocks"))
-    return packed.select(key, F.posexplode("blocks").alias("block", "b")).select(key, F.col("block").cast("long").alias("block"), "b.first", "b.last", "b.total")
+    kind = rows.schema[key].dataType.simpleString()
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).cast("long").alias("at"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))))
+    lists = rows.groupBy(F.col(key).alias("key")).agg(ordered.alias("rows")).select("key", F.transform("rows", lambda r: r["at"]).alias("at"), F.transform("rows", lambda r: r["size"]).alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, at, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, total, block = 0, 0, 0
+                parts = packed(sizes, limit)
+                for i, n in enumerate(sizes):
+                    total += n
+                    if i + 1 == len(sizes) or parts[i + 1] != parts[i]:
+                        out.append((k, block, at[first], at[i], total))
+                        first, total, block = i + 1, 0, block + 1
+            types = (batch.schema.field(0).type, *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], names=["key", "block", "first", "last", "total"])
+
+    return map_batches(lists, run, f"key {kind}, block long, first long, last long, total long").withColumnRenamed("key", key)
 
 
 def with_neighbours(lines: DataFrame, key: str, hit: Column, reach: int = 1) -> DataFrame:

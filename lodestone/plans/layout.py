@@ -220,9 +220,14 @@ def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "suffix", F.array_join("prefixes", " ").alias("prefixes"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+r AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS recent, true AS blank, NULL::VARCHAR AS kept FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL SELECT doc_id, i, CASE WHEN x = '' OR again THEN recent ELSE list_append(recent, lower(x))[-12:] END, CASE WHEN x = '' THEN true WHEN again THEN blank ELSE false END, CASE WHEN x = '' THEN CASE WHEN NOT blank THEN '' END WHEN NOT again THEN x END
+  FROM (SELECT l.*, r.recent, r.blank, list_contains(r.recent, lower(l.x)) AS again FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)),
+k AS (SELECT doc_id, regexp_replace(coalesce(string_agg(kept, chr(10) ORDER BY i), ''), '\n+$', '') AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, length(kept)::BIGINT AS n_chars, sha256(kept) AS digest FROM k""")
 def recent_line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines go depends on those kept before: no plain SQL; compared with a loop in the tests."""
+    """Texts without lines that equal one of the last twelve kept."""
     kept = layout.without_recent(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("digest"))
 

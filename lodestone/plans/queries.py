@@ -611,7 +611,12 @@ def heading_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.spans(marks, "doc_id", "start", F.col("n")).select("doc_id", "start", "until")
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, n - 1 AS line_no, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE contains(line, '|')),
+s AS MATERIALIZED (SELECT doc_id, line_no, 10 + length(array_to_string(cells, ' | ')) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM c WHERE len(cells) >= 2),
+g AS (SELECT doc_id, line_no, n, size, 0 AS block, size AS total FROM s WHERE n = 1
+UNION ALL SELECT s.doc_id, s.line_no, s.n, s.size, block + (total + s.size > 1000)::INT, CASE WHEN total + s.size > 1000 THEN s.size ELSE total + s.size END FROM g JOIN s ON s.doc_id = g.doc_id AND s.n = g.n + 1)
+SELECT doc_id, block::BIGINT AS block, min(line_no)::BIGINT AS first, max(line_no)::BIGINT AS last, max(total)::BIGINT AS total FROM g GROUP BY doc_id, block""")
 def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.pipe_rows(table(spark, sf_dir, "documents")).withColumn("size", F.length("record"))
     return structure.pack(rows, "doc_id", "line_no", "size", 1000)
