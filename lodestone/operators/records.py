@@ -112,26 +112,26 @@ def leads_forward(rows: DataFrame, keys: Sequence[str], order: str, text: str, i
     Records have to be numbered without gaps. A record that took one in is not itself taken on, so of a row of leads every second one is; the next record's first line goes
     where its heading equals the lead's, but for case and white space, or both are objects. The merged record has the number of the later one, and ``merged_from`` that of the lead.
     """
-    rows = rows.select(*keys, order, F.col(text).alias("__text"), F.coalesce(is_lead, F.lit(False)).alias("__lead"), page.alias("__page"), heading.alias("__heading"), F.coalesce(is_object, F.lit(False)).alias("__object"))
-    # The record after, by an equality join on its number: no window over a whole document.
-    after = rows.select(*(F.col(k).alias(f"__{k}") for k in keys), (F.col(order) - 1).alias(f"__{order}"), *(F.col(f"__{x}").alias(f"__next_{x}") for x in ("text", "page", "heading", "object")))
-    both = rows.join(after, _same(rows, after, [*keys, order]), "left").drop(*(f"__{k}" for k in (*keys, order)))
-    gap = F.col("__next_page") - F.col("__page")
-    both = both.withColumn("__goes", F.col("__lead") & F.coalesce(gap.between(0, 1), F.lit(False)))
+    flags = rows.select(*keys, F.col(order), F.coalesce(is_lead, F.lit(False)).alias("__lead"), page.alias("__page"))
+    # The page of the record after, by an equality join on its number: no window over a whole document. No text is moved yet.
+    after = flags.select(*(F.col(k).alias(f"__{k}") for k in keys), (F.col(order) - 1).alias(f"__{order}"), F.col("__page").alias("__next"))
+    both = flags.join(after, _same(flags, after, [*keys, order]), "left").drop(*(f"__{k}" for k in (*keys, order)))
+    both = both.select(*keys, order, (F.col("__lead") & F.coalesce((F.col("__next") - F.col("__page")).between(0, 1), F.lit(False))).alias("__goes"))
     # In a row of leads the first goes on, the second has taken it in, and so on: parity since the last record that stays.
-    steps = {"stays": Step(F.col(order), put=~F.col("__goes"))}
-    walked = carried(both, keys, order, steps, segment)
-    start = F.coalesce(F.col("stays_before"), F.lit(-1))
-    walked = walked.withColumn("__merged", F.col("__goes") & ((F.col(order) - start) % 2 == 1))
-    # A record was taken on if the one before it merged.
-    taken = walked.filter("__merged").select(*(F.col(k).alias(f"__{k}") for k in keys), (F.col(order) + 1).alias(f"__{order}"))
+    walked = carried(both, keys, order, {"stays": Step(F.col(order), put=~F.col("__goes"))}, segment)
+    merged = F.col("__goes") & ((F.col(order) - F.coalesce("stays_before", F.lit(-1))) % 2 == 1)
+    gone = walked.filter(merged).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(order).alias(f"__{order}"), F.lit(True).alias("__gone"))
+    whole = rows.select(*keys, order, F.col(text).alias("__text"), heading.alias("__heading"), F.coalesce(is_object, F.lit(False)).alias("__object"))
+    placed = whole.join(gone, _same(whole, gone, [*keys, order]), "left").drop(*(f"__{k}" for k in (*keys, order)))
+    target = F.when(F.col("__gone"), F.col(order) + 1).otherwise(F.col(order))
+    # One or two records come together.
+    pairs = placed.groupBy(*keys, target.alias(order)).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "__text", "__heading", "__object"))).alias("__parts"))
+    first, second = F.get("__parts", F.lit(0)), F.get("__parts", F.lit(1))
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    drops = (clean(F.col("__heading")) == clean(F.col("__next_heading"))) | F.col("__object") & F.col("__next_object")
-    rest = F.when(F.coalesce(drops, F.lit(False)), F.regexp_replace("__next_text", r"\A\s*[^\n]*(\n|\z)", "")).otherwise(F.col("__next_text"))
-    one = walked.filter("__merged").select(*keys, (F.col(order) + 1).alias(order), F.concat_ws("\n", F.col("__text"), F.when(rest != "", rest)).alias(text), F.col(order).alias("merged_from"))
-    alone = walked.filter(~F.col("__merged"))
-    alone = alone.join(taken, _same(alone, taken, [*keys, order]), "left_anti").select(*keys, order, F.col("__text").alias(text), F.lit(None).cast(dict(one.dtypes)["merged_from"]).alias("merged_from"))
-    return one.unionByName(alone)
+    drops = (clean(first["__heading"]) == clean(second["__heading"])) | first["__object"] & second["__object"]
+    rest = F.when(F.coalesce(drops, F.lit(False)), F.regexp_replace(second["__text"], r"\A\s*[^\n]*(\n|\z)", "")).otherwise(second["__text"])
+    two = F.size("__parts") == 2
+    return pairs.select(*keys, order, F.when(two, F.concat_ws("\n", first["__text"], F.when(rest != "", rest))).otherwise(first["__text"]).alias(text), F.when(two, first["at"]).alias("merged_from"))
 
 
 def section_paths(rows: DataFrame, keys: Sequence[str], order: str, level: Column, title: Column, levels: int = 6, segment: int = SEGMENT) -> DataFrame:

@@ -41,8 +41,8 @@ def stale_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.when(F.length("word") <= 4, F.col("word"))
     named = F.when(F.contains(F.lower("line"), F.lit("licens")), F.lit("License"))
     object_ = F.rlike(F.lower(heading), F.lit("^[aeiou]"))
-    rows = F.nullif(F.length("line") % 5, F.lit(0))
-    found = records.repaired_headings(lines(spark, sf_dir), ["doc_id"], "line_no", heading, rows, object_, named, F.rlike(F.lower("word"), F.lit("^[ws]")))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", "word", F.nullif(F.length("line") % 5, F.lit(0)).alias("n"), named.alias("named"))  # not the lines themselves
+    found = records.repaired_headings(rows, ["doc_id"], "line_no", heading, F.col("n"), object_, F.col("named"), F.rlike(F.lower("word"), F.lit("^[ws]")))
     return found.select("doc_id", "line_no", "current", "heading", "repair")
 
 
@@ -85,7 +85,7 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path and the parent heading of every line; a line's level is given by its first letter."""
     first = lambda pattern: F.rlike(F.lower("word"), F.lit(pattern))
     level = F.when(first("^a"), 1).when(first("^[ei]"), 2).when(first("^o"), 3).when(first("^t"), 4)
-    found = records.section_paths(lines(spark, sf_dir), ["doc_id"], "line_no", level, F.col("word"), levels=4)
+    found = records.section_paths(lines(spark, sf_dir).drop("line"), ["doc_id"], "line_no", level, F.col("word"), levels=4)
     return found.select("doc_id", "line_no", F.array_join("path", " > ").alias("path"), "parent")
 
 
