@@ -215,10 +215,17 @@ class Index:
         """
         own = F.array_distinct(T.tokens(F.col(text), self.pattern))
         asked = queries.select(F.struct(F.col(name).alias("name"), F.xxhash64(text).alias("hash")).alias("query"), own.alias("terms")).filter(F.size("terms") > 0).distinct()
-        parts = asked.select("query", F.size("terms").alias("m"), F.posexplode("terms").alias("t", "term")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        rows, met = self._met(parts)
-        lists = rows.select("term", "key", "places").join(parts.select("query", "t", "term", "m"), "term").join(met, ["query", "key"])
-        found = lists.groupBy("query", "key", "m").agg(F.collect_list(F.struct("t", "places")).alias("lists"))
+        parts = asked.select("query", F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
+        named = [r["term"] for r in parts.select("term").distinct().limit(LITERALS + 1).collect()]
+        rows = self.postings(named) if len(named) <= LITERALS else self.postings(parts)
+        # Documents with a query's rarest term are its candidates; each document's place lists are brought together once, for all queries.
+        counted = parts.join(self.vocabulary(), ["bucket", "term"])
+        rarest = counted.groupBy("query").agg(F.min(F.struct("n_docs", "term"))["term"].alias("term"))
+        pairs = rows.select("term", "key").join(rarest, "term").select("query", "key")
+        held = rows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("held"))
+        both = pairs.join(held, "key").join(asked, "query").filter(F.forall("terms", lambda t: F.map_contains_key("held", t)))
+        lists = F.transform("terms", lambda t, i: F.struct(i.alias("t"), F.try_element_at("held", t).alias("places")))
+        found = both.select("query", "key", lists.alias("lists"), F.size("terms").alias("m"))
         scored = found.select("query", "key", covers(F.col("lists"), F.col("m")).alias("c"))
         return scored.select(F.col("query.name").alias(name), F.col("key").alias(self.key), F.col("c.n").alias("n_covers"), F.col("c.score").alias("score"))
 
