@@ -27,8 +27,10 @@ from .common import blocks, environment_path, ship, span_hashes, stored, text_by
 
 #: Words of the broadcast table, and bytes of each, at most.
 TABLE_WORDS, WORD_BYTES = 1 << 18, 64
-#: Other words that a worker remembers.
+#: Distinct words that a task counts at once.
 LOCAL_WORDS = 1 << 17
+#: Words whose ids a worker remembers, the broadcast ones among them, and ids of theirs; beyond either it forgets the less used.
+CACHED_WORDS, CACHED_IDS = 1 << 19, 1 << 22
 PLACES = 1 << 20
 _L, _N, _O, _S, _UNKNOWN = 0, 1, 2, 3, 255
 
@@ -106,19 +108,16 @@ class Encoder:
             self.reset()
 
     def reset(self) -> None:
-        self.slots: dict[int, int] = {}
-        #: A direct-mapped front of ``slots``: the first word that takes a place keeps it.
+        #: An open-addressing table: hashes, and the slot of each (-1: free).
         self.seen = np.zeros(PLACES, np.uint64)
         self.seen_slot = np.full(PLACES, -1, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
-        self.n = 0
+        self.ids = np.zeros(0, np.uint32)
+        #: By slot: where the word's ids begin, how many there are, and how often it was met of late.
+        self.at, self.lengths, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.used = self.n = self.fixed = 0
         if self.base is not None:
-            self.ids, self.lengths = self.base.ids, self.base.lengths
-            self.at = np.cumsum(self.lengths) - self.lengths
-            self.used, self.n = len(self.ids), len(self.lengths)
+            self._add(self.base.hashes, self.base.lengths, self.base.ids)
+            self.fixed = self.n
 
     def _class(self, point: int) -> int:
         """The class of a character, asked of the library's own splitter."""
@@ -190,35 +189,66 @@ class Encoder:
                     start[after] = True
 
     def slots_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place in the table of every word; new words are encoded."""
-        if len(self.slots) > LOCAL_WORDS:
-            self.reset()
+        """The slot of every word; new words are encoded."""
+        if self.n > self.fixed and (self.n > CACHED_WORDS or self.used > CACHED_IDS):
+            self._forget()
         hashes = span_hashes(data, starts, ends)
-        places = (hashes & np.uint64(PLACES - 1)).astype(np.int64)
-        found = np.where(self.seen[places] == hashes, self.seen_slot[places], -1).astype(np.int64)
-        rest = np.flatnonzero(found < 0)
-        if len(rest):
-            found[rest] = self._slow_slots(data, starts[rest], ends[rest], hashes[rest])
-            free = rest[self.seen_slot[places[rest]] < 0]
-            self.seen[places[free]] = hashes[free]
-            self.seen_slot[places[free]] = found[free]
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw, at = data.tobytes(), new[first]
+            ids = self.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            found[new] = self._add(distinct, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))[inverse.ravel()]
+        self.uses[: self.n] += np.bincount(found, minlength=self.n)
+        return found
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of every hash, -1 where it is not in the table."""
+        mask = len(self.seen) - 1
+        places = (hashes & np.uint64(mask)).astype(np.int64)
+        slots = self.seen_slot[places]
+        found = np.where(self.seen[places] == hashes, slots, -1).astype(np.int64)
+        rest = np.flatnonzero((found < 0) & (slots >= 0))
+        while len(rest):
+            at = places[rest] = (places[rest] + 1) & mask
+            slots = self.seen_slot[at]
+            hit = self.seen[at] == hashes[rest]
+            found[rest] = np.where(hit, slots, -1)
+            rest = rest[~hit & (slots >= 0)]
         return found
 
-    def _slow_slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        get = self.slots.get
-        keys = distinct.tolist()
-        slots = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        if self.base is not None and len(self.base.hashes):
-            at = np.minimum(np.searchsorted(self.base.hashes, distinct), len(self.base.hashes) - 1)
-            slots = np.where(self.base.hashes[at] == distinct, at, slots)
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)]
-            ids = self.encode_words(texts)
-            slots[missing] = self._add([keys[i] for i in missing.tolist()], ids)
-        return slots[inverse.ravel()]
+    def _place(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """Put distinct hashes that are not in the table into it."""
+        mask = len(self.seen) - 1
+        places, rest = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(rest):
+            at = places[rest]
+            free = self.seen_slot[at] < 0
+            self.seen_slot[at[free]] = slots[rest[free]]
+            won = self.seen_slot[at] == slots[rest]
+            self.seen[at[won]] = hashes[rest[won]]
+            rest = rest[~won]
+            places[rest] = (places[rest] + 1) & mask
+
+    def _hashes(self) -> np.ndarray:
+        """The hash of every slot's word."""
+        out, taken = np.zeros(self.n, np.uint64), self.seen_slot >= 0
+        out[self.seen_slot[taken]] = self.seen[taken]
+        return out
+
+    def _forget(self) -> None:
+        """Of the words that are not broadcast, keep those met most often, up to half the room; their counts age."""
+        order = self.fixed + np.argsort(-self.uses[self.fixed : self.n], kind="stable")
+        order = order[self.lengths[order] <= WORD_BYTES]
+        order = order[np.cumsum(self.lengths[order]) <= CACHED_IDS // 2][: max(0, CACHED_WORDS - self.fixed) // 2]
+        keep = np.sort(order)
+        hashes, lengths, uses = self._hashes()[keep], self.lengths[keep], self.uses[keep]
+        ids, _ = gather(self.ids, self.at, self.lengths, keep)
+        self.reset()
+        slots = self._add(hashes, lengths, ids)
+        self.uses[slots] = uses // 2
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of distinct words, each encoded once.
@@ -245,21 +275,24 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _add(self, keys: list[int], ids: list[list[int]]) -> np.ndarray:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), np.uint32), flat))
-        if self.n + len(ids) > len(self.at):
-            more = np.zeros(max(len(self.at), len(ids)), np.int64)
-            self.at, self.lengths = np.concatenate((self.at, more)), np.concatenate((self.lengths, more))
-        new = np.arange(self.n, self.n + len(ids))
-        self.ids[self.used : self.used + len(flat)] = flat
+    def _add(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Slots of new words, given their distinct hashes and their ids, joined."""
+        n, used = self.n + len(hashes), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(self.used, len(ids)), np.uint32)))
+        if n > len(self.at):
+            more = max(self.n, len(hashes))
+            self.at, self.lengths, self.uses = (np.concatenate((x[: self.n], np.zeros(more, x.dtype))) for x in (self.at, self.lengths, self.uses))
+        if 4 * n > 3 * len(self.seen):
+            old, size = self._hashes(), 1 << (2 * n - 1).bit_length()
+            self.seen, self.seen_slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self._place(old, np.arange(self.n))
+        new = np.arange(self.n, n)
+        self.ids[self.used : used] = ids
         self.at[new] = self.used + np.cumsum(lengths) - lengths
         self.lengths[new] = lengths
-        self.slots.update(zip(keys, new.tolist(), strict=True))
-        self.used += len(flat)
-        self.n += len(ids)
+        self._place(hashes, new)
+        self.n, self.used = n, used
         return new
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -473,6 +473,42 @@ def test_codec_survives_collisions(monkeypatch, tokenizer):
     assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(2)] == [tokenizer.encode(t).ids for t in ("the cat sat", "dog ran far")]
 
 
+def encoded(coder: bpe.Encoder, text: str) -> list[int]:
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    return [i for _, _, (ids, _, _, _) in bpe.encoded_blocks(batch, 0, coder) for i in ids.tolist()]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Some 300,000 distinct words, met twice, are each given to the library once."""
+    coder, asked = bpe.Encoder(common.environment_path("byte_bpe_50k.json")), []
+    whole = coder.encode_words
+    monkeypatch.setattr(coder, "encode_words", lambda words: asked.append(len(words)) or whole(words))
+    # Letters only: digits would be words of their own.
+    texts = ["".join(" " + "".join(chr(97 + int(d)) for d in str(i)) for i in range(a, a + 10_000)) for a in range(100_000, 400_000, 10_000)]
+    first = [encoded(coder, t) for t in texts]
+    assert sum(asked) == 300_000
+    assert [encoded(coder, t) for t in texts] == first and sum(asked) == 300_000
+
+
+@pytest.mark.parametrize("words, ids", [(300, 1 << 22), (1 << 19, 500), (0, 0)])
+def test_frequent_words_stay(monkeypatch, tokenizer, words, ids):
+    """A full table forgets rare words, keeps frequent and broadcast ones, and never changes an id."""
+    monkeypatch.setattr(bpe, "CACHED_WORDS", words)
+    monkeypatch.setattr(bpe, "CACHED_IDS", ids)
+    monkeypatch.setattr(bpe, "PLACES", 16)
+    coder, asked, rng = bpe.Encoder(common.environment_path("byte_bpe_50k.json")), [], random.Random(4)
+    known = [b" broadcast", b" shared"]
+    coder.use(bpe.Table(known, [np.array(tokenizer.encode(w.decode()).ids, "<u4").tobytes() for w in known]))
+    whole = coder.encode_words
+    monkeypatch.setattr(coder, "encode_words", lambda words: asked.extend(words) or whole(words))
+    rare = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    for _ in range(60):
+        text = " ".join(["", "broadcast", "shared", "often", *(rare() for _ in range(40)), "often", "Ω" * 200])
+        assert encoded(coder, text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert coder.n <= coder.fixed + max(words, 100) + 50 and coder.used <= max(ids, 1000) + 1000
+    assert not set(known) & set(asked) and asked.count(b" often") == (1 if words else 60)
+
+
 # queries and pipeline
 
 
