@@ -42,9 +42,8 @@ def _trim() -> None:
         pass
 
 
-def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts have about ``limit`` bytes together."""
-    offsets = text_bytes(batch.column(column))[1]
+def ranges(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about ``limit`` bytes together; row i has the bytes ``offsets[i]:offsets[i + 1]``."""
     n, at = len(offsets) - 1, 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
@@ -55,6 +54,11 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
     _trim()
 
 
+def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch whose texts have about ``limit`` bytes together."""
+    yield from ranges(text_bytes(batch.column(column))[1], limit)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is empty."""
     if column.null_count:

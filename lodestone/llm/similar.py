@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, blocks, gram_hashes, mix, row_of, ship, stored, text_bytes, within_rows
+from .common import LOWER, Words, blocks, gram_hashes, mix, ranges, row_of, ship, stored, text_bytes, within_rows
 from .simhash import components, fingerprints_of, join_heavy, name_components, only_heads, row_ids
 from .simhash import links as simhash_links
 
@@ -129,13 +130,17 @@ def _compare(shingle: int, least: float):
         """Links of parts that arrive in order; a part may go over several batches."""
         held: list[pa.RecordBatch] = []
 
-        def linked(table: pa.Table) -> pa.RecordBatch:
-            part, fps = table["part"].to_numpy(), table["fp"].to_numpy()
-            text = table["text"].combine_chunks()
-            hashes, first = shingle_sets(*text_bytes(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), shingle)
+        def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Links of whole parts, about ``BLOCK_BYTES`` of their texts at a time (or one larger part)."""
+            part = table["part"].to_numpy()
             at = np.append(np.flatnonzero(np.diff(part, prepend=part[0] - 1)), len(part))
-            found = [exact_links(fps[a:b], hashes[first[a] : first[b]], first[a : b + 1] - first[a], least) for a, b in zip(at, at[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], names=["a", "b"])
+            lengths = pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy().astype(np.int64)
+            for i, j in ranges(np.append(0, np.cumsum(lengths))[at]):
+                some = table.slice(at[i], at[j] - at[i]).combine_chunks()
+                fps, cuts = some["fp"].to_numpy(), at[i : j + 1] - at[i]
+                hashes, first = shingle_sets(*text_bytes(some["text"].chunk(0)), shingle)
+                found = [exact_links(fps[a:b], hashes[first[a] : first[b]], first[a : b + 1] - first[a], least) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -147,10 +152,10 @@ def _compare(shingle: int, least: float):
             whole = int(np.flatnonzero(part == part[-1])[0])
             ready = [*held, batch.slice(0, whole)] if whole else held
             if ready:
-                yield linked(pa.Table.from_batches(ready))
+                yield from linked(pa.Table.from_batches(ready))
             held = [batch.slice(whole)]
         if held:
-            yield linked(pa.Table.from_batches(held))
+            yield from linked(pa.Table.from_batches(held))
 
     return run
 

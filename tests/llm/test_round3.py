@@ -253,3 +253,35 @@ def test_recall_of_bands():
     bands = similar.sketch(*similar.shingle_sets(*text_bytes(pa.array(texts))))[1]
     met = (bands[::2] == bands[1::2]).any(axis=1)
     assert met.mean() >= 0.998
+
+
+@pytest.mark.parametrize("rows", [10_000, 7])  # one batch of all parts; parts that go over several batches
+def test_parts_are_compared_in_blocks(monkeypatch, rows):
+    """Texts of parts are hashed about a block at a time, however many bytes a batch has; each part's groups equal brute force over all its pairs."""
+    from lodestone.llm import common, similar
+
+    rng, texts, at_once = random.Random(4), [], []
+    for part in range(-30, 30):
+        for _ in range(4):
+            one = [f"word{rng.randrange(10**6)}" for _ in range(rng.choice([1, 200, 900]))]
+            for changed in (0, 1, 2, len(one) // 20):
+                copy = list(one)
+                for at in rng.sample(range(len(one)), min(changed, len(one))):
+                    copy[at] = "other"
+                texts.append((part, len(texts), " ".join(copy)))
+    total, largest = (f([len(t) for _, _, t in texts]) for f in (sum, lambda x: max(sum(x[i : i + 16]) for i in range(0, len(x), 16))))
+    assert total > 3 * common.BLOCK_BYTES
+    sets = similar.shingle_sets
+    monkeypatch.setattr(similar, "shingle_sets", lambda data, offsets, shingle: (at_once.append(len(data)), sets(data, offsets, shingle))[1])
+    table = pa.table({name: pa.array(column) for name, column in zip(("part", "fp", "text"), zip(*texts))})
+    links = pa.Table.from_batches(similar._compare(5, 0.8)(iter(table.to_batches(rows)))).to_pydict()
+    assert sum(at_once) == total and max(at_once) <= common.BLOCK_BYTES + largest
+    root = list(range(len(texts)))
+    for a, b in zip(links["a"], links["b"]):
+        assert texts[a][0] == texts[b][0]
+        root = [root[a] if r == root[b] else r for r in root]
+    for part in range(0, len(texts), 16):
+        mine = texts[part : part + 16]
+        heads = brute.similar_heads(range(16), [t for _, _, t in mine], range(16))
+        assert len({root[i] for _, i, _ in mine}) == len(heads)
+        assert len({root[part + h] for h in heads}) == len(heads)
