@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import evidence_rows, expansion, limits, tables
+from lodestone.operators import evidence_rows, expansion, index, limits, tables
+from lodestone.sources import shared
 from lodestone.streaming import jobs
 
 TOKEN = re.compile(limits.TOKEN)
@@ -163,6 +165,36 @@ def test_row_scores(spark):
     assert evidence_rows.evidence(evidence_rows.row_scores(rows, asked, "fields", F.col("raw"), F.col("question"), {})).count() == 2
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_best_rows(spark, monkeypatch, block):
+    """The first rows of ``row_scores``, whatever the blocks, with rows of one content, ties, nulls and repeated questions."""
+    monkeypatch.setattr(evidence_rows, "BLOCK", block)
+    rng = random.Random(5)
+    words = ["core", "Ánn", "bell", "net", "net core", "build the net", "", None]
+    rows = [(i if i else None, rng.choice(["a", "b", None]), {"owner": rng.choice(words), "task": rng.choice(words), "note": rng.choice(words)}, rng.choice(words)) for i in range(300)]
+    asked = [(i, rng.choice(["a", "b", None]), " ".join(rng.choice(words) or "?" for _ in range(rng.randint(1, 5)))) for i in range(40)] + [(40, "a", "Core"), (41, "a", "core"), (42, "a", None), (43, "b", "")]
+    rows = spark.createDataFrame(rows, "id int, kb string, fields map<string,string>, raw string").repartition(3)
+    asked = spark.createDataFrame(asked, "n int, kb string, question string")
+    more = {"owner": 2.0, "note": 0.0}
+    scored = evidence_rows.evidence(evidence_rows.row_scores(rows, asked, "fields", F.col("raw"), F.col("question"), more)).withColumn("score", F.round("score", 6))
+    shown = ["n", "kb", "question", "id", "score", "matched", "rank"]
+    wanted = index.best(scored, "n", 7, F.desc("score"), F.col("id")).select(*shown).collect()
+    got = evidence_rows.best_rows(rows, asked, "fields", F.col("raw"), F.col("question"), more, "id", 7)
+    assert got.columns == shown and Counter(map(repr, got.collect())) == Counter(map(repr, wanted)) and len(wanted) > 100
+
+
+def test_best_rows_of_repeated_rows(spark, monkeypatch):
+    """Rows that say the same are compared once: the texts that meet do not grow with their number."""
+    seen = []
+    monkeypatch.setattr(evidence_rows, "map_batches", lambda rows, run, schema: seen.append(rows.select(F.size("held").alias("n")).agg(F.sum("n")).first()[0]) or shared.map_batches(rows, run, schema))
+    asked = spark.createDataFrame([("core net", 1)], "question string, kb int")
+    for n in (20, 20000):
+        rows = spark.range(n).select("id", F.lit(1).alias("kb"), F.create_map(F.lit("owner"), F.concat(F.lit("core "), (F.col("id") % 5).cast("string"))).alias("fields"), F.lit("net").alias("raw"))
+        got = evidence_rows.best_rows(rows, asked, "fields", F.col("raw"), F.col("question"), {}, "id", 6)
+        assert [r["id"] for r in sorted(got.collect(), key=lambda r: r["rank"])] == [0, 1, 2, 3, 4, 5]
+    assert seen == [5, 5]
+
+
 # Jobs
 
 LOGS = "job string, step string, at timestamp, status string"
