@@ -1,10 +1,13 @@
 """Entities and relations from text, and what queries reach over them; phrases by places."""
 
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, index
+from lodestone.sources import shared
 
 KINDS = {"article": (r"Article\s+\d+", 0.95), "org": (r"ACME|Initech", 0.85)}
 TEXTS = [(1, "ACME and article 9, Article 5 and Article 5"), (2, "Article 5 of Initech"), (3, "Initech, again Initech"), (4, "ACME alone"), (5, None), (6, ""), (7, "Article 70 with ACME"), (8, "Article 70 here")]
@@ -45,6 +48,37 @@ def test_expansion(spark):
     assert graph.expanded_chunks(mentions, nodes, edges, s, t, "asked", "id", 1, chunks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("state, row", [(64 << 20, 1 << 16), (64, 7)])
+def test_best_chunks(spark, monkeypatch, state, row):
+    """The first of ``expanded_chunks``, with one block and with many, at every depth; queries with two seeds, with none and with terms alone; ties go by key."""
+    monkeypatch.setattr(graph, "STATE_BYTES", state)
+    monkeypatch.setattr(graph, "ROW", row)
+    monkeypatch.setattr(graph, "BLOCKS", 1)
+    rng = random.Random(3)
+    texts = [(f"c{i}" if i else None, " ".join(f"N{rng.choice([rng.randint(0, 9), rng.randint(0, 200)])}" for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    chunks = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    mentions, nodes, edges = graph.graph_of(graph.extracted(chunks, "id", "text", {"n": (r"N\d+", 0.9)}), "id")
+    seeds = spark.createDataFrame([(q, f"c{rng.randint(1, 299)}") for q in range(90) for _ in range(1 + q % 2)], "asked int, id string")
+    terms = spark.createDataFrame([(q, f"N{rng.randint(10, 99)}") for q in range(80, 100)] + [(99, "N1")], "asked int, term string")
+    for depth in (0, 1, 2):
+        scored = graph.expanded_chunks(mentions, nodes, edges, seeds, terms, "asked", "id", depth)
+        wanted = index.best(scored, "asked", 6, F.desc("score"), F.col("id")).collect()
+        got = graph.best_chunks(mentions, nodes, edges, seeds, terms, "asked", "id", depth, 6).collect()
+        assert Counter((r["asked"], r["id"], r["score"], r["rank"]) for r in got) == Counter((r["asked"], r["id"], r["score"], r["rank"]) for r in wanted) and len(wanted) > 300
+
+
+def test_best_chunks_moves_no_pairs(spark, monkeypatch):
+    """Queries that reach everything: rows that move are links and mentions for each block, not pairs of queries and chunks."""
+    moved = []
+    monkeypatch.setattr(graph, "map_batches", lambda rows, run, schema: moved.append(rows) or shared.map_batches(rows, run, schema))
+    chunks = spark.range(2000).select(F.col("id"), F.concat(F.lit("N1 N"), (F.col("id") % 50).cast("string")).alias("text"))
+    mentions, nodes, edges = graph.graph_of(graph.extracted(chunks, "id", "text", {"n": (r"N\d+", 0.9)}), "id")
+    seeds = chunks.filter("id % 10 = 0").select(F.col("id").alias("asked"), "id")
+    got = graph.best_chunks(mentions, nodes, edges, seeds, seeds.select("asked", F.lit("none").alias("term")), "asked", "id", 2, 3)
+    assert sorted(r["id"] for r in got.filter("asked = 0").collect()) == [2, 3, 4] and got.count() == 600
+    assert moved[-1].count() < 100
+
+
 def test_phrase_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b a b c a b"), (2, "a-B; c"), (3, "b a"), (4, None), (5, "c c c c")], "doc_id int, text string")
     asked = spark.createDataFrame([("p", "a b"), ("q", "c c"), ("r", "?"), ("s", "b c"), ("t", "a absent"), ("p", "b a")], "q string, said string")
