@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, index
+from lodestone.operators import graph, index, scan
 from lodestone.sources import shared
 
 KINDS = {"article": (r"Article\s+\d+", 0.95), "org": (r"ACME|Initech", 0.85)}
@@ -87,3 +87,36 @@ def test_phrase_counts(spark, monkeypatch):
         monkeypatch.setattr(index, "LITERALS", limit)
         got = Counter(map(tuple, built.phrase_counts(asked, "q", "said").collect()))
         assert got == Counter([("p", 1, 3), ("p", 2, 1), ("q", 5, 3), ("s", 1, 1), ("s", 2, 1), ("p", 1, 1), ("p", 3, 1)])
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scans_equal_the_index(spark, monkeypatch, small):
+    """Phrases and covers by one pass, over one block of queries and over many, against the index; ties, repeated words and names, and texts without words. No folder is written but the queries'."""
+    if small:
+        for name, value in (("ASKED", 7), ("PAIRS", 5), ("PLACES", 9), ("WORDS", 11)):
+            monkeypatch.setattr(scan, name, value)
+    rng = random.Random(8)
+    some = lambda n, m: " ".join(rng.choice("abcdefgh"[:n]) for _ in range(m))
+    docs = spark.createDataFrame([(f"d{i}", some(rng.randint(1, 8), rng.randint(0, 40))) for i in range(60)] + [("null", None), ("mark", "?!")], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(i, some(8, rng.randint(1, 4))) for i in range(40)] + [(40, "a a b"), (41, "?"), (42, None), (43, "z a"), (44, "A b")], "q int, said string")
+    built = index.Index.build(docs, buckets=3)
+    wanted = Counter(map(tuple, built.phrase_counts(asked, "q", "said").collect()))
+    assert Counter(map(tuple, scan.phrases(docs, asked, "q", "said").collect())) == wanted and len(wanted) > 100
+    scored = built.cover_scores(asked, "q", "said").withColumn("score", F.round("score", 6))
+    wanted = Counter(map(tuple, index.best(scored, "q", 5, F.desc("score"), F.col("doc_id")).collect()))
+    monkeypatch.setattr(index.Index, "build", None)
+    assert Counter(map(tuple, scan.best_covers(docs, asked, "q", "said", 5).collect())) == wanted and len(wanted) > 100
+    twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a")], "q int, said string")
+    once = scan.best_covers(docs, spark.createDataFrame([(1, "c b a")], "q int, said string"), "q", "said", 5).collect()
+    assert Counter(map(tuple, scan.best_covers(docs, twice, "q", "said", 5).collect())) == Counter(map(tuple, once)) and len(once) == 5
+    assert scan.phrases(docs, twice.filter("q > 1"), "q", "said").count() == 0
+
+
+def test_query_sets_move_no_postings(spark, data, monkeypatch):
+    """The queries over sets of texts build no index, of which every posting would be shuffled and written."""
+    from lodestone.plans import queries as plans
+
+    monkeypatch.setattr(index.Index, "build", None)
+    monkeypatch.setattr(index, "_built", {})
+    for name in ("keyword_covers",):
+        assert plans.queries()[name](spark, data).count() > 0
