@@ -36,11 +36,13 @@ def batch_states(logs: DataFrame, job: str, step: str, at: str, status: str) ->
 def job_stream(logs: DataFrame, job: str, step: str, at: str, status: str, late: str = "1 hour", idle: str | None = None) -> DataFrame:
     """The same over a stream, in update mode: a row for each step that a trigger's rows change.
 
-    ``at`` is a timestamp. Rows later than ``late`` behind the latest may be dropped by the watermark. With ``idle``, a step that is still running when event time has passed its last row by that long is put out as ``stalled`` and forgotten.
+    Without ``idle`` the kept state is Spark's own aggregate, of which nothing is run in Python. ``at`` is a timestamp. Rows later than ``late`` behind the latest may be dropped by the watermark. With ``idle``, a step that is still running when event time has passed its last row by that long is put out as ``stalled`` and forgotten.
     """
+    if idle is None:
+        return batch_states(logs.withWatermark(at, late), job, step, at, status)
     ship(logs.sparkSession)
     kinds = {c: logs.schema[c].dataType.simpleString() for c in (job, step)}
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def row(key: tuple, kept: tuple, state: str | None = None) -> pd.DataFrame:
         _, now, began, ended = kept
@@ -64,14 +66,12 @@ def job_stream(logs: DataFrame, job: str, step: str, at: str, status: str, late:
                 if word in ENDED:
                     ended = micros if ended is None else max(ended, micros)
         state.update((at_, now, began, ended))
-        if wait is not None:
-            state.setTimeoutTimestamp(max(at_ // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(at_ // 1000 + wait, state.getCurrentWatermarkMs() + 1))
         yield row(key, (at_, now, began, ended))
 
     rows = logs.filter(F.col(at).isNotNull() & F.col(status).isNotNull()).withWatermark(at, late)
     rows = rows.select(job, step, at, F.unix_micros(F.col(at)).alias("__at"), F.col(status).alias("__status"))
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    states = rows.groupBy(job, step).applyInPandasWithState(run, f"{job} {kinds[job]}, {step} {kinds[step]}, {_OUT}", _KEPT, "update", timeout)
+    states = rows.groupBy(job, step).applyInPandasWithState(run, f"{job} {kinds[job]}, {step} {kinds[step]}, {_OUT}", _KEPT, "update", GroupStateTimeout.EventTimeTimeout)
     return states.withColumn("began", F.timestamp_micros("began"))
 
 

@@ -225,6 +225,17 @@ def test_job_stream_goes_on_after_a_restart(spark, tmp_path):
     assert triggers >= 5
 
 
+def test_job_stream_runs_no_python_for_each_step(spark, tmp_path, monkeypatch):
+    """Without a limit of silence, no step costs a call of its own: with tens of thousands of steps those calls were most of the time."""
+    logs = spark.range(60000).select((F.col("id") % 20000).alias("job"), F.lit("s").alias("step"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("at"), F.when(F.col("id") < 40000, "running").otherwise("failed").alias("status"))
+    logs.repartition(4).write.parquet(f"{tmp_path}/logs")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/logs")
+    states = jobs.job_stream(stream, "job", "step", "at", "status", late="1000 days")
+    assert "PythonWithState" not in states._jdf.queryExecution().analyzed().toString() and "PandasWithState" not in states._jdf.queryExecution().analyzed().toString()
+    got = jobs.latest_states(states, ["job", "step"], str(tmp_path))
+    assert got.count() == 20000 and got.filter("state = 'failed' AND seconds = 40000").count() == 20000
+
+
 def test_idle_jobs_stall(spark, tmp_path):
     rows = [("a", "s", 0, "running"), ("b", "s", 0, "running"), ("b", "s", 10, "succeeded")]
     later = [("c", "s", 100_000, "running")]
