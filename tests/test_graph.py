@@ -118,5 +118,5 @@ def test_query_sets_move_no_postings(spark, data, monkeypatch):
 
     monkeypatch.setattr(index.Index, "build", None)
     monkeypatch.setattr(index, "_built", {})
-    for name in ("keyword_covers",):
+    for name in ("keyword_covers", "keyword_exact_terms"):
         assert plans.queries()[name](spark, data).count() > 0
